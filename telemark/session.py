@@ -61,3 +61,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf = tempfile.mkdtemp(prefix="telemark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
+
+
+def cut_lineage(df, eager: bool = True):
+    """Cut a long lineage with a reliable checkpoint in the shared
+    ``spark.checkpoint.dir`` (never a local checkpoint: a lost executor would
+    lose it)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
