@@ -58,9 +58,15 @@ def suggestion_merge(entries: DataFrame, table: str = "table_name", name: str =
     only if no earlier entry of the table (by rank, then position) has the
     same normalised code.  The first owner of each (table, code) is a partial
     ``min`` aggregate joined back on the key (AQE splits a hot key)."""
-    e = entries.withColumn("_nc", F.coalesce(normalize_code(F.col(code)), F.lit("")))
-    owners = (e.filter(F.col("_nc") != "")
-               .groupBy(table, "_nc").agg(F.min(F.struct(F.col(rank).alias("r"), F.col(pos).alias("p"))).alias("_first")))
+    # The key is the SHA-256 of the normalised code (64 hex chars) rather than
+    # the code itself, so the shuffle moves digests, not whole texts; empty
+    # codes keep the empty key.
+    nc = F.coalesce(normalize_code(F.col(code)), F.lit(""))
+    e = entries.withColumn("_nc", F.when(nc == "", F.lit("")).otherwise(F.sha2(nc, 256)))
+    # No filter on the owner side: a filter would be pushed below the
+    # repartition and evaluate the normalisation a second time in the scan.
+    # Rows with an empty code never use their group's owner.
+    owners = e.groupBy(table, "_nc").agg(F.min(F.struct(F.col(rank).alias("r"), F.col(pos).alias("p"))).alias("_first"))
     j = e.join(owners, [table, "_nc"], "left")
     named = F.coalesce(F.col(name).cast("string"), F.lit("")) != ""
     keep_manifest = (F.col(rank) == manifest_rank) & named

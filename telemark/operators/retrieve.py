@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemark.functions.text import tokens
+from telemark.operators.joins import spread
 
 # Fixed values (T-5, T-6): heuristic weights and the hybrid mix.
 CONTAIN_BONUS = 10
@@ -78,14 +79,20 @@ def heuristic_score(q_text: Column, q_tok: Column, e_text: Column, e_tok: Column
     return contain + token_overlap(q_tok, e_tok) + pair + pod
 
 
-def spread(df: DataFrame, target: int | None = None) -> DataFrame:
-    """Spread a CPU-heavy per-row stage over all cores when the input arrives
-    in fewer splits than the cluster has task slots (small files); a no-op on
-    large inputs, which already come in many splits."""
-    target = target or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+def _flags(tok: Column) -> Column:
+    """Per-row bonus flags, computed once per row instead of once per pair."""
+    has = lambda w: F.array_contains(tok, F.lit(w))
+    return F.struct(has("workload").alias("workload"), has("latency").alias("latency"),
+                    (has("pod") | has("pods")).alias("pod"))
+
+
+def _pair_score(q_low: Column, q_tok: Column, q_flags: Column, e) -> Column:
+    """T-5 on precomputed lower-cased texts and flags (same value as heuristic_score)."""
+    contain = F.when(F.instr(q_low, e["elow"]) > 0, CONTAIN_BONUS).otherwise(0)
+    ef = e["eflags"]
+    pair = F.when((ef["workload"] & q_flags["workload"]) | (ef["latency"] & q_flags["latency"]), PAIR_BONUS).otherwise(0)
+    pod = F.when(ef["pod"] & q_flags["pod"], PAIR_BONUS).otherwise(0)
+    return contain + token_overlap(q_tok, e["etok"]) + pair + pod
 
 
 def hybrid_topk(questions: DataFrame, examples: DataFrame, *, q_id: str, q_text: str, e_id: str, e_text: str,
@@ -99,35 +106,44 @@ def hybrid_topk(questions: DataFrame, examples: DataFrame, *, q_id: str, q_text:
     """
     k = clamp_k(k)
     vec = F.col(e_vec) if e_vec else F.lit(None).cast("array<double>")
-    ex = examples.select(F.col(e_id).alias("eid"), F.coalesce(F.col(e_text), F.lit("")).alias("etext"),
+    ex = examples.select(F.col(e_id).alias("eid"), F.lower(F.coalesce(F.col(e_text), F.lit(""))).alias("elow"),
                          tokens(e_text).alias("etok"),
                          F.transform(vec, lambda x: x.cast("double")).alias("evec"))
+    ex = ex.withColumn("eflags", _flags(F.col("etok")))
     # Blocks are formed by hashing the id: their content only bounds the size
     # of one broadcast row; ranking ties are settled by id after the merge.
     # One cheap job over the example side measures it before anything is broadcast.
     stats = ex.agg(F.count(F.lit(1)).alias("n"),
-                   F.sum(F.length("etext") * 2 + F.coalesce(F.size("etok"), F.lit(0)) * 16
+                   F.sum(F.length("elow") * 2 + F.coalesce(F.size("etok"), F.lit(0)) * 16
                          + F.coalesce(F.size("evec"), F.lit(0)) * 8 + 64).alias("bytes")).first()
     n_examples, est_bytes = int(stats["n"]), int(stats["bytes"] or 0)
     n_blocks = max(1, -(-n_examples // block_size), -(-est_bytes // MAX_BLOCK_BYTES))
     ex = ex.withColumn("block", F.pmod(F.xxhash64("eid"), F.lit(n_blocks)).cast("int"))
     blocks = ex.groupBy("block").agg(
-        F.array_sort(F.collect_list(F.struct("eid", "etext", "etok", "evec"))).alias("exs"))
+        F.array_sort(F.collect_list(F.struct("eid", "elow", "etok", "eflags", "evec"))).alias("exs"))
+    vocab = F.broadcast(ex.agg(F.array_distinct(F.flatten(F.collect_list("etok"))).alias("vocab")))
     blocks = F.broadcast(blocks)
 
     questions = spread(questions)
     qv = F.transform(F.col(q_vec), lambda x: x.cast("double")) if q_vec else F.lit(None).cast("array<double>")
-    q = questions.select(F.col(q_id).alias("qid"), F.coalesce(F.col(q_text), F.lit("")).alias("qtext"),
-                         qv.alias("qvec")).withColumn("qtok", tokens("qtext"))
+    q = (questions.select(F.col(q_id).alias("qid"), F.lower(F.coalesce(F.col(q_text), F.lit(""))).alias("qlow"),
+                          qv.alias("qvec"))
+         .withColumn("qtok", tokens("qlow")).withColumn("qflags", _flags(F.col("qtok"))))
 
     def scored(_):
         return F.transform(F.col("exs"), lambda e: F.struct(
             e["eid"].alias("eid"),
-            heuristic_score(F.col("qtext"), F.col("qtok"), e["etext"], e["etok"]).alias("h"),
+            _pair_score(F.col("qlow"), F.col("qtf"), F.col("qflags"), e).alias("h"),
             dot(F.col("qvec"), e["evec"]).alias("cos")))
 
     # Each question row meets each block row once (n_blocks rows, broadcast);
     # no (question, example) row is materialised.
+    # A question's tokens are first cut to the example vocabulary (once per
+    # question; exact, as every example token lies in it), so each pair
+    # intersects a short list.  The cut is computed below the block join,
+    # so it cannot be folded into the per-example lambda.
+    q = (q.join(vocab, how="cross")
+          .select("qid", "qlow", "qvec", "qflags", F.array_intersect("qtok", "vocab").alias("qtf")))
     pairs = q.join(blocks, how="cross").select("qid", scored(None).alias("sc"))
     if n_blocks == 1:
         hmax = F.array_max(F.transform("sc", lambda s: s["h"]))

@@ -19,7 +19,7 @@ from telemark.sources.tables import TABLES, Tables
 
 
 def entries_of(documents: DataFrame) -> DataFrame:
-    return documents.select(
+    return J.spread(documents).select(
         F.col("lang").alias("table_name"), F.col("doc_id").cast("string").alias("name"),
         F.col("text").alias("code"), F.substring_index("text", "\n", 1).alias("description"),
         F.regexp_extract("source", r"(\d+)", 1).try_cast("int").alias("source_rank"),

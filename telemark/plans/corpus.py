@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemark.functions import text as TX
+from telemark.operators import joins as J
 from telemark.operators import labels as LB
 from telemark.operators import retrieve as RT
 from telemark.operators.latest import earliest_by
@@ -21,7 +22,7 @@ from telemark.sources.tables import Tables
 
 
 def _user_turns(conversations: DataFrame) -> DataFrame:
-    return conversations.filter(F.col("role") == "user")
+    return J.spread(conversations.filter(F.col("role") == "user"))
 
 
 def hybrid_topk_q(documents: DataFrame, benchmark: DataFrame, embeddings: DataFrame, k: int = 4) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from telemark.functions import aggs, enrich as D, predicates as P, timefn as T
 from telemark.functions.dynamic import bag_unpack
+from telemark.operators import joins as J
 from telemark.plans.registry import register
 from telemark.sources.tables import Tables
 
@@ -64,14 +65,14 @@ def error_rate_q(events: DataFrame, bucket="1d") -> DataFrame:
 def mask_secrets_q(documents: DataFrame) -> DataFrame:
     """D-8 secret masking over whole texts, with hits per pattern."""
     masked = D.mask_secrets("text")
-    return documents.select(
+    return J.spread(documents).select(
         "doc_id", F.sha2(masked, 256).alias("masked_sha256"), F.length(masked).alias("masked_len"),
         *D.secret_hits("text"))
 
 
 def log_enrich_q(documents: DataFrame) -> DataFrame:
     """D-2..D-7, D-9 over the log table as one projection."""
-    e = D.enrich_logs(documents, "text", pod="source")
+    e = D.enrich_logs(J.spread(documents), "text", pod="source")
     return e.select("doc_id", "workload_name", "is_structured", "has_stack_trace", "json_status",
                     "latency_ms", F.length(D.truncate_trace("text")).alias("trace_len"))
 
