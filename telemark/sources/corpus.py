@@ -115,7 +115,7 @@ def read_eval_dataset(spark: SparkSession, path: str) -> DataFrame:
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: (path, content)."""
-    return (spark.read.option("wholetext", True).text(path)
+    return (spark.read.text(path, wholetext=True)
             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
 
 
@@ -137,7 +137,7 @@ def read_markdown_examples(spark: SparkSession, path: str) -> DataFrame:
     # follows the "kql:" line of the block.
     blocks = F.filter(F.split("content", r"(?im)^[ \t]*q:"), lambda b, i: i > 0)
     lq = F.transform(blocks, lambda b: strip_ws(F.regexp_extract(b, r"^([^\n]*)", 1)))
-    lk = F.transform(blocks, lambda b: strip_ws(F.regexp_extract(b, r"(?is)^[^\n]*\n.*?^[ \t]*kql:[^\n]*\n(.*)$", 1)))
+    lk = F.transform(blocks, lambda b: strip_ws(F.regexp_extract(b, r"(?ims)^[^\n]*\n.*?^[ \t]*kql:[^\n]*\n(.*)\z", 1)))
     use_md = F.size(qs) > 0
     q = F.when(use_md, F.transform(qs, strip_ws)).otherwise(lq)
     k = F.when(use_md, F.transform(ks, strip_ws)).otherwise(lk)
