@@ -136,3 +136,43 @@ def unescape_entities(c) -> Column:
         s = F.replace(s, F.lit(ent), F.lit(rep))
     s = F.regexp_replace(s, "&#(x27|39);", "'")
     return F.replace(s, F.lit("&amp;"), F.lit("&"))
+
+
+# Fixed values (T-14): aggregate function names recognised in query texts.
+AGGREGATE_FUNCTIONS = ("count", "countif", "dcount", "dcountif", "sum", "sumif", "avg", "min", "max",
+                       "percentile", "percentiles", "arg_max", "arg_min", "make_set", "make_list")
+
+
+def query_features(q) -> Column:
+    """T-14 structural features of a query text: source tables (first token
+    and tokens after ``join``/``union``), number of ``where`` clauses,
+    aggregate functions used, group-by columns."""
+    s = F.coalesce(col(q), F.lit(""))
+    first = F.regexp_extract(s, r"^\s*([A-Za-z_][A-Za-z0-9_]*)", 1)
+    joined = F.regexp_extract_all(s, F.lit(r"(?i)\b(?:join|union)\b[^|(]*?\(?\s*([A-Za-z_][A-Za-z0-9_]*)"), 1)
+    tables = F.array_distinct(F.filter(F.concat(F.array(first), joined),
+                                       lambda t: (t != "") & ~F.lower(t).isin("kind", "hint", "withsource")))
+    n_where = F.size(F.regexp_extract_all(s, F.lit(r"(?i)\|\s*where\b"), 0))
+    alts = "|".join(sorted(AGGREGATE_FUNCTIONS, key=len, reverse=True))
+    aggs = F.array_distinct(F.transform(F.regexp_extract_all(s, F.lit(r"(?i)\b(" + alts + r")\s*\("), 1), F.lower))
+    by = F.regexp_extract(s, r"(?is)\bsummarize\b.*?\bby\b([^|]+)", 1)
+    gb = F.filter(F.transform(F.split(by, ","), lambda x: F.lower(F.regexp_extract(x, r"([A-Za-z_][A-Za-z0-9_.]*)", 1))),
+                  lambda x: x != "")
+    return F.struct(tables.alias("tables"), n_where.alias("n_where"), aggs.alias("aggregates"),
+                    F.array_distinct(gb).alias("group_by"))
+
+
+def _jaccard(a: Column, b: Column) -> Column:
+    u = F.size(F.array_union(a, b))
+    return F.when(u == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / u)
+
+
+def structural_similarity(q1, q2) -> Column:
+    """T-14 similarity 0.4 tables + 0.3 filters + 0.3 aggregations (the
+    documented split; the filter part compares where-clause counts)."""
+    a, b = query_features(q1), query_features(q2)
+    lower = lambda arr: F.transform(arr, F.lower)
+    tables = _jaccard(lower(a["tables"]), lower(b["tables"]))
+    na, nb = a["n_where"], b["n_where"]
+    filt = F.when(F.greatest(na, nb) == 0, F.lit(1.0)).otherwise(1.0 - F.abs(na - nb) / F.greatest(na, nb))
+    return F.lit(0.4) * tables + F.lit(0.3) * filt + F.lit(0.3) * _jaccard(a["aggregates"], b["aggregates"])

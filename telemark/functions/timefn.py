@@ -126,3 +126,13 @@ def time_scope(df, ts: str, as_of, span="24h"):
     if span is None:
         return df
     return df.filter((col(ts) > ago(span, as_of)) & (col(ts) <= as_timestamp(as_of)))
+
+
+def to_datetime(c, fmt: str | None = None) -> Column:
+    """F-3 ``todatetime(s)``: null when the text does not parse."""
+    return F.try_to_timestamp(col(c), F.lit(fmt)) if fmt else F.try_to_timestamp(col(c))
+
+
+def datetime_lit(s: str) -> Column:
+    """F-3 ``datetime(2024-01-01 10:00)`` literal."""
+    return as_timestamp(s)

@@ -68,3 +68,28 @@ def first_k_per_group(df: DataFrame, keys, order_cols, k: int, rank_name: str |
     name = rank_name or "_rn"
     out = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
     return out if rank_name else out.drop(name)
+
+
+def top_n(df: DataFrame, n: int, order_cols) -> DataFrame:
+    """L-3 ``top n by x``: global top-n (TakeOrderedAndProject: each partition
+    keeps its n best, one task merges n x partitions rows).  ``order_cols``
+    must end with a unique tie-breaker for repeatable rows."""
+    return df.orderBy(*order_cols).limit(n)
+
+
+def row_budget(df: DataFrame, table_no: str, order_cols, budget: int) -> DataFrame:
+    """W-6 pass tables in ``table_no`` order until ``budget`` rows in total.
+
+    Two-level counts: rows per table (one small aggregate, one row per table)
+    give each table its remaining budget; inside a table rows are numbered
+    with ``row_number() <= budget`` (a partial WindowGroupLimit, so no task
+    ever holds more than ``budget`` rows of one table), then cut to the
+    table's remaining budget.  No unpartitioned window over the rows."""
+    counts = df.groupBy(table_no).agg(F.count(F.lit(1)).alias("_n"))
+    w_tables = Window.orderBy(table_no).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per table: a single small partition is fine here
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w_tables), F.lit(0)))
+    offsets = offsets.select(table_no, (F.lit(budget) - F.col("_before")).alias("_left"))
+    ranked = first_k_per_group(df, table_no, order_cols, budget, rank_name="_rn")
+    out = ranked.join(F.broadcast(offsets), table_no).filter(F.col("_rn") <= F.col("_left"))
+    return out.drop("_rn", "_left")

@@ -32,3 +32,20 @@ class Tables:
 
     def all(self) -> dict:
         return {n: table(self.spark, self.sf_dir, n) for n in TABLES}
+
+
+def constant_row(spark: SparkSession, **values) -> DataFrame:
+    """S-15 ``print x = ...``: one row of constants, built by Spark."""
+    from pyspark.sql import functions as F
+
+    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
+
+
+def get_schema(df: DataFrame) -> DataFrame:
+    """P-20 ``getschema | project ColumnName, ColumnType`` (schema-sized)."""
+    return df.sparkSession.createDataFrame([(n, t) for n, t in df.dtypes], "ColumnName string, ColumnType string")
+
+
+def first_columns(df: DataFrame, n: int = 40) -> DataFrame:
+    """P-21 keep the first ``n`` columns (schema compaction)."""
+    return df.select(*df.columns[:n])
