@@ -1,0 +1,89 @@
+"""Splitting hot groups for ordered per-group work.
+
+A window ``partitionBy(key).orderBy(t)`` sorts a whole key in one task.  When
+one key holds a large share of all rows, ``split_hot_groups`` cuts each key
+with more than ``max_group_rows`` rows into up to ``n_splits`` ordered chunks at
+approximate quantiles of a numeric order column (one partial-aggregated
+``percentile_approx`` per hot key).  Rows with equal order values always land
+in the same chunk, so chunk order agrees with the full order.  Windows then
+run per (key, chunk); ``ordered_neighbours`` and ``ordered_positions`` stitch the
+chunk borders back together through a small per-chunk table (hot keys only).
+Cold keys keep chunk 0 and need no stitching.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from telemark.operators.joins import broadcast_if_small
+
+DEFAULT_MAX_GROUP_ROWS = 2_000_000
+DEFAULT_SPLITS = 256
+
+
+def _numeric(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def split_hot_groups(df: DataFrame, keys, split_col, max_group_rows: int = DEFAULT_MAX_GROUP_ROWS,
+                     n_splits: int = DEFAULT_SPLITS, chunk: str = "_chunk") -> DataFrame:
+    """Add ``chunk``: 0 for ordinary keys, 0..n_splits-1 for hot keys."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    v = _numeric(split_col).cast("double")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > max_group_rows).select(*keys)
+    probs = [i / n_splits for i in range(1, n_splits)]
+    splits = (df.join(broadcast_if_small(hot, max_rows=100_000), keys, "left_semi")
+                .groupBy(*keys).agg(F.percentile_approx(v, F.array(*[F.lit(p) for p in probs]), 10_000)
+                                    .alias("_splits")))
+    splits = broadcast_if_small(splits, max_rows=100_000)
+    j = df.withColumn("_v", v).join(splits, keys, "left")
+    c = F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(
+        F.size(F.filter("_splits", lambda s: s < F.col("_v"))))
+    return j.withColumn(chunk, c.cast("int")).drop("_splits", "_v")
+
+
+def ordered_neighbours(df: DataFrame, keys, order_cols, split_col, value: str, prev_name: str, next_name: str,
+                       max_group_rows: int = DEFAULT_MAX_GROUP_ROWS, n_splits: int = DEFAULT_SPLITS) -> DataFrame:
+    """``lag``/``lead`` of ``value`` per key in ascending ``order_cols`` (column
+    names, the last one a unique tie-breaker) order, with hot keys split.
+    ``split_col`` must be non-decreasing in that order (e.g. the timestamp)."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    d = split_hot_groups(df, keys, split_col, max_group_rows, n_splits)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(c) for c in order_cols])
+    wall = Window.partitionBy(*keys, "_chunk")
+    d = (d.withColumn(prev_name, F.lag(value).over(w)).withColumn(next_name, F.lead(value).over(w))
+          .withColumn("_rn", F.row_number().over(w)).withColumn("_cnt", F.count(F.lit(1)).over(wall)))
+    order_struct = F.struct(*[F.col(c) for c in order_cols])
+    # Borders of the chunks of hot keys only (cold keys have a single chunk).
+    hot_keys = d.filter(F.col("_chunk") > 0).select(*keys).distinct()
+    border = (d.join(hot_keys, keys, "left_semi").groupBy(*keys, "_chunk")
+                .agg(F.min_by(F.col(value), order_struct).alias("_first"),
+                     F.max_by(F.col(value), order_struct).alias("_last")))
+    wb = Window.partitionBy(*keys).orderBy("_chunk")
+    border = border.select(*keys, "_chunk", F.lag("_last").over(wb).alias("_prev_last"),
+                           F.lead("_first").over(wb).alias("_next_first"))
+    d = d.join(broadcast_if_small(border, max_rows=1_000_000), [*keys, "_chunk"], "left")
+    d = (d.withColumn(prev_name, F.when(F.col("_rn") == 1, F.col("_prev_last")).otherwise(F.col(prev_name)))
+          .withColumn(next_name, F.when(F.col("_rn") == F.col("_cnt"), F.col("_next_first")).otherwise(F.col(next_name))))
+    return d.drop("_chunk", "_rn", "_cnt", "_prev_last", "_next_first")
+
+
+def ordered_positions(df: DataFrame, keys, order_cols, split_col, pos: str = "_pos",
+                      max_group_rows: int = DEFAULT_MAX_GROUP_ROWS, n_splits: int = DEFAULT_SPLITS) -> DataFrame:
+    """1-based position of each row inside its key in ``order_cols`` order
+    (``row_number``), with hot keys split: position = rows in earlier chunks
+    of the key + row number inside the chunk."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    d = split_hot_groups(df, keys, split_col, max_group_rows, n_splits)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order_cols)
+    d = d.withColumn("_rn", F.row_number().over(w))
+    hot_keys = d.filter(F.col("_chunk") > 0).select(*keys).distinct()
+    sizes = (d.join(hot_keys, keys, "left_semi").groupBy(*keys, "_chunk")
+              .agg(F.count(F.lit(1)).alias("_n")))
+    wb = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_off"))
+    d = d.join(broadcast_if_small(offs, max_rows=1_000_000), [*keys, "_chunk"], "left")
+    d = d.withColumn(pos, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_rn"))
+    return d.drop("_chunk", "_rn", "_off")

@@ -37,12 +37,13 @@ def row_overlap_q(orders: DataFrame) -> DataFrame:
     return out.withColumn("overlap", F.round("overlap", 6))
 
 
-def ordered_overlap_q(orders: DataFrame) -> DataFrame:
+def ordered_overlap_q(orders: DataFrame, max_group_rows: int | None = None) -> DataFrame:
     exp, act = eval_sides(orders)
     out = E.ordered_overlap(exp, act, "case_id",
                             [F.desc("n_orders"), F.desc("total_price"), F.asc("o_custkey")],
                             [F.desc("n_order"), F.desc("TotalPrice"), F.asc("CustKey")],
-                            EXPECTED_COLS, ACTUAL_COLS)
+                            EXPECTED_COLS, ACTUAL_COLS, expected_split=-F.col("n_orders"),
+                            actual_split=-F.col("n_order"), max_group_rows=max_group_rows)
     return out.withColumn("overlap", F.round("overlap", 6))
 
 

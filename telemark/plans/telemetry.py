@@ -214,10 +214,11 @@ def distinct_children_q(lineitem: DataFrame, n: int = 10) -> DataFrame:
     return out.orderBy(F.desc("n_children"), F.asc("l_suppkey")).limit(n)
 
 
-def status_timeline_q(events: DataFrame) -> DataFrame:
+def status_timeline_q(events: DataFrame, max_group_rows: int | None = None) -> DataFrame:
     """R-20 status timeline with previous/next state; only change points kept."""
     ev = events.select("user_id", "event_id", "ts", "event_type")
-    return change_points(ev, "user_id", ["ts", "event_id"], "event_type", "prev_type", "next_type")
+    return change_points(ev, "user_id", ["ts", "event_id"], "event_type", "prev_type", "next_type",
+                         split_col=F.unix_micros(F.col("ts").cast("timestamp")), max_group_rows=max_group_rows)
 
 
 def worst_with_columns_q(events: DataFrame) -> DataFrame:
