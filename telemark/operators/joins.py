@@ -44,9 +44,12 @@ def spread(df: DataFrame, target: int | None = None) -> DataFrame:
     """Spread a CPU-heavy per-row stage over all cores when the input arrives
     in fewer splits than the cluster has task slots (small files); a no-op on
     large inputs, which already come in many splits."""
-    target = target or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+    try:
+        target = target or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < target:
+            return df.repartition(target)
+    except Exception:  # e.g. a Connect session without RDD access: leave the plan as is
+        pass
     return df
 
 

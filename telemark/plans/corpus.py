@@ -262,7 +262,7 @@ SELECT conv_id, turn,
             WHEN contains(q, 'error rate') AND mode <> 'count' THEN 'rate' ELSE mode END AS metric_mode,
        CASE WHEN contains(q, 'error count') THEN 'error count'
             WHEN contains(q, 'error rate') AND mode <> 'count' THEN 'error rate' ELSE hint END AS raw_metric_hint,
-       len(list_distinct(list_filter([{', '.join(f"CASE WHEN contains(q, '{k}') THEN '{v.replace(chr(39), chr(39) * 2)}' END" for k, v in LB.CONTEXT_NOTES)}], lambda x: x IS NOT NULL))) AS n_notes,
+       CAST(len(list_distinct(list_filter([{', '.join(f"CASE WHEN contains(q, '{k}') THEN '{v.replace(chr(39), chr(39) * 2)}' END" for k, v in LB.CONTEXT_NOTES)}], lambda x: x IS NOT NULL))) AS INTEGER) AS n_notes,
        {_or_contains('q', TX.EXPLANATION_WORDS)} AS wants_explanation
 FROM m
 """)
@@ -290,7 +290,7 @@ SELECT conv_id, turn,
             WHEN {_or_contains('lower(' + _strip_sql('c') + ')', [p.replace("'", "''") for p in TX.ERROR_PHRASES])}
                  THEN 'error_response'
             ELSE 'valid' END AS label,
-       length({_NORMQ}) AS normalized_len
+       CAST(length({_NORMQ}) AS INTEGER) AS normalized_len
 FROM a
 """)
 def validity_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,7 +323,7 @@ def time_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("token_counts", f"""
-SELECT doc_id, len({_TOK.format('text')}) AS n_tokens FROM documents
+SELECT doc_id, CAST(len({_TOK.format('text')}) AS INTEGER) AS n_tokens FROM documents
 """)
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts_q(Tables(spark, sf_dir).documents)

@@ -110,12 +110,13 @@ def _sql_mask(expr: str, upto: int) -> str:
 
 
 _HITS_SQL = ",\n       ".join(
-    f"len(regexp_extract_all({_sql_mask('text', i)}, '{p}')) AS hits_{i + 1}"
+    f"CAST(len(regexp_extract_all({_sql_mask('text', i)}, '{p}')) AS INTEGER) AS hits_{i + 1}"
     for i, p in enumerate(D.SECRET_PATTERNS))
 
 
 @register("mask_secrets", f"""
-SELECT doc_id, sha256({_sql_mask('text', 4)}) AS masked_sha256, length({_sql_mask('text', 4)}) AS masked_len,
+SELECT doc_id, sha256({_sql_mask('text', 4)}) AS masked_sha256,
+       CAST(length({_sql_mask('text', 4)}) AS INTEGER) AS masked_len,
        {_HITS_SQL}
 FROM documents
 """)
@@ -134,9 +135,9 @@ SELECT doc_id, nullif(source, '') AS workload_name,
             THEN json_extract_string(text, '$.status') ELSE '' END AS json_status,
        TRY_CAST(nullif(regexp_extract(CASE WHEN try(json_keys(text)) IS NOT NULL THEN coalesce(json_extract_string(text, '$.message'), '') ELSE text END,
                                       'latency[=:]\s?([0-9]+)ms', 1), '') AS INTEGER) AS latency_ms,
-       length(CASE WHEN len(string_split(text, chr(10))) > 40
+       CAST(length(CASE WHEN len(string_split(text, chr(10))) > 40
                    THEN array_to_string(list_slice(string_split(text, chr(10)), 1, 40), chr(10)) || chr(10) || '[TRUNCATED]'
-                   ELSE text END) AS trace_len
+                   ELSE text END) AS INTEGER) AS trace_len
 FROM documents
 """)
 def log_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,8 +95,8 @@ def call_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("innermost_message", """
 SELECT conv_id, turn,
-       length(CASE WHEN len(regexp_extract_all(text, '"message"\\s*:\\s*"([^"]+)"', 1)) > 0
-                   THEN regexp_extract_all(text, '"message"\\s*:\\s*"([^"]+)"', 1)[-1] ELSE text END) AS message_len
+       CAST(length(CASE WHEN len(regexp_extract_all(text, '"message"\\s*:\\s*"([^"]+)"', 1)) > 0
+                   THEN regexp_extract_all(text, '"message"\\s*:\\s*"([^"]+)"', 1)[-1] ELSE text END) AS INTEGER) AS message_len
 FROM conversations WHERE role = 'assistant'
 """)
 def innermost_message(spark: SparkSession, sf_dir: str) -> DataFrame:
