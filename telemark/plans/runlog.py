@@ -1,7 +1,7 @@
 """Run-log analytics queries over the driver tables.
 
 Stand-ins: ``events`` is the call log (purpose = event_type, tokens = props.k,
-latency = value, escalated = value > 45, raw status = ``LogsQueryStatus.`` +
+latency = value, escalated = value > 45, raw status = ``QueryStatus.`` +
 event_type); ``conversations`` assistant turns are the messages classified.
 """
 
@@ -21,7 +21,7 @@ def error_class_q(conversations: DataFrame) -> DataFrame:
 
 
 def status_norm_q(events: DataFrame) -> DataFrame:
-    raw = F.concat(F.lit("LogsQueryStatus."), F.col("event_type"))
+    raw = F.concat(F.lit("QueryStatus."), F.col("event_type"))
     norm = G.normalize_status(None, raw)
     return events.groupBy(norm.alias("status"), G.ui_status(norm).alias("ui_status")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -54,7 +54,7 @@ def test_error_classes_and_status(spark):
     got = [r[0] for r in df.select(G.error_class("m")).collect()]
     assert got == ["auth_error", "rate_limit", "deployment_not_found", "empty_content", "content_filtered",
                    "timeout", "connection_error", "http_error", "generic_error", None]
-    st = spark.createDataFrame([(None, "LogsQueryStatus.SUCCESS"), ("partial", None), (None, None)],
+    st = spark.createDataFrame([(None, "QueryStatus.SUCCESS"), ("partial", None), (None, None)],
                                "s string, raw string")
     n = st.select(G.normalize_status("s", "raw").alias("n")).select("n", G.ui_status("n")).collect()
     assert [tuple(r) for r in n] == [("SUCCESS", "success"), ("PARTIAL", "error"), ("UNKNOWN", "failed")]
