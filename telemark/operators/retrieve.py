@@ -121,8 +121,7 @@ def hybrid_topk(questions: DataFrame, examples: DataFrame, *, q_id: str, q_text:
     ex = ex.withColumn("block", F.pmod(F.xxhash64("eid"), F.lit(n_blocks)).cast("int"))
     blocks = ex.groupBy("block").agg(
         F.array_sort(F.collect_list(F.struct("eid", "elow", "etok", "eflags", "evec"))).alias("exs"))
-    vocab = F.broadcast(ex.agg(F.array_distinct(F.flatten(F.collect_list("etok"))).alias("vocab")))
-    blocks = F.broadcast(blocks)
+    vocab = F.broadcast(ex.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("etok"))).alias("vocab")))
 
     questions = spread(questions)
     qv = F.transform(F.col(q_vec), lambda x: x.cast("double")) if q_vec else F.lit(None).cast("array<double>")
@@ -138,13 +137,14 @@ def hybrid_topk(questions: DataFrame, examples: DataFrame, *, q_id: str, q_text:
 
     # Each question row meets each block row once (n_blocks rows, broadcast);
     # no (question, example) row is materialised.
-    # A question's tokens are first cut to the example vocabulary (once per
-    # question; exact, as every example token lies in it), so each pair
-    # intersects a short list.  The cut is computed below the block join,
-    # so it cannot be folded into the per-example lambda.
+    # A question's tokens are first cut to each block's vocabulary (once per
+    # question and block; exact, as every example token of the block lies in
+    # it), so each pair intersects a short list.  The cut is computed below the
+    # equi-join with the block's examples, so Catalyst cannot fold it into
+    # the per-example lambda.
     q = (q.join(vocab, how="cross")
-          .select("qid", "qlow", "qvec", "qflags", F.array_intersect("qtok", "vocab").alias("qtf")))
-    pairs = q.join(blocks, how="cross").select("qid", scored(None).alias("sc"))
+          .select("qid", "block", "qlow", "qvec", "qflags", F.array_intersect("qtok", "vocab").alias("qtf")))
+    pairs = q.join(F.broadcast(blocks), "block").select("qid", scored(None).alias("sc"))
     if n_blocks == 1:
         hmax = F.array_max(F.transform("sc", lambda s: s["h"]))
         ranked = pairs.withColumn("hmax", hmax)
