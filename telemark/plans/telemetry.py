@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from telemark.functions import aggs, predicates as P, timefn as T
 from telemark.operators import joins as J
-from telemark.operators.latest import change_points, latest_by
+from telemark.operators.latest import change_points, latest_by, row_budget
 from telemark.plans.registry import register
 from telemark.sources.tables import Tables
 
@@ -655,3 +655,24 @@ SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 45
 """)
 def rows_over_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_over_threshold_q(Tables(spark, sf_dir).lineitem)
+
+
+def row_budget_q(events: DataFrame, budget: int = 1000) -> DataFrame:
+    """W-6 rows handed on for explanation: result tables (one per event type, in
+    name order) are passed whole until ``budget`` rows in total; the table that
+    crosses the budget is cut, later ones are left out.  The budget is the
+    feature (the reference's 1000-row limit), not a cost cap."""
+    ev = events.select("event_type", "event_id", "ts", "value")
+    return row_budget(ev, "event_type", [F.col("ts"), F.col("event_id")], budget)
+
+
+@register("row_budget", """
+WITH r AS (SELECT event_type, event_id, ts, value,
+                  row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1),
+o AS (SELECT event_type, 1000 - coalesce(sum(n) OVER (ORDER BY event_type ROWS BETWEEN UNBOUNDED PRECEDING
+                                                     AND 1 PRECEDING), 0) AS left_rows FROM c)
+SELECT r.event_type, event_id, ts, value FROM r JOIN o ON r.event_type = o.event_type WHERE rn <= left_rows
+""")
+def row_budget_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return row_budget_q(Tables(spark, sf_dir).events)
