@@ -327,3 +327,51 @@ SELECT doc_id, CAST(len({_TOK.format('text')}) AS INTEGER) AS n_tokens FROM docu
 """)
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts_q(Tables(spark, sf_dir).documents)
+
+
+def structure_similarity_q(conversations: DataFrame) -> DataFrame:
+    """T-14 structural similarity of each prompt and the reply that follows it."""
+    u = conversations.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("a"))
+    r = conversations.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    j = u.join(r, ["conv_id", "turn"])
+    f = TX.query_features("b")
+    return j.select("conv_id", "turn", F.round(TX.structural_similarity("a", "b"), 6).alias("similarity"),
+                    f["n_where"].alias("n_where"), F.size(f["aggregates"]).alias("n_aggregates"))
+
+
+def _features_sql(x: str):
+    s = f"coalesce({x}, '')"
+    first = f"regexp_extract({s}, '^\\s*([A-Za-z_][A-Za-z0-9_]*)', 1)"
+    joined = f"regexp_extract_all({s}, '(?i)\\b(?:join|union)\\b[^|(]*?\\(?\\s*([A-Za-z_][A-Za-z0-9_]*)', 1)"
+    tables = (f"list_distinct(list_transform(list_filter(list_concat([{first}], {joined}), "
+              f"lambda t: t <> '' AND lower(t) NOT IN ('kind', 'hint', 'withsource')), lambda t: lower(t)))")
+    n_where = f"len(regexp_extract_all({s}, '(?i)\\|\\s*where\\b'))"
+    alts = "|".join(sorted(TX.AGGREGATE_FUNCTIONS, key=len, reverse=True))
+    aggs = f"list_distinct(list_transform(regexp_extract_all({s}, '(?i)\\b({alts})\\s*\\(', 1), lambda t: lower(t)))"
+    return tables, n_where, aggs
+
+
+def _jaccard_sql(a: str, b: str) -> str:
+    u = f"len(list_distinct(list_concat({a}, {b})))"
+    return f"(CASE WHEN {u} = 0 THEN 1.0 ELSE len(list_intersect({a}, {b})) / {u} END)"
+
+
+_TA, _WA, _AA = _features_sql("a")
+_TB, _WB, _AB = _features_sql("b")
+
+
+@register("structure_similarity", f"""
+WITH u AS (SELECT conv_id, turn, text AS a FROM conversations WHERE role = 'user'),
+r AS (SELECT conv_id, turn - 1 AS turn, text AS b FROM conversations WHERE role = 'assistant'),
+j AS (SELECT u.conv_id, u.turn, a, b FROM u JOIN r ON u.conv_id = r.conv_id AND u.turn = r.turn),
+f AS (SELECT conv_id, turn, {_TA} AS ta, {_WA} AS wa, {_AA} AS aa, {_TB} AS tb, {_WB} AS wb, {_AB} AS ab FROM j)
+SELECT conv_id, turn,
+       round(0.4 * {_jaccard_sql('ta', 'tb')}
+             + 0.3 * (CASE WHEN greatest(wa, wb) = 0 THEN 1.0 ELSE 1.0 - abs(wa - wb) / greatest(wa, wb) END)
+             + 0.3 * {_jaccard_sql('aa', 'ab')}, 6) AS similarity,
+       CAST(wb AS INTEGER) AS n_where, CAST(len(ab) AS INTEGER) AS n_aggregates
+FROM f
+""")
+def structure_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_similarity_q(Tables(spark, sf_dir).conversations)
