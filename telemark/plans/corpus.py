@@ -88,7 +88,9 @@ def validity_label_q(conversations: DataFrame) -> DataFrame:
 
 def dedup_questions_q(conversations: DataFrame) -> DataFrame:
     """T-2 / W-5 first-seen dedup by lower-cased question (partial ``min_by``)."""
-    u = _user_turns(conversations).select(F.lower("text").alias("key"), "conv_id", "turn")
+    # the group key is the SHA-256 of the lower-cased question, so the shuffle
+    # moves 64-character digests instead of whole texts
+    u = _user_turns(conversations).select(F.sha2(F.lower("text"), 256).alias("key"), "conv_id", "turn")
     return earliest_by(u, "key", ["conv_id", "turn"]).select("conv_id", "turn")
 
 

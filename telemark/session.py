@@ -23,6 +23,20 @@ _DEFAULTS = {
 }
 
 
+# Suggested settings for a large cluster (applied by the deployment, not here):
+# AQE sizes shuffle partitions at run time from a generous initial count, and
+# splits skewed join partitions; scans read ~256 MB splits.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "telemark", extra: dict | None = None) -> SparkSession:
     """Return the active session or build a local one with the library defaults."""
