@@ -86,3 +86,23 @@ def test_error_rate_stream(spark, tmp_dir):
     assert rows and all(0 <= r.errors <= r.total for r in rows)
     tot = spark.read.parquet(src).count()
     assert sum(r.total for r in rows) <= tot
+
+
+def test_dynamic_helpers(spark):
+    from telemark.functions import dynamic as DY
+    df = spark.createDataFrame([(1, '{"app.kubernetes.io/name": "api", "n": 3, "o": {"x": 1}}'), (2, "plain")],
+                               "id int, v string")
+    r = df.select("id", DY.json_path("v", "app.kubernetes.io/name").alias("a"), DY.json_path("v", "o", "x").alias("x"),
+                  DY.typeof("v").alias("t"), DY.bag_keys("v").alias("k")).collect()
+    assert (r[0].a, r[0].x, r[0].t, sorted(r[0].k)) == ("api", "1", "dynamic", ["app.kubernetes.io/name", "n", "o"])
+    assert (r[1].a, r[1].t, r[1].k) == (None, "string", None)
+    u = DY.bag_unpack(df, "v", prefix="p_")
+    assert u.columns == ["id", "p_app.kubernetes.io/name", "p_n", "p_o"]
+    assert DY.bag_unpack(df, "v", keys=["n"]).collect()[0]["n"] == "3"
+    assert df.select(DY.parse_json("v").isNull()).collect()[1][0]
+
+
+def test_reverse_index(spark):
+    mp = spark.createDataFrame([("A", "p1/x"), ("B", "p1/x"), ("A", "p2/y")], "table_name string, resource_type string")
+    got = {r.resource_type: r.tables for r in C.reverse_index(mp).collect()}
+    assert got == {"p1/x": ["A", "B"], "p2/y": ["A"]}
