@@ -31,9 +31,15 @@ def _any_contains(text: Column, words) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
+# The whitespace set of the regex class \s: blank, tab, newline, vertical tab,
+# form feed, carriage return.
+_WS = " \t\n\x0b\x0c\r"
+
+
 def strip_ws(c) -> Column:
-    """Python-style ``strip()``: leading and trailing whitespace of any kind."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """``strip()`` of leading and trailing whitespace (the \\s set), as a
+    character trim rather than a regex."""
+    return F.btrim(col(c), F.lit(_WS))
 
 
 def collapse_ws(c) -> Column:
