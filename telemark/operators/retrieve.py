@@ -135,14 +135,17 @@ def hybrid_topk(questions: DataFrame, examples: DataFrame, *, q_id: str, q_text:
             _pair_score(F.col("qlow"), F.col("qtf"), F.col("qflags"), e).alias("h"),
             dot(F.col("qvec"), e["evec"]).alias("cos")))
 
-    # Each question row meets each block row once (n_blocks rows, broadcast);
-    # no (question, example) row is materialised.
+    # No (question, example) row is materialised: each (question, block) row
+    # scores the block's examples inside higher-order functions.
     # A question's tokens are first cut to each block's vocabulary (once per
     # question and block; exact, as every example token of the block lies in
     # it), so each pair intersects a short list.  The cut is computed below the
     # equi-join with the block's examples, so Catalyst cannot fold it into
     # the per-example lambda.
-    q = (q.join(vocab, how="cross")
+    # Each question row is replicated once per block (n_blocks is small and
+    # known) and meets its block by an equi-join on the block id.
+    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    q = (q.join(vocab, "block")
           .select("qid", "block", "qlow", "qvec", "qflags", F.array_intersect("qtok", "vocab").alias("qtf")))
     pairs = q.join(F.broadcast(blocks), "block").select("qid", scored(None).alias("sc"))
     if n_blocks == 1:
