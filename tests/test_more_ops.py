@@ -106,3 +106,24 @@ def test_reverse_index(spark):
     mp = spark.createDataFrame([("A", "p1/x"), ("B", "p1/x"), ("A", "p2/y")], "table_name string, resource_type string")
     got = {r.resource_type: r.tables for r in C.reverse_index(mp).collect()}
     assert got == {"p1/x": ["A", "B"], "p2/y": ["A"]}
+
+
+def test_dedup_idempotent_and_first_wins(spark):
+    from hypothesis import given, settings, strategies as st
+    from telemark.operators.latest import earliest_by
+
+    @settings(max_examples=10, deadline=None)
+    @given(st.lists(st.tuples(st.sampled_from(["a", "A", "b", "c"]), st.integers(0, 50)), min_size=1, max_size=12,
+                    unique_by=lambda x: x[1]))
+    def check(rows):
+        df = spark.createDataFrame(rows, "q string, pos int").select(F.lower("q").alias("k"), "q", "pos")
+        once = earliest_by(df, "k", ["pos"])
+        twice = earliest_by(once, "k", ["pos"])
+        a = sorted(map(tuple, once.collect()))
+        assert a == sorted(map(tuple, twice.collect()))
+        want = {}
+        for q, pos in sorted(rows, key=lambda r: r[1]):
+            want.setdefault(q.lower(), (q.lower(), q, pos))
+        assert a == sorted(want.values())
+
+    check()
