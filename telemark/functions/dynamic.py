@@ -28,7 +28,6 @@ def bag_keys(c) -> Column:
 
 def typeof(c) -> Column:
     """F-11 ``typeof``: 'dynamic' for a JSON object or array, else 'string'."""
-    t = F.trim(col(c))
     return F.when(F.json_object_keys(col(c)).isNotNull() | (F.json_array_length(col(c)).isNotNull()),
                   F.lit("dynamic")).otherwise(F.lit("string"))
 
