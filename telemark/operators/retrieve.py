@@ -86,13 +86,26 @@ def _flags(tok: Column) -> Column:
                     (has("pod") | has("pods")).alias("pod"))
 
 
+def _inner_token_count(low: Column) -> Column:
+    """Distinct tokens (length > 1) of a lower-cased text that touch neither
+    its start nor its end.  If the text occurs inside another, each of these
+    is a whole token there too."""
+    parts = F.split(low, "[^a-z0-9]+")
+    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+    return F.size(F.array_distinct(F.filter(inner, lambda t: F.length(t) > 1)))
+
+
 def _pair_score(q_low: Column, q_tok: Column, q_flags: Column, e) -> Column:
-    """T-5 on precomputed lower-cased texts and flags (same value as heuristic_score)."""
-    contain = F.when(F.instr(q_low, e["elow"]) > 0, CONTAIN_BONUS).otherwise(0)
+    """T-5 on precomputed lower-cased texts and flags (same value as heuristic_score).
+
+    The substring test runs only when the shared-token count reaches the
+    example's inner-token count, a necessary condition for containment, so
+    the result is unchanged while most pairs skip the text scan."""
+    ov = token_overlap(q_tok, e["etok"])
     ef = e["eflags"]
     pair = F.when((ef["workload"] & q_flags["workload"]) | (ef["latency"] & q_flags["latency"]), PAIR_BONUS).otherwise(0)
     pod = F.when(ef["pod"] & q_flags["pod"], PAIR_BONUS).otherwise(0)
-    return contain + token_overlap(q_tok, e["etok"]) + pair + pod
+    return ov, pair + pod
 
 
 def hybrid_topk(questions: DataFrame, examples: DataFrame, *, q_id: str, q_text: str, e_id: str, e_text: str,
@@ -109,7 +122,7 @@ def hybrid_topk(questions: DataFrame, examples: DataFrame, *, q_id: str, q_text:
     ex = examples.select(F.col(e_id).alias("eid"), F.lower(F.coalesce(F.col(e_text), F.lit(""))).alias("elow"),
                          tokens(e_text).alias("etok"),
                          F.transform(vec, lambda x: x.cast("double")).alias("evec"))
-    ex = ex.withColumn("eflags", _flags(F.col("etok")))
+    ex = ex.withColumn("eflags", _flags(F.col("etok"))).withColumn("ninner", _inner_token_count(F.col("elow")))
     # Blocks are formed by hashing the id: their content only bounds the size
     # of one broadcast row; ranking ties are settled by id after the merge.
     # One cheap job over the example side measures it before anything is broadcast.
@@ -120,7 +133,7 @@ def hybrid_topk(questions: DataFrame, examples: DataFrame, *, q_id: str, q_text:
     n_blocks = max(1, -(-n_examples // block_size), -(-est_bytes // MAX_BLOCK_BYTES))
     ex = ex.withColumn("block", F.pmod(F.xxhash64("eid"), F.lit(n_blocks)).cast("int"))
     blocks = ex.groupBy("block").agg(
-        F.array_sort(F.collect_list(F.struct("eid", "elow", "etok", "eflags", "evec"))).alias("exs"))
+        F.array_sort(F.collect_list(F.struct("eid", "elow", "etok", "eflags", "ninner", "evec"))).alias("exs"))
     vocab = F.broadcast(ex.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("etok"))).alias("vocab")))
 
     questions = spread(questions)
@@ -130,10 +143,20 @@ def hybrid_topk(questions: DataFrame, examples: DataFrame, *, q_id: str, q_text:
          .withColumn("qtok", tokens("qlow")).withColumn("qflags", _flags(F.col("qtok"))))
 
     def scored(_):
-        return F.transform(F.col("exs"), lambda e: F.struct(
-            e["eid"].alias("eid"),
-            _pair_score(F.col("qlow"), F.col("qtf"), F.col("qflags"), e).alias("h"),
-            dot(F.col("qvec"), e["evec"]).alias("cos")))
+        # first pass: shared tokens and bonuses per example; second pass: the
+        # containment test where it can still succeed, and the cosine
+        def first(e):
+            ov, bonus = _pair_score(F.col("qlow"), F.col("qtf"), F.col("qflags"), e)
+            return F.struct(e["eid"].alias("eid"), ov.alias("ov"), bonus.alias("bonus"), e["ninner"].alias("ninner"),
+                            e["elow"].alias("elow"), e["evec"].alias("evec"))
+
+        def second(x):
+            contain = F.when((x["ov"] >= x["ninner"]) & (F.instr(F.col("qlow"), x["elow"]) > 0),
+                             CONTAIN_BONUS).otherwise(0)
+            return F.struct(x["eid"].alias("eid"), (contain + x["ov"] + x["bonus"]).alias("h"),
+                            dot(F.col("qvec"), x["evec"]).alias("cos"))
+
+        return F.transform(F.transform(F.col("exs"), first), second)
 
     # No (question, example) row is materialised: each (question, block) row
     # scores the block's examples inside higher-order functions.
