@@ -55,24 +55,27 @@ def suggestion_merge(entries: DataFrame, table: str = "table_name", name: str =
 
     Manifest entries (``rank == manifest_rank``) are all kept when named,
     with or without code.  Other entries need a name and code, and are kept
-    only if no earlier entry of the table (by rank, then position) has the
-    same normalised code.  The first owner of each (table, code) is a partial
-    ``min`` aggregate joined back on the key (AQE splits a hot key)."""
-    # The key is the SHA-256 of the normalised code (64 hex chars) rather than
-    # the code itself, so the shuffle moves digests, not whole texts; empty
-    # codes keep the empty key.
-    nc = F.coalesce(normalize_code(F.col(code)), F.lit(""))
-    e = entries.withColumn("_nc", F.when(nc == "", F.lit("")).otherwise(F.sha2(nc, 256)))
-    # No filter on the owner side: a filter would be pushed below the
-    # repartition and evaluate the normalisation a second time in the scan.
-    # Rows with an empty code never use their group's owner.
-    owners = e.groupBy(table, "_nc").agg(F.min(F.struct(F.col(rank).alias("r"), F.col(pos).alias("p"))).alias("_first"))
-    j = e.join(owners, [table, "_nc"], "left")
+    only if no earlier named entry of the table (by rank, then position) has
+    the same normalised code.
+
+    Plan: the owner of each (table, code) is picked by a partial ``min_by``
+    aggregate over the eligible entries, keyed on the SHA-256 of the
+    normalised code (digests are shuffled, not texts, and a code shared by a
+    third of all rows is reduced map-side); owners from other sources are
+    unioned with the manifest rows, which need no normalisation.  One
+    normalisation pass, no join back."""
+    cols = entries.columns
     named = F.coalesce(F.col(name).cast("string"), F.lit("")) != ""
-    keep_manifest = (F.col(rank) == manifest_rank) & named
-    keep_other = ((F.col(rank) != manifest_rank) & named & (F.col("_nc") != "")
-                  & (F.col("_first.r") == F.col(rank)) & (F.col("_first.p") == F.col(pos)))
-    return j.filter(keep_manifest | keep_other).drop("_nc", "_first")
+    manifest = entries.filter((F.col(rank) == manifest_rank) & named)
+    nc = F.coalesce(normalize_code(F.col(code)), F.lit(""))
+    eligible = entries.filter(named).withColumn("_nc", F.when(nc == "", F.lit("")).otherwise(F.sha2(nc, 256)))
+    eligible = eligible.filter(F.col("_nc") != "")
+    owners = eligible.groupBy(table, "_nc").agg(
+        F.min_by(F.struct(*[F.col(c) for c in cols if c != table]),
+                 F.struct(F.col(rank), F.col(pos))).alias("_o"))
+    others = owners.select(table, *[F.col("_o." + c).alias(c) for c in cols if c != table]) \
+                   .filter(F.col(rank) != manifest_rank).select(*cols)
+    return manifest.select(*cols).unionByName(others)
 
 
 def merge_quality(merged: DataFrame, table: str = "table_name", source: str = "source",

@@ -79,7 +79,7 @@ d AS (SELECT lang AS table_name, doc_id, source, CAST(doc_id AS VARCHAR) AS name
              split_part(text, chr(10), 1) AS description,
              TRY_CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) AS rnk, {_NORM_CODE} AS nc FROM documents),
 o AS (SELECT table_name, doc_id, row_number() OVER (PARTITION BY table_name, nc ORDER BY rnk, doc_id) AS rn
-      FROM d WHERE nc <> ''),
+      FROM d WHERE nc <> '' AND coalesce(name, '') <> ''),
 m AS (SELECT d.* FROM d LEFT JOIN o ON d.table_name = o.table_name AND d.doc_id = o.doc_id
       WHERE (d.rnk = 0 AND coalesce(d.name, '') <> '') OR (d.rnk <> 0 AND coalesce(d.name, '') <> '' AND o.rn = 1))"""
 
