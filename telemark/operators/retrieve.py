@@ -46,8 +46,11 @@ def dot(a, b) -> Column:
     """F-17 / T-4 dot product in double (cosine of unit vectors); 0 when a side is missing."""
     a = F.col(a) if isinstance(a, str) else a
     b = F.col(b) if isinstance(b, str) else b
-    prod = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    s = F.aggregate(F.filter(prod, lambda x: x.isNotNull()), F.lit(0.0), lambda acc, x: acc + x)
+    # one pass over positions 1..min(len): no intermediate product array
+    n = F.least(F.size(a), F.size(b))
+    s = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0),
+                    lambda acc, i: acc + F.coalesce(F.element_at(a, i).cast("double")
+                                                    * F.element_at(b, i).cast("double"), F.lit(0.0)))
     return F.when(a.isNull() | b.isNull() | (F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(s)
 
 
