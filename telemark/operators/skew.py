@@ -26,18 +26,48 @@ def _numeric(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+MAX_HOT_KEYS = 10_000
+
+
+def find_hot_keys(df: DataFrame, keys, max_group_rows: int = DEFAULT_MAX_GROUP_ROWS):
+    """Keys with more than ``max_group_rows`` rows: one partial-aggregated
+    count job; at most ``MAX_HOT_KEYS + 1`` key rows reach the driver.
+    Returns a list of key rows, or ``None`` when there are more hot keys than
+    that (the caller then keeps everything lazy)."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    rows = counts.filter(F.col("_n") > max_group_rows).select(*keys).limit(MAX_HOT_KEYS + 1).collect()
+    return None if len(rows) > MAX_HOT_KEYS else rows
+
+
 def split_hot_groups(df: DataFrame, keys, split_col, max_group_rows: int = DEFAULT_MAX_GROUP_ROWS,
-                     n_splits: int = DEFAULT_SPLITS, chunk: str = "_chunk") -> DataFrame:
-    """Add ``chunk``: 0 for ordinary keys, 0..n_splits-1 for hot keys."""
+                     n_splits: int = DEFAULT_SPLITS, chunk: str = "_chunk", hot_rows="find") -> DataFrame:
+    """Add ``chunk``: 0 for ordinary keys, 0..n_splits-1 for hot keys.
+
+    With no hot key (the usual case) this is a literal 0 and the plan is the
+    plain per-key window.  With a bounded number of hot keys their split
+    points (one ``percentile_approx`` per hot key) form a small table that is
+    broadcast; beyond ``MAX_HOT_KEYS`` hot keys everything stays lazy and AQE
+    picks the joins (splitting skewed join partitions)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
+    if isinstance(hot_rows, str):
+        hot_rows = find_hot_keys(df, keys, max_group_rows)
+    if hot_rows is not None and len(hot_rows) == 0:
+        return df.withColumn(chunk, F.lit(0))
+    spark = df.sparkSession
     v = _numeric(split_col).cast("double")
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.filter(F.col("_n") > max_group_rows).select(*keys)
     probs = [i / n_splits for i in range(1, n_splits)]
-    splits = (df.join(broadcast_if_small(hot, max_rows=100_000), keys, "left_semi")
-                .groupBy(*keys).agg(F.percentile_approx(v, F.array(*[F.lit(p) for p in probs]), 10_000)
-                                    .alias("_splits")))
-    splits = broadcast_if_small(splits, max_rows=100_000)
+    key_schema = df.select(*keys).schema
+    if hot_rows is not None:
+        hot = F.broadcast(spark.createDataFrame(hot_rows, key_schema))
+    else:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        hot = counts.filter(F.col("_n") > max_group_rows).select(*keys)
+    splits = (df.join(hot, keys, "left_semi").groupBy(*keys)
+                .agg(F.percentile_approx(v, F.array(*[F.lit(p) for p in probs]), 10_000).alias("_splits")))
+    if hot_rows is not None:
+        # bounded: at most MAX_HOT_KEYS rows of n_splits - 1 doubles
+        splits = F.broadcast(spark.createDataFrame(splits.collect(), splits.schema))
     j = df.withColumn("_v", v).join(splits, keys, "left")
     c = F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(
         F.size(F.filter("_splits", lambda s: s < F.col("_v"))))
@@ -50,7 +80,11 @@ def ordered_neighbours(df: DataFrame, keys, order_cols, split_col, value: str, p
     names, the last one a unique tie-breaker) order, with hot keys split.
     ``split_col`` must be non-decreasing in that order (e.g. the timestamp)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    d = split_hot_groups(df, keys, split_col, max_group_rows, n_splits)
+    hot_rows = find_hot_keys(df, keys, max_group_rows)
+    if hot_rows is not None and len(hot_rows) == 0:
+        w = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order_cols])
+        return df.withColumn(prev_name, F.lag(value).over(w)).withColumn(next_name, F.lead(value).over(w))
+    d = split_hot_groups(df, keys, split_col, max_group_rows, n_splits, hot_rows=hot_rows)
     w = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(c) for c in order_cols])
     wall = Window.partitionBy(*keys, "_chunk")
     d = (d.withColumn(prev_name, F.lag(value).over(w)).withColumn(next_name, F.lead(value).over(w))
@@ -76,7 +110,10 @@ def ordered_positions(df: DataFrame, keys, order_cols, split_col, pos: str = "_p
     (``row_number``), with hot keys split: position = rows in earlier chunks
     of the key + row number inside the chunk."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    d = split_hot_groups(df, keys, split_col, max_group_rows, n_splits)
+    hot_rows = find_hot_keys(df, keys, max_group_rows)
+    if hot_rows is not None and len(hot_rows) == 0:
+        return df.withColumn(pos, F.row_number().over(Window.partitionBy(*keys).orderBy(*order_cols)))
+    d = split_hot_groups(df, keys, split_col, max_group_rows, n_splits, hot_rows=hot_rows)
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order_cols)
     d = d.withColumn("_rn", F.row_number().over(w))
     hot_keys = d.filter(F.col("_chunk") > 0).select(*keys).distinct()
