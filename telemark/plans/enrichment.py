@@ -180,3 +180,14 @@ SELECT event_id, json_extract_string(props, '$.k') AS props_k FROM events
 """)
 def bag_unpack_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_unpack_props_q(Tables(spark, sf_dir).events)
+
+
+@register("search_text", """
+SELECT doc_id, source, n_chars FROM documents
+WHERE contains(lower(text), 'licen') AND ends_with(lower(text), '.') AND NOT starts_with(lower(text), 'released')
+""")
+def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-31 substring / suffix / negated prefix reads (case-insensitive)."""
+    docs = Tables(spark, sf_dir).documents
+    out = search_logs(docs, "text", contains="licen", suffix=".", not_prefix="released")
+    return out.select("doc_id", "source", "n_chars")
