@@ -1,8 +1,8 @@
 """Time functions.
 
 Every function takes an explicit ``as_of`` instead of wall-clock ``now()`` so
-runs repeat.  Buckets are epoch-aligned and keep the input's timestamp flavour
-(``timestamp`` or ``timestamp_ntz``); the session time zone is UTC.
+runs repeat.  Buckets are epoch-aligned and returned as ``timestamp_ntz`` (UTC
+wall clock) for either input flavour; the session time zone is UTC.
 """
 
 from __future__ import annotations
