@@ -168,3 +168,29 @@ FROM cases
 """)
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_summary_q(Tables(spark, sf_dir).orders)
+
+
+def table_compare_q(orders: DataFrame) -> DataFrame:
+    """E-18 whole-table data-quality comparison of the two aggregates (all
+    cases together, case id kept as a column of both tables)."""
+    exp, act = eval_sides(orders)
+    out = E.compare_tables(exp.select("case_id", *EXPECTED_COLS), act.select("case_id", *ACTUAL_COLS))
+    return out.withColumn("overlap", F.round("overlap", 6))
+
+
+@register("table_compare", f"""
+WITH {_SIDES_SQL},
+ec AS (SELECT case_id, c1, c2, c3, count(*) AS ne FROM e GROUP BY ALL),
+ac AS (SELECT case_id, c1, c2, c3, count(*) AS na FROM a GROUP BY ALL),
+j AS (SELECT coalesce(ne, 0) AS ne, coalesce(na, 0) AS na
+      FROM ec FULL OUTER JOIN ac ON ec.case_id = ac.case_id AND ec.c1 = ac.c1 AND ec.c2 = ac.c2 AND ec.c3 = ac.c3),
+ro AS (SELECT CAST(sum(ne) AS BIGINT) AS expected_count, CAST(sum(na) AS BIGINT) AS actual_count,
+              CAST(sum(least(ne, na)) AS BIGINT) AS intersection, CAST(sum(greatest(ne, na)) AS BIGINT) AS union_size,
+              bool_and(ne = na) AS is_match FROM j)
+SELECT CAST(1.0 AS DOUBLE) AS schema_overlap, true AS schema_match, expected_count, actual_count, intersection,
+       union_size, round(CASE WHEN union_size = 0 THEN 1.0 ELSE intersection / union_size END, 6) AS overlap,
+       is_match, CAST(CASE WHEN is_match THEN 0 ELSE abs(expected_count - actual_count) END AS BIGINT) AS mismatches
+FROM ro
+""")
+def table_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_compare_q(Tables(spark, sf_dir).orders)
