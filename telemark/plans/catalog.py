@@ -143,3 +143,29 @@ SELECT page_id, regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]
 FROM pages""")
 def page_description_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_description_q(Tables(spark, sf_dir).pages)
+
+
+def metadata_fallback_q(documents: DataFrame) -> DataFrame:
+    """C-10 per table (lang): the manifest value (``src0``), else the docs
+    value (``src1``), field by field.  Values are the first line of the
+    earliest document of each source; an empty first line counts as missing."""
+    def side(src):
+        d = documents.filter(F.col("source") == src)
+        return d.groupBy(F.col("lang").alias("table_name")).agg(
+            F.min_by(F.substring_index("text", "\n", 1), F.col("doc_id")).alias("description"),
+            F.min_by(F.col("source"), F.col("doc_id")).alias("origin"))
+    return C.metadata_fallback(side("src0"), side("src1"), "table_name", ["description", "origin"])
+
+
+@register("metadata_fallback", """
+WITH p AS (SELECT lang AS table_name, arg_min(split_part(text, chr(10), 1), doc_id) AS description,
+                  arg_min(source, doc_id) AS origin FROM documents WHERE source = 'src0' GROUP BY 1),
+s AS (SELECT lang AS table_name, arg_min(split_part(text, chr(10), 1), doc_id) AS description,
+             arg_min(source, doc_id) AS origin FROM documents WHERE source = 'src1' GROUP BY 1)
+SELECT coalesce(p.table_name, s.table_name) AS table_name,
+       coalesce(nullif(p.description, ''), s.description) AS description,
+       coalesce(nullif(p.origin, ''), s.origin) AS origin
+FROM p FULL OUTER JOIN s ON p.table_name = s.table_name
+""")
+def metadata_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metadata_fallback_q(Tables(spark, sf_dir).documents)
