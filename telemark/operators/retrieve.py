@@ -125,7 +125,8 @@ def hybrid_topk(questions: DataFrame, examples: DataFrame, *, q_id: str, q_text:
     ex = examples.select(F.col(e_id).alias("eid"), F.lower(F.coalesce(F.col(e_text), F.lit(""))).alias("elow"),
                          tokens(e_text).alias("etok"),
                          F.transform(vec, lambda x: x.cast("double")).alias("evec"))
-    ex = ex.withColumn("eflags", _flags(F.col("etok"))).withColumn("ninner", _inner_token_count(F.col("elow")))
+    ex = (ex.withColumn("eflags", _flags(F.col("etok"))).withColumn("ninner", _inner_token_count(F.col("elow")))
+            .withColumn("etokh", F.transform("etok", lambda t: F.xxhash64(t))))
     # Blocks are formed by hashing the id: their content only bounds the size
     # of one broadcast row; ranking ties are settled by id after the merge.
     # One cheap job over the example side measures it before anything is broadcast.
@@ -136,8 +137,12 @@ def hybrid_topk(questions: DataFrame, examples: DataFrame, *, q_id: str, q_text:
     n_blocks = max(1, -(-n_examples // block_size), -(-est_bytes // MAX_BLOCK_BYTES))
     ex = ex.withColumn("block", F.pmod(F.xxhash64("eid"), F.lit(n_blocks)).cast("int"))
     blocks = ex.groupBy("block").agg(
-        F.array_sort(F.collect_list(F.struct("eid", "elow", "etok", "eflags", "ninner", "evec"))).alias("exs"))
-    vocab = F.broadcast(ex.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("etok"))).alias("vocab")))
+        F.array_sort(F.collect_list(F.struct("eid", "elow", "etok", "etokh", "eflags", "ninner", "evec"))).alias("exs"))
+    vocab = ex.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("etok"))).alias("vocab"))
+    # Token hashes stand in for tokens only where they are collision-free on
+    # the block vocabulary (checked once per block); otherwise strings are used.
+    vocab = F.broadcast(vocab.withColumn(
+        "hash_ok", F.size(F.array_distinct(F.transform("vocab", lambda t: F.xxhash64(t)))) == F.size("vocab")))
 
     questions = spread(questions)
     qv = F.transform(F.col(q_vec), lambda x: x.cast("double")) if q_vec else F.lit(None).cast("array<double>")
@@ -150,6 +155,8 @@ def hybrid_topk(questions: DataFrame, examples: DataFrame, *, q_id: str, q_text:
         # containment test where it can still succeed, and the cosine
         def first(e):
             ov, bonus = _pair_score(F.col("qlow"), F.col("qtf"), F.col("qflags"), e)
+            # both sides lie in the block vocabulary: equal hashes <=> equal tokens when hash_ok
+            ov = F.when(F.col("hash_ok"), F.size(F.array_intersect(F.col("qtfh"), e["etokh"]))).otherwise(ov)
             return F.struct(e["eid"].alias("eid"), ov.alias("ov"), bonus.alias("bonus"), e["ninner"].alias("ninner"),
                             e["elow"].alias("elow"), e["evec"].alias("evec"))
 
@@ -172,7 +179,8 @@ def hybrid_topk(questions: DataFrame, examples: DataFrame, *, q_id: str, q_text:
     # known) and meets its block by an equi-join on the block id.
     q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     q = (q.join(vocab, "block")
-          .select("qid", "block", "qlow", "qvec", "qflags", F.array_intersect("qtok", "vocab").alias("qtf")))
+          .select("qid", "block", "qlow", "qvec", "qflags", "hash_ok", F.array_intersect("qtok", "vocab").alias("qtf"))
+          .withColumn("qtfh", F.transform("qtf", lambda t: F.xxhash64(t))))
     pairs = q.join(F.broadcast(blocks), "block").select("qid", scored(None).alias("sc"))
     if n_blocks == 1:
         hmax = F.array_max(F.transform("sc", lambda s: s["h"]))
