@@ -43,3 +43,21 @@ def test_time_helpers(spark):
     assert r.b == dt.datetime(2024, 1, 2, 10, 0) and r.d == dt.datetime(2024, 1, 2)
     assert r.e == dt.datetime(2024, 1, 2, 23, 59, 59, 999999) and r.m == 67
     assert r.w == dt.datetime(2023, 12, 31) and r.bad is None
+
+
+def test_partitioning_helpers(spark):
+    from telemark.operators.joins import broadcast_if_small, spread
+    from telemark.session import cut_lineage
+
+    one = spark.range(100).coalesce(1)
+    assert spread(one, 4).rdd.getNumPartitions() == 4
+    many = spark.range(100).repartition(6)
+    assert spread(many, 4).rdd.getNumPartitions() == 6            # already spread: unchanged
+    small = spark.range(10)
+    plan = broadcast_if_small(small).join(spark.range(1000), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan
+    big = broadcast_if_small(spark.range(10), max_bytes=0, max_rows=5)   # over both bounds: no hint
+    assert "ResolvedHint" not in big._jdf.queryExecution().analyzed().toString()
+    ck = cut_lineage(spark.range(5).selectExpr("id * 2 AS x"))
+    assert sorted(r.x for r in ck.collect()) == [0, 2, 4, 6, 8]
+    assert spark.sparkContext.getCheckpointDir()
