@@ -50,7 +50,8 @@ def reverse_index(mapping: DataFrame) -> DataFrame:
 
 
 def suggestion_merge(entries: DataFrame, table: str = "table_name", name: str = "name", code: str = "code",
-                     rank: str = "source_rank", pos: str = "pos", manifest_rank: int = 0) -> DataFrame:
+                     rank: str = "source_rank", pos: str = "pos", manifest_rank: int = 0,
+                     keep=None) -> DataFrame:
     """C-7 merge suggestions by source precedence (manifest > CSV > docs).
 
     Manifest entries (``rank == manifest_rank``) are all kept when named,
@@ -63,17 +64,20 @@ def suggestion_merge(entries: DataFrame, table: str = "table_name", name: str =
     normalised code (digests are shuffled, not texts, and a code shared by a
     third of all rows is reduced map-side); owners from other sources are
     unioned with the manifest rows, which need no normalisation.  One
-    normalisation pass, no join back."""
-    cols = entries.columns
+    normalisation pass, no join back.  ``keep`` names the output columns
+    (default: all); columns not kept, such as the code text, are not carried
+    through the aggregate."""
+    cols = list(keep) if keep is not None else entries.columns
+    cols = [table] + [c for c in cols if c != table]
+    carried = [c for c in dict.fromkeys(cols + [rank, pos]) if c != table]
     named = F.coalesce(F.col(name).cast("string"), F.lit("")) != ""
     manifest = entries.filter((F.col(rank) == manifest_rank) & named)
     nc = F.coalesce(normalize_code(F.col(code)), F.lit(""))
     eligible = entries.filter(named).withColumn("_nc", F.when(nc == "", F.lit("")).otherwise(F.sha2(nc, 256)))
     eligible = eligible.filter(F.col("_nc") != "")
     owners = eligible.groupBy(table, "_nc").agg(
-        F.min_by(F.struct(*[F.col(c) for c in cols if c != table]),
-                 F.struct(F.col(rank), F.col(pos))).alias("_o"))
-    others = owners.select(table, *[F.col("_o." + c).alias(c) for c in cols if c != table]) \
+        F.min_by(F.struct(*[F.col(c) for c in carried]), F.struct(F.col(rank), F.col(pos))).alias("_o"))
+    others = owners.select(table, *[F.col("_o." + c).alias(c) for c in carried]) \
                    .filter(F.col(rank) != manifest_rank).select(*cols)
     return manifest.select(*cols).unionByName(others)
 

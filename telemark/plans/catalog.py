@@ -35,7 +35,7 @@ def mapping_of(documents: DataFrame) -> DataFrame:
 
 
 def suggestion_merge_q(documents: DataFrame) -> DataFrame:
-    return C.suggestion_merge(entries_of(documents)).select("table_name", "doc_id", "source")
+    return C.suggestion_merge(entries_of(documents), keep=["table_name", "doc_id", "source"])
 
 
 def merge_quality_q(documents: DataFrame) -> DataFrame:
