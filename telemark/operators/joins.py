@@ -123,9 +123,10 @@ def union_all(frames, with_source: str | None = None, names=None) -> DataFrame:
 def table_counts(tables: dict, name_col: str = "table_name", count_col: str = "row_count") -> DataFrame:
     """U-2 / U-3 / C-2 ``union withsource=T * | summarize count() by T``.
 
-    Each table is counted on its own (``groupBy().count()`` reads no columns),
-    then only one row per table is unioned: no wide rows move.
-    """
-    parts = [df.agg(F.count(F.lit(1)).alias(count_col)).select(F.lit(n).alias(name_col), count_col)
-             for n, df in tables.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    Each scan contributes only a literal table name (no data columns are
+    read); the union is counted by one ``groupBy`` whose partial aggregate
+    leaves one row per table and input partition, so only counts cross the
+    single shuffle."""
+    parts = [df.select(F.lit(n).alias(name_col)) for n, df in tables.items()]
+    union = reduce(lambda a, b: a.unionByName(b), parts)
+    return union.groupBy(name_col).agg(F.count(F.lit(1)).alias(count_col))
