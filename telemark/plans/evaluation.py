@@ -47,8 +47,8 @@ def ordered_overlap_q(orders: DataFrame, max_group_rows: int | None = None) -> D
     return out.withColumn("overlap", F.round("overlap", 6))
 
 
-def score_cases_q(orders: DataFrame) -> DataFrame:
-    """E-9, E-10, E-15, E-16, E-17 per case."""
+def _scored(orders: DataFrame) -> DataFrame:
+    """Per-case scores plus the returned row count (one row-overlap plan)."""
     exp, act = eval_sides(orders)
     sc = E.schema_compare(EXPECTED_COLS, ACTUAL_COLS, strict_order=False)
     ro = E.row_overlap(exp, act, "case_id", EXPECTED_COLS, ACTUAL_COLS)
@@ -60,7 +60,16 @@ def score_cases_q(orders: DataFrame) -> DataFrame:
         "case_id", "schema_overlap", "rows_overlap", "s.results_match", "s.total_score", "s.is_successful",
         E.score_band("s.total_score").alias("band"),
         E.zero_rows_warning("rows_overlap", "actual_count").alias("zero_rows_warning"),
-        E.case_status(F.lit("generated"), None, F.lit(None), F.lit(None)).alias("status"))
+        E.case_status(F.lit("generated"), None, F.lit(None), F.lit(None)).alias("status"), "actual_count")
+
+
+SCORE_COLUMNS = ["case_id", "schema_overlap", "rows_overlap", "results_match", "total_score", "is_successful",
+                 "band", "zero_rows_warning", "status"]
+
+
+def score_cases_q(orders: DataFrame) -> DataFrame:
+    """E-9, E-10, E-15, E-16, E-17 per case."""
+    return _scored(orders).select(*SCORE_COLUMNS)
 
 
 def eval_summary_q(orders: DataFrame) -> DataFrame:
@@ -71,8 +80,7 @@ def eval_summary_q(orders: DataFrame) -> DataFrame:
 
 def batch_summary_q(orders: DataFrame) -> DataFrame:
     """E-13 over the scored cases."""
-    cases = score_cases_q(orders).join(row_overlap_q(orders).select("case_id", "actual_count"), "case_id")
-    return E.batch_summary(cases, returned_count="actual_count")
+    return E.batch_summary(_scored(orders), returned_count="actual_count")
 
 
 _SIDES_SQL = """
