@@ -4,6 +4,6 @@ Every public function is either ``Column -> Column`` or ``DataFrame -> DataFrame
 nothing here collects rows to the driver except schema-sized metadata.
 """
 
-from telemark.session import get_session, checkpoint_dir
+from telemark.session import get_session, ship_package
 
-__all__ = ["get_session", "checkpoint_dir"]
+__all__ = ["get_session", "ship_package"]

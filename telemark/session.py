@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -54,32 +55,22 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster this must be set by the deployment (a shared file system);
-    only when it is unset (tests, local runs) a private scratch folder is made.
-    """
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, for functions that run in Python there.
+    Once a session; a folder on every worker's PYTHONPATH would do as well."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        conf = tempfile.mkdtemp(prefix="telemark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(conf)
-    return sc.getCheckpointDir() or conf
-
-
-def cut_lineage(df, eager: bool = True):
-    """Cut a long lineage with a reliable checkpoint in the shared
-    ``spark.checkpoint.dir`` (never a local checkpoint: a lost executor would
-    lose it)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    if getattr(sc, "_telemark_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    fd, path = tempfile.mkstemp(prefix="telemark-", suffix=".zip")
+    with os.fdopen(fd, "wb") as f, zipfile.ZipFile(f, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("telemark", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    sc._telemark_shipped = True
