@@ -52,6 +52,22 @@ def add(df: DataFrame, **columns) -> DataFrame:
     return df.select(*keep, *[v.alias(n) for n, v in columns.items()])
 
 
+def uniform(seed: int, *columns) -> F.Column:
+    """Uniform in [0, 1) from a hash of the seed and the columns."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11).cast("double") * F.lit(2.0 ** -53)
+
+
+def bounded_sample(df: DataFrame, by: str, most: int, draw, counts: dict | None = None) -> DataFrame:
+    """About ``most`` rows of each value of ``by``: those whose ``draw`` (a
+    uniform number) falls below ``most`` over the value's row count.  The counts
+    cover all rows, and no class is ever brought together."""
+    counts = counts or {r[0]: r[1] for r in df.groupBy(by).agg(F.count(F.lit(1))).collect()}
+    rate = F.lit(0.0)
+    for value, n in sorted(counts.items()):
+        rate = F.when(F.col(by) == F.lit(value), F.lit(most / n)).otherwise(rate)
+    return df.filter(draw < rate)
+
+
 def ranked(df: DataFrame, *order) -> DataFrame:
     """``df`` with ``rank_``: 0, 1, 2 ... over all rows in this order, without
     sending all rows to one task: range partitions are numbered each on its own

@@ -33,12 +33,6 @@ def size_of(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(C.WORD)), F.lit(0)).cast("long")
 
 
-def draw(seed: int, *columns) -> F.Column:
-    """Uniform in [0, 1) from a hash of the seed and the columns."""
-    h = F.xxhash64(F.lit(seed), *columns)
-    return F.shiftrightunsigned(h, 11).cast("double") * F.lit(2.0 ** -53)
-
-
 def targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP, share: float = 1.0) -> DataFrame:
     """``(source, source_size, target, rate)`` from rows of ``(source, size)``.
 
@@ -68,7 +62,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP, share: float =
 
 def plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """One row per document: ``id, size, source_size, target, copies, taken``."""
-    sized = C.written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), draw(seed, F.col(id_col), F.col(text_col)).alias("u")), "sizes")
+    sized = C.written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), C.uniform(seed, F.col(id_col), F.col(text_col)).alias("u")), "sizes")
     return (_with_rate(sized, targets(sized.select("source", "size"), weights, cap), "source")
             .withColumn("copies", _copies(F.col("u")))
             .select("id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")))
@@ -89,6 +83,6 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     columns of ``docs``."""
     sizes = C.written(docs.select(F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")).groupBy("source").agg(F.sum("size").alias("size")), "sizes")
     rates = targets(sizes, weights, cap).select("source", "rate")
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col(source_col).alias("source_"), draw(seed, F.col(id_col), F.col(text_col)).alias("u_"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col(source_col).alias("source_"), C.uniform(seed, F.col(id_col), F.col(text_col)).alias("u_"))
     kept = _with_rate(row, rates, "source_").withColumn("copies_", _copies(F.col("u_")).cast("int")).filter("copies_ > 0")
     return kept.select("row_", F.explode(F.sequence(F.lit(1), "copies_")).alias("copy_")).select("row_.*")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemark.llm import common as C
-from telemark.llm import mixing, secrets, sharding, tokens
+from telemark.llm import htmltext, langid, mixing, quality, secrets, sharding, tokens
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -44,6 +44,18 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
+def fold(modulus: int) -> F.Column:
+    """crc32 of the id as text, modulo."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+@register("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"), fold(5) != 0)
+    return quality.score(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 @register("op5_secret_scan")
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
@@ -53,8 +65,20 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.of_paths(docs).select(F.col("id").alias("doc_id"), *n, F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
+@register("op6_main_text")
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @register("op7_shard_shuffle")
 def op7_shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sharding.shard(_table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
     return d.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
                     F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op10_language")
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.select("doc_id", "text", "lang"), fold(4) != 2)
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
