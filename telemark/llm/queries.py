@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemark.llm import common as C
-from telemark.llm import htmltext, langid, mixing, quality, secrets, sharding, tokens
+from telemark.llm import htmltext, langid, mixing, phrases, quality, secrets, sharding, tiling, tokens
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -44,6 +44,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
+@register("op3_fingerprints")
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 def fold(modulus: int) -> F.Column:
     """crc32 of the id as text, modulo."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
@@ -77,6 +82,12 @@ def op7_shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@register("op8_decontaminate")
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each contaminated document and the benchmark item in it."""
+    return tiling.contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+
+
 @register("op10_language")
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
