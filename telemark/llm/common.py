@@ -68,6 +68,24 @@ def bounded_sample(df: DataFrame, by: str, most: int, draw, counts: dict | None
     return df.filter(draw < rate)
 
 
+def bitmap(slots: DataFrame, bits: int):
+    """A bitmap of ``2 ** bits`` bits, whatever the input's size, from rows of
+    one slot number each; ``probe`` reads it."""
+    import numpy as np
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in slots.distinct().toLocalIterator():
+        out[r[0] >> 3] |= 1 << (r[0] & 7)
+    return out
+
+
+def probe(bits_of, slot):
+    """Whether each slot's bit is set."""
+    import numpy as np
+
+    return ((bits_of[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def ranked(df: DataFrame, *order) -> DataFrame:
     """``df`` with ``rank_``: 0, 1, 2 ... over all rows in this order, without
     sending all rows to one task: range partitions are numbered each on its own

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemark.llm import common as C
-from telemark.llm import htmltext, langid, mixing, phrases, quality, secrets, sharding, tiling, tokens
+from telemark.llm import htmltext, jaccard, langid, mixing, phrases, quality, secrets, sharding, tiling, tokens
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -88,6 +88,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
+@register("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = jaccard.linked(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=85)
+    return d.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 @register("op10_language")
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")

@@ -121,10 +121,7 @@ def _bitmap(items: DataFrame, min_match: int, bits: int) -> np.ndarray:
             h, inside = seeds(flat, off, min_match)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(h[inside] >> np.uint64(64 - bits)).astype(np.int64))], names=["slot"])
 
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in items.mapInArrow(slots, "slot long").distinct().toLocalIterator():
-        out[r[0] >> 3] |= 1 << (r[0] & 7)
-    return out
+    return C.bitmap(items.mapInArrow(slots, "slot long"), bits)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text_col="text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, bits: int = BITMAP_BITS) -> DataFrame:
@@ -141,7 +138,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="it
             flat, off = _flat(b.column("w"))
             h, inside = seeds(flat, off, min_match)
             slot = h >> np.uint64(64 - bits)
-            hit = np.flatnonzero(((bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool) & inside)
+            hit = np.flatnonzero(C.probe(bitmap, slot) & inside)
             if not len(hit):
                 continue
             owner = np.searchsorted(off, hit, side="right") - 1
