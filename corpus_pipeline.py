@@ -1,15 +1,41 @@
 """The training-data pipeline over ``documents``: five stages, each one of the
-operators of ``telemark.llm``."""
+operators of ``telemark.llm``.
+
+``quality``       documents that the compression classifier rejects go; it
+                  learns from ``labels``
+``dedup``         of each component of the n-gram Jaccard join (five words,
+                  0.8) the first document by id and text stays
+``decontaminate`` documents that hold benchmark items go
+``mix``           documents are repeated towards their source's target
+``tokens``        the mix is written as token ids and read back
+
+The first four return the columns of documents.  Null ids and texts pass the
+filters like other rows: a null text is an empty document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from telemark.llm import common as C
-from telemark.llm import mixing
+from telemark.llm import jaccard, mixing, quality, tiling
 from telemark.llm.queries import token_rows
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).filter(F.col("score") >= quality.THRESHOLD).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.deduplicate(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return tiling.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
@@ -18,10 +44,10 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return token_rows(docs)
 
 
-STAGES = [("mix", mix_sources), ("tokens", token_output)]
+STAGES = [("quality", quality_filter), ("dedup", near_duplicates), ("decontaminate", decontaminate), ("mix", mix_sources), ("tokens", token_output)]
 
-#: Scores and hash-seeded copies are beyond SQL; the tests hold the stages
-#: against brute-force versions instead.
+#: Scores and hash-seeded copies are beyond SQL; the tests hold each stage
+#: against a brute-force version instead.
 ORACLE_SQL = None
 
 

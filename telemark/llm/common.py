@@ -6,6 +6,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +73,6 @@ def bounded_sample(df: DataFrame, by: str, most: int, draw, counts: dict | None
 def bitmap(slots: DataFrame, bits: int):
     """A bitmap of ``2 ** bits`` bits, whatever the input's size, from rows of
     one slot number each; ``probe`` reads it."""
-    import numpy as np
-
     out = np.zeros(1 << (bits - 3), np.uint8)
     for r in slots.distinct().toLocalIterator():
         out[r[0] >> 3] |= 1 << (r[0] & 7)
@@ -81,11 +81,25 @@ def bitmap(slots: DataFrame, bits: int):
 
 def probe(bits_of, slot):
     """Whether each slot's bit is set."""
-    import numpy as np
-
     return ((bits_of[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
+def without(rows: DataFrame, key: str, keys: DataFrame, bits: int = 23) -> DataFrame:
+    """Rows whose ``key`` is not among ``keys`` (one column of the same name,
+    no nulls).  Rows that a fixed-size bitmap of the keys clears pass at once;
+    only the others are shuffled to meet the keys."""
+    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
+    keys = written(keys.select(F.col(key).alias("without_")).distinct(), "keys")
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(keys.select(slot("without_").alias("slot")), bits))
+
+    @F.pandas_udf("boolean")
+    def maybe(s: pd.Series) -> pd.Series:
+        return pd.Series(probe(shared.value, s.to_numpy().astype(np.uint64)))
+
+    hit = maybe(slot(F.col(key)))
+    return rows.filter(~hit).union(rows.filter(hit).join(keys, F.col(key) == F.col("without_"), "left_anti"))
+
+
 def ranked(df: DataFrame, *order) -> DataFrame:
     """``df`` with ``rank_``: 0, 1, 2 ... over all rows in this order, without
     sending all rows to one task: range partitions are numbered each on its own

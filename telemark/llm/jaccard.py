@@ -315,3 +315,20 @@ def linked(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHI
     least = own.filter("n_shingles > 0").groupBy("label").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("label", "least")
     some = own.filter("n_shingles > 0").join(least, "label", "left").select("id", "n_shingles", F.coalesce("least", "id").alias("component"))
     return some.union(own.filter("n_shingles = 0").select("id", "n_shingles", "id"))
+
+
+def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component: the least by id (null last),
+    then by a hash of the text.  Rows without words all stay, but of rows that
+    repeat id and text one stays."""
+    text = F.sha2(F.coalesce(F.col(text_col), F.lit("\x00")), 256)
+    key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), text)
+    rows = docs.withColumn("key_", key)
+    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("key_").alias("key"))
+    own = C.written(linked(rows.select(name.alias("name"), F.col(text_col).alias("text")), "name", "text", shingle, percent).select("id", "component"), "components")
+    gone = own.filter(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id.key").alias("key_"))
+    twice = C.written(own.filter(F.col("id").eqNullSafe(F.col("component"))).groupBy(F.col("id.key").alias("key_")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key_"), "repeated")
+    kept = C.without(rows, "key_", gone.union(twice))
+    if twice.head(1):
+        kept = kept.union(rows.join(twice, "key_", "left_semi").dropDuplicates(["key_"]).select(rows.columns))
+    return kept.drop("key_")

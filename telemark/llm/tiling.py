@@ -202,5 +202,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_co
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col="text", **options) -> DataFrame:
     """``docs`` without the contaminated documents."""
-    found = C.written(matches(docs, benchmark, text_col, **options).select("blob").distinct(), "matches")
-    return docs.join(found.withColumnRenamed("blob", "blob_"), F.sha2(F.col(text_col), 256) == F.col("blob_"), "left_anti")
+    found = matches(docs, benchmark, text_col, **options).select(F.col("blob").alias("blob_"))
+    # a null text has no blob and matches nothing
+    rows = docs.withColumn("blob_", F.coalesce(F.sha2(F.col(text_col), 256), F.lit("")))
+    return C.without(rows, "blob_", found).drop("blob_")
