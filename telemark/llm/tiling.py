@@ -176,14 +176,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="it
 
     def tile(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            out = {"blob": b.column("blob").to_pylist(), "item_id": b.column("item_id").to_pylist(), "n_tiles": [], "covered": [], "coverage": []}
+            out = {"n_tiles": [], "covered": [], "coverage": []}
             for p, w in zip(b.column("p").to_pylist(), b.column("w").to_pylist()):
                 tiles = greedy_tiles([x + (1 << 63) for x in p], [-1 if x is None else x + (1 << 63) for x in w], min_match)
                 c = sum(k for _, _, k in tiles)
                 out["n_tiles"].append(len(tiles))
                 out["covered"].append(c)
                 out["coverage"].append(c / len(p))
-            yield pa.RecordBatch.from_pydict(out)
+            made = [pa.array(out[x], t) for x, t in (("n_tiles", pa.int64()), ("covered", pa.int64()), ("coverage", pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column("blob"), b.column("item_id"), *made], names=["blob", "item_id", *out])
 
     return both.mapInArrow(tile, f"blob string, item_id {out_type}, n_tiles long, covered long, coverage double").filter(F.col("coverage") >= coverage)
 
