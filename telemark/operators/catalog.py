@@ -92,14 +92,20 @@ def merge_quality(merged: DataFrame, table: str = "table_name", source: str = "s
 
 
 def column_metadata_merge(cols: DataFrame) -> DataFrame:
-    """C-9 per (table, column): the first non-empty type wins, descriptions
-    become a sorted set."""
+    """C-9 per (table, column): the first non-empty type wins, and the number of
+    different descriptions; ``column_descriptions`` lists these."""
     typed = F.when(F.coalesce(F.col("column_type"), F.lit("")) != "",
                    F.struct(F.col("manifest_file"), F.col("pos"), F.col("column_type")))
     return cols.groupBy("table_name", "column_name").agg(
         F.min(typed).alias("_t"),
-        F.array_sort(F.collect_set(F.nullif(F.col("description"), F.lit("")))).alias("descriptions")
-    ).select("table_name", "column_name", F.col("_t.column_type").alias("column_type"), "descriptions")
+        F.count_distinct(F.when(F.col("description") != "", F.sha2("description", 256))).alias("n_descriptions")
+    ).select("table_name", "column_name", F.col("_t.column_type").alias("column_type"), "n_descriptions")
+
+
+def column_descriptions(cols: DataFrame) -> DataFrame:
+    """C-9 one row per (table, column, description), so that no group of
+    descriptions is gathered in one value."""
+    return cols.filter(F.coalesce(F.col("description"), F.lit("")) != "").select("table_name", "column_name", "description").distinct()
 
 
 def metadata_fallback(primary: DataFrame, secondary: DataFrame, key: str, fields) -> DataFrame:

@@ -61,10 +61,10 @@ def with_neighbours(df: DataFrame, entity, order_cols, value: str,
 def change_points(df: DataFrame, entity, order_cols, value: str,
                   prev_name: str = "prev_value", next_name: str = "next_value", split_col=None,
                   max_group_rows: int | None = None) -> DataFrame:
-    """W-3 status timeline: keep rows whose value differs from the previous row
-    of the same entity; a missing (null) neighbour counts as different."""
+    """W-3 status timeline: keep rows whose value differs from the previous or
+    the next row of the same entity; a missing neighbour counts as different."""
     out = with_neighbours(df, entity, order_cols, value, prev_name, next_name, split_col, max_group_rows)
-    return out.filter(~F.col(value).eqNullSafe(F.col(prev_name)))
+    return out.filter(~F.col(value).eqNullSafe(F.col(prev_name)) | ~F.col(value).eqNullSafe(F.col(next_name)))
 
 
 def first_k_per_group(df: DataFrame, keys, order_cols, k: int, rank_name: str | None = None) -> DataFrame:

@@ -241,15 +241,16 @@ def index_rows(examples: DataFrame, domain: str, id_col: str, question: str, ans
 def index_header(rows: DataFrame) -> DataFrame:
     """T-7 per-domain header: example count, vector size and a corpus hash.
 
-    The corpus hash is the XOR of per-row hashes that include the example id,
-    so it changes when any example, its text or its position changes, and it
+    The corpus hash is the sum of per-row hashes that include the example id,
+    so it changes when any example, its text, its position or its number of
+    copies changes (equal rows do not cancel), and it
     is computed with a partial aggregate (no ordered concatenation of the
     whole corpus in one task).  ``reference_corpus_hash`` gives the
     sequential SHA-256 of the ordered ``q||k\\n`` stream for small corpora."""
     return rows.groupBy("domain").agg(
         F.count(F.lit(1)).alias("n_examples"),
         F.coalesce(F.max(F.size("vector")), F.lit(0)).cast("int").alias("vector_dim"),
-        F.bit_xor("_rh").alias("examples_hash"),
+        F.sum(F.col("_rh").cast("decimal(38,0)")).cast("string").alias("examples_hash"),
         F.lit(INDEX_SCHEMA_VERSION).alias("schema_version"))
 
 
@@ -271,6 +272,6 @@ def dirty_domains(stored: DataFrame, current: DataFrame, force: bool = False) ->
     j = current.join(s, "domain", "left")
     reason = (F.when(F.lit(force), "force").when(F.col("s_examples_hash").isNull(), "missing")
                .when(F.col("s_schema_version") != F.col("schema_version"), "version")
-               .when(F.col("s_examples_hash") != F.col("examples_hash"), "hash")
+               .when((F.col("s_examples_hash") != F.col("examples_hash")) | (F.col("s_n_examples") != F.col("n_examples")), "hash")
                .when(F.col("s_vector_dim") != F.col("vector_dim"), "shape").otherwise("ok"))
     return j.select("domain", (reason != "ok").alias("dirty"), reason.alias("reason"))

@@ -18,10 +18,15 @@ from telemark.plans.registry import register
 from telemark.sources.tables import TABLES, Tables
 
 
+def description():
+    """Stand-in for an entry's description: where it comes from; none for short texts."""
+    return F.when(F.col("n_chars") < 500, F.lit("")).otherwise(F.concat_ws("/", "lang", "source"))
+
+
 def entries_of(documents: DataFrame) -> DataFrame:
     return J.spread(documents).select(
         F.col("lang").alias("table_name"), F.col("doc_id").cast("string").alias("name"),
-        F.col("text").alias("code"), F.substring_index("text", "\n", 1).alias("description"),
+        F.col("text").alias("code"), description().alias("description"),
         F.regexp_extract("source", r"(\d+)", 1).try_cast("int").alias("source_rank"),
         F.col("doc_id").alias("pos"), F.col("source"), F.col("doc_id"))
 
@@ -61,11 +66,11 @@ def table_counts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def column_metadata_q(documents: DataFrame) -> DataFrame:
     cols = documents.select(
         F.col("lang").alias("table_name"), F.col("source").alias("column_name"),
-        F.regexp_extract("text", r"^([A-Za-z]+)", 1).alias("column_type"),
-        F.left("text", F.lit(3)).alias("description"), F.lit("docs").alias("manifest_file"),
+        F.when(F.col("n_chars") < 1000, F.lit("")).when(F.col("n_chars") < 3000, F.lit("text")).otherwise(F.lit("longtext")).alias("column_type"),
+        F.col("text").alias("description"), F.lit("docs").alias("manifest_file"),
         F.col("doc_id").alias("pos"))
     out = C.column_metadata_merge(cols)
-    return out.select("table_name", "column_name", "column_type", F.size("descriptions").alias("n_descriptions"))
+    return out.select("table_name", "column_name", "column_type", "n_descriptions")
 
 
 def page_description_q(pages: DataFrame) -> DataFrame:
@@ -76,7 +81,7 @@ _NORM_CODE = ("regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),
               "'^\\s+|\\s+$', '', 'g'), '\\n{2,}', chr(10), 'g')")
 _ENTRIES = f"""
 d AS (SELECT lang AS table_name, doc_id, source, CAST(doc_id AS VARCHAR) AS name, text AS code,
-             split_part(text, chr(10), 1) AS description,
+             CASE WHEN n_chars < 500 THEN '' ELSE lang || '/' || source END AS description,
              TRY_CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) AS rnk, {_NORM_CODE} AS nc FROM documents),
 o AS (SELECT table_name, doc_id, row_number() OVER (PARTITION BY table_name, nc ORDER BY rnk, doc_id) AS rn
       FROM d WHERE nc <> '' AND coalesce(name, '') <> ''),
@@ -128,10 +133,11 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("column_metadata", """
-WITH c AS (SELECT lang AS table_name, source AS column_name, regexp_extract(text, '^([A-Za-z]+)', 1) AS ty,
-                  left(text, 3) AS description, doc_id AS pos FROM documents)
+WITH c AS (SELECT lang AS table_name, source AS column_name,
+                  CASE WHEN n_chars < 1000 THEN '' WHEN n_chars < 3000 THEN 'text' ELSE 'longtext' END AS ty,
+                  text AS description, doc_id AS pos FROM documents)
 SELECT table_name, column_name, arg_min(CASE WHEN ty <> '' THEN ty END, CASE WHEN ty <> '' THEN pos END) AS column_type,
-       CAST(count(DISTINCT nullif(description, '')) AS INTEGER) AS n_descriptions
+       count(DISTINCT nullif(description, '')) AS n_descriptions
 FROM c GROUP BY 1, 2""")
 def column_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return column_metadata_q(Tables(spark, sf_dir).documents)
@@ -146,22 +152,25 @@ def page_description_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metadata_fallback_q(documents: DataFrame) -> DataFrame:
-    """C-10 per table (lang): the manifest value (``src0``), else the docs
-    value (``src1``), field by field.  Values are the first line of the
-    earliest document of each source; an empty first line counts as missing."""
-    def side(src):
-        d = documents.filter(F.col("source") == src)
-        return d.groupBy(F.col("lang").alias("table_name")).agg(
-            F.min_by(F.substring_index("text", "\n", 1), F.col("doc_id")).alias("description"),
-            F.min_by(F.col("source"), F.col("doc_id")).alias("origin"))
-    return C.metadata_fallback(side("src0"), side("src1"), "table_name", ["description", "origin"])
+    """C-10 per table (language and size tier): the manifest value (``src0``),
+    else that of the other sources by rank, field by field.  A side's value is
+    that of its first document by source rank and id; an empty one is missing."""
+    tier = F.when(F.col("n_chars") < 1000, "short").when(F.col("n_chars") < 10000, "medium").otherwise("long")
+    rank = F.regexp_extract("source", r"(\d+)", 1).try_cast("int")
+    d = documents.select(F.concat_ws("/", "lang", tier).alias("table_name"), description().alias("description"), F.col("source").alias("origin"), rank.alias("rank"), "doc_id")
+
+    def side(rows):
+        first = F.min_by(F.struct("description", "origin"), F.struct("rank", "doc_id")).alias("v")
+        return rows.groupBy("table_name").agg(first).select("table_name", "v.description", "v.origin")
+    return C.metadata_fallback(side(d.filter("rank = 0")), side(d.filter("rank > 0")), "table_name", ["description", "origin"])
 
 
 @register("metadata_fallback", """
-WITH p AS (SELECT lang AS table_name, arg_min(split_part(text, chr(10), 1), doc_id) AS description,
-                  arg_min(source, doc_id) AS origin FROM documents WHERE source = 'src0' GROUP BY 1),
-s AS (SELECT lang AS table_name, arg_min(split_part(text, chr(10), 1), doc_id) AS description,
-             arg_min(source, doc_id) AS origin FROM documents WHERE source = 'src1' GROUP BY 1)
+WITH d AS (SELECT lang || '/' || CASE WHEN n_chars < 1000 THEN 'short' WHEN n_chars < 10000 THEN 'medium' ELSE 'long' END AS table_name,
+                  CASE WHEN n_chars < 500 THEN '' ELSE lang || '/' || source END AS description, source AS origin,
+                  TRY_CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) AS rnk, doc_id FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY table_name, rnk = 0 ORDER BY rnk, doc_id) AS n FROM d),
+p AS (SELECT * FROM r WHERE n = 1 AND rnk = 0), s AS (SELECT * FROM r WHERE n = 1 AND rnk > 0)
 SELECT coalesce(p.table_name, s.table_name) AS table_name,
        coalesce(nullif(p.description, ''), s.description) AS description,
        coalesce(nullif(p.origin, ''), s.origin) AS origin

@@ -47,9 +47,10 @@ def index_build_q(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def dirty_domains_q(documents: DataFrame, embeddings: DataFrame, labels: DataFrame) -> DataFrame:
-    """T-8 the stored index is the one built from the labelled snapshot of the
-    corpus; the current one from all documents."""
-    stored_docs = documents.join(labels.select("doc_id"), "doc_id", "left_semi")
+    """T-8 one domain for each language and source; the stored index is from
+    before the documents over 20,000 characters and the source ``src3`` came."""
+    documents = documents.withColumn("lang", F.concat_ws("/", "lang", "source"))
+    stored_docs = documents.filter((F.col("n_chars") <= 20000) & (F.col("source") != "src3"))
     stored = RT.index_header(index_rows_q(stored_docs, embeddings))
     current = RT.index_header(index_rows_q(documents, embeddings))
     return RT.dirty_domains(stored, current)
@@ -159,7 +160,7 @@ def _row_hash_sql(alias: str = "") -> str:
 
 _HEADER_SQL = """SELECT lang AS domain, count(*) AS n_examples,
        CAST(coalesce(max(len(v.embedding)), 0) AS INTEGER) AS vector_dim,
-       bit_xor({rh}) AS examples_hash, 1 AS schema_version
+       CAST(sum(CAST({rh} AS HUGEINT)) AS VARCHAR) AS examples_hash, 1 AS schema_version
 FROM {src} d LEFT JOIN embeddings v ON d.doc_id = v.vec_id GROUP BY lang"""
 
 
@@ -170,13 +171,14 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("dirty_domains", f"""
-WITH cur AS ({_HEADER_SQL.format(rh=_row_hash_sql("d."), src="documents")}),
+WITH dom AS (SELECT * REPLACE (lang || '/' || source AS lang) FROM documents),
+cur AS ({_HEADER_SQL.format(rh=_row_hash_sql("d."), src="dom")}),
 sto AS ({_HEADER_SQL.format(rh=_row_hash_sql("d."),
-                            src="(SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))")}),
+                            src="(SELECT * FROM dom WHERE n_chars <= 20000 AND source <> 'src3')")}),
 j AS (SELECT cur.domain,
              CASE WHEN sto.examples_hash IS NULL THEN 'missing'
                   WHEN sto.schema_version <> cur.schema_version THEN 'version'
-                  WHEN sto.examples_hash <> cur.examples_hash THEN 'hash'
+                  WHEN sto.examples_hash <> cur.examples_hash OR sto.n_examples <> cur.n_examples THEN 'hash'
                   WHEN sto.vector_dim <> cur.vector_dim THEN 'shape' ELSE 'ok' END AS reason
       FROM cur LEFT JOIN sto ON cur.domain = sto.domain)
 SELECT domain, reason <> 'ok' AS dirty, reason FROM j

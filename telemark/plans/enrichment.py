@@ -54,10 +54,11 @@ def search_logs(df: DataFrame, text: str, *, has_terms=None, contains=None, pref
     return out
 
 
-def error_rate_q(events: DataFrame, bucket="1d") -> DataFrame:
-    """R-9 error rate by workload and time bucket: D-1 flag, countif, A-19 rate."""
-    ev = events.withColumn("is_error", D.is_error("event_type"))
-    out = ev.groupBy(F.col("user_id").alias("workload"), T.bin_time("ts", bucket).alias("bucket")).agg(
+def error_rate_q(events: DataFrame, as_of="2024-01-31", span="7d") -> DataFrame:
+    """R-9 error rate by workload and namespace over a span: D-1 flag, countif, A-19 rate."""
+    ev = T.time_scope(events, "ts", as_of, span).withColumn("is_error", D.is_error("event_type"))
+    name = F.concat(F.lit("ns-"), (F.col("user_id") % 7).cast("string"))
+    out = ev.groupBy(F.col("user_id").alias("workload"), name.alias("namespace")).agg(
         aggs.count_all().alias("total"), aggs.countif(F.col("is_error")).alias("errors"))
     return out.withColumn("error_rate_pct", F.round(P.safe_ratio("errors", "total"), 4))
 
@@ -93,11 +94,13 @@ _HAS = "(^|[^A-Za-z0-9])({})($|[^A-Za-z0-9])"
 
 
 @register("error_rate", """
-SELECT user_id AS workload, time_bucket(INTERVAL '1 day', ts) AS bucket, count(*) AS total,
+SELECT user_id AS workload, 'ns-' || CAST(user_id % 7 AS VARCHAR) AS namespace, count(*) AS total,
        count(*) FILTER (WHERE lower(event_type) IN ('critical', 'error')) AS errors,
        round(100.0 * count(*) FILTER (WHERE lower(event_type) IN ('critical', 'error'))
              / CASE WHEN count(*) = 0 THEN 1 ELSE count(*) END, 4) AS error_rate_pct
-FROM events GROUP BY 1, 2
+FROM events
+WHERE ts > TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY AND ts <= TIMESTAMP '2024-01-31 00:00:00'
+GROUP BY 1, 2
 """)
 def error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return error_rate_q(Tables(spark, sf_dir).events)

@@ -141,7 +141,7 @@ def correlate_failures_q(orders: DataFrame, lineitem: DataFrame, as_of=ORDERS_AS
     operation id, project."""
     o = (T.time_scope(orders, "o_orderdate", as_of, span)
          .filter(F.col("o_orderstatus") == "F").select("o_orderkey", "o_totalprice"))
-    li = (lineitem.filter(F.col("l_returnflag") == "R")
+    li = (T.time_scope(lineitem, "l_shipdate", as_of, span).filter(F.col("l_returnflag") == "R")
           .select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_extendedprice"))
     return o.join(li, "o_orderkey").select("o_orderkey", "l_linenumber", "o_totalprice", "l_extendedprice")
 
@@ -269,36 +269,44 @@ def usage_percent_q(part: DataFrame, lineitem: DataFrame) -> DataFrame:
 
 
 def usage_percent_minute_q(events: DataFrame, bucket="1d") -> DataFrame:
-    """R-25 usage percent per entity and bucket: both series are binned and
-    joined on (entity, bucket).  The literal text joins on the entity only, so
+    """R-25 usage percent per entity and bucket: the maximum of either series,
+    met on (entity, bucket) by one conditional aggregate.  The literal text joins on the entity only, so
     buckets cross-multiply; that form is kept in the tests only."""
     b = T.bin_time("ts", bucket)
-    cap = (events.filter(F.col("event_type") == "purchase")
-                 .groupBy("user_id", b.alias("bucket")).agg(F.max("value").alias("capacity")))
-    use = (events.filter(F.col("event_type") == "view")
-                 .groupBy("user_id", b.alias("bucket")).agg(F.avg("value").alias("usage")))
-    j = use.join(cap, ["user_id", "bucket"])
+    j = (events.filter(F.col("event_type").isin("purchase", "view")).groupBy("user_id", b.alias("bucket"))
+               .agg(F.max(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("capacity"),
+                    F.max(F.when(F.col("event_type") == "view", F.col("value"))).alias("usage"))
+               .filter(F.col("capacity").isNotNull() & F.col("usage").isNotNull()))
     return j.select("user_id", "bucket",
                     F.round(P.safe_ratio("usage", "capacity"), 4).alias("usage_pct"))
 
 
 def readiness_ratio_q(events: DataFrame, bucket="1d") -> DataFrame:
-    """R-26 / J-9 readiness ratio per entity and bucket.  The text self-joins
-    two aggregates of one table on all keys; a single pass with conditional
-    aggregates gives the same rows with one shuffle instead of three."""
+    """R-26 / J-9 ready and not-ready rows per entity and bucket, over the
+    number of different snapshot times.  The text self-joins two aggregates of
+    one table on all keys; one pass with conditional aggregates and a distinct
+    count gives the same rows."""
     ready = F.col("event_type").isin("view", "click")
     out = events.groupBy("user_id", T.bin_time("ts", bucket).alias("bucket")).agg(
-        aggs.countif(ready).alias("ready"), aggs.count_all().alias("total"))
-    return out.withColumn("ratio", F.round(F.col("ready") / F.col("total"), 4))
+        aggs.countif(ready).alias("ready"), aggs.count_all().alias("total"), F.count_distinct("ts").alias("snapshots"))
+    return out.select("user_id", "bucket", "ready", "total", "snapshots", F.round(F.col("ready") / F.col("snapshots"), 4).alias("ready_ratio"),
+                      F.round((F.col("total") - F.col("ready")) / F.col("snapshots"), 4).alias("not_ready_ratio"))
 
 
 def crash_correlation_q(events: DataFrame, as_of=EVENTS_AS_OF, span="7d") -> DataFrame:
-    """R-27 crash-loop correlation: max restarts per entity x recent error count."""
-    restarts = events.groupBy("user_id").agg(
-        F.max(F.get_json_object("props", "$.k").try_cast("int")).alias("max_restarts"))
-    errors = (T.time_scope(events, "ts", as_of, span).filter(failed())
-              .groupBy("user_id").agg(aggs.count_all().alias("recent_errors")))
-    return restarts.join(errors, "user_id").orderBy(F.desc("recent_errors"), "user_id")
+    """R-27 crash-loop correlation: per entity and namespace, the most restarts
+    and the error count, both within the span.  An entity without an error
+    stays, with 0.  The text joins two aggregates; they read one table here, so
+    one conditional aggregate does."""
+    return (T.time_scope(events, "ts", as_of, span).groupBy("user_id", namespace().alias("namespace"))
+            .agg(F.max(F.get_json_object("props", "$.k").try_cast("int")).alias("max_restarts"),
+                 aggs.countif(failed()).alias("recent_errors"))
+            .orderBy(F.desc("recent_errors"), "user_id"))
+
+
+def namespace():
+    """Stand-in for a pod's namespace: a function of the entity."""
+    return F.concat(F.lit("ns-"), (F.col("user_id") % 7).cast("string"))
 
 
 def latest_per_object_q(events: DataFrame) -> DataFrame:
@@ -447,6 +455,7 @@ _ORD_365 = ("o_orderdate > TIMESTAMP '2001-08-02 00:00:00' - INTERVAL 365 DAY "
 SELECT o_orderkey, l_linenumber, o_totalprice, l_extendedprice
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey
 WHERE o_orderstatus = 'F' AND {_ORD_365} AND l_returnflag = 'R'
+  AND l_shipdate > TIMESTAMP '2001-08-02 00:00:00' - INTERVAL 365 DAY AND l_shipdate <= TIMESTAMP '2001-08-02 00:00:00'
 """)
 def correlate_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
@@ -528,7 +537,7 @@ SELECT * FROM (
   SELECT user_id, event_id, ts, event_type,
          lag(event_type) OVER w AS prev_type, lead(event_type) OVER w AS next_type
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
-) WHERE prev_type IS DISTINCT FROM event_type
+) WHERE prev_type IS DISTINCT FROM event_type OR next_type IS DISTINCT FROM event_type
 """)
 def status_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status_timeline_q(Tables(spark, sf_dir).events)
@@ -585,7 +594,7 @@ def usage_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("usage_percent_minute", """
 SELECT u.user_id, u.bucket,
        round(100.0 * usage / CASE WHEN capacity = 0 THEN 1 ELSE capacity END, 4) AS usage_pct
-FROM (SELECT user_id, time_bucket(INTERVAL '1 day', ts) AS bucket, avg(value) AS usage
+FROM (SELECT user_id, time_bucket(INTERVAL '1 day', ts) AS bucket, max(value) AS usage
       FROM events WHERE event_type = 'view' GROUP BY 1, 2) u
 JOIN (SELECT user_id, time_bucket(INTERVAL '1 day', ts) AS bucket, max(value) AS capacity
       FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) c
@@ -597,8 +606,9 @@ def usage_percent_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("readiness_ratio", """
 SELECT user_id, time_bucket(INTERVAL '1 day', ts) AS bucket,
-       count(*) FILTER (WHERE event_type IN ('view', 'click')) AS ready, count(*) AS total,
-       round(count(*) FILTER (WHERE event_type IN ('view', 'click')) / count(*), 4) AS ratio
+       count(*) FILTER (WHERE event_type IN ('view', 'click')) AS ready, count(*) AS total, count(DISTINCT ts) AS snapshots,
+       round(count(*) FILTER (WHERE event_type IN ('view', 'click')) / count(DISTINCT ts), 4) AS ready_ratio,
+       round(count(*) FILTER (WHERE event_type NOT IN ('view', 'click')) / count(DISTINCT ts), 4) AS not_ready_ratio
 FROM events GROUP BY 1, 2
 """)
 def readiness_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -606,11 +616,13 @@ def readiness_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("crash_correlation", f"""
-SELECT r.user_id, max_restarts, recent_errors
-FROM (SELECT user_id, max(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)) AS max_restarts
-      FROM events GROUP BY 1) r
-JOIN (SELECT user_id, count(*) AS recent_errors FROM events
-      WHERE event_type = 'error' AND {_EV_7D} GROUP BY 1) e ON r.user_id = e.user_id
+SELECT r.user_id, r.namespace, max_restarts, recent_errors
+FROM (SELECT user_id, 'ns-' || CAST(user_id % 7 AS VARCHAR) AS namespace,
+             max(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)) AS max_restarts
+      FROM events WHERE {_EV_7D} GROUP BY 1, 2) r
+JOIN (SELECT user_id, 'ns-' || CAST(user_id % 7 AS VARCHAR) AS namespace,
+             count(*) FILTER (WHERE event_type = 'error') AS recent_errors
+      FROM events WHERE {_EV_7D} GROUP BY 1, 2) e ON r.user_id = e.user_id AND r.namespace = e.namespace
 """)
 def crash_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crash_correlation_q(Tables(spark, sf_dir).events)

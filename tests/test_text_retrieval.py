@@ -103,3 +103,11 @@ def test_index_header_and_dirty(spark):
     import hashlib
     h = hashlib.sha256(b"q1||k1\nq2||k2\n").hexdigest()[:32]
     assert {r.domain: r.examples_hash for r in ref}["d1"] == h
+
+
+def test_dirty_domains_sees_a_pair_of_equal_rows(spark):
+    one = [("d1", 1, "q", "k")]
+    h = lambda rows: RT.index_header(RT.index_rows(spark.createDataFrame(rows, "domain string, id long, q string, k string"), "domain", "id", "q", "k"))
+    got = RT.dirty_domains(h(one), h(one + 2 * [("d1", 2, "x", "y")])).collect()
+    assert [(r.dirty, r.reason) for r in got] == [(True, "hash")]
+    assert [r.reason for r in RT.dirty_domains(h(one), h(one)).collect()] == ["ok"]
