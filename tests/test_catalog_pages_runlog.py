@@ -63,9 +63,10 @@ def test_error_classes_and_status(spark):
 def test_innermost_message(spark):
     nested = 'Failure. Inner error: {"code": "x", "innererror": {"innererror": {"message": "deep one"}}} tail'
     df = spark.createDataFrame([(nested,), ('{"error": {"message": "m2"}}',), ("plain",),
-                                ('a "message": "first" b "message": "last"',)], "e string")
+                                ('a "message": "first" b "message": "last"',), ('{"error_message": "only this"}',),
+                                ('Inner error: {"message": "top", "innererror": {"message": "in"}}',), (None,)], "e string")
     got = [r[0] for r in df.select(G.innermost_message("e")).collect()]
-    assert got == ["deep one", "m2", "plain", "last"]
+    assert got == ["deep one", "m2", "plain", "last", "only this", "in", None]
 
 
 def test_informative(spark):

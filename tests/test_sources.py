@@ -76,14 +76,16 @@ def test_manifest_flatten(spark, tmp_dir):
                                   "children": [{"tables": [{"tableName": "KubePodInventory"}]}]}}]}
     _w(tmp_dir, "m1.json", json.dumps(m1))
     _w(tmp_dir, "m2.json", json.dumps(m2))
-    flat = M.flatten_manifests(M.read_manifest_texts(spark, os.path.join(tmp_dir, "*.json")))
+    _w(tmp_dir, "m3.json", "{broken")
+    flat = M.manifest_nodes(M.read_manifest_texts(spark, os.path.join(tmp_dir, "*.json")))
     t = {(r.resource_type, r.table_name) for r in M.manifest_tables(flat).collect()}
     assert ("Microsoft.Insights/components", "AppRequests") in t
     assert ("Microsoft.ContainerService/managedClusters", "KubePodInventory") in t
     cols = M.manifest_columns(flat).collect()
     assert [(c.table_name, c.column_name, c.column_type) for c in cols] == [("AppTraces", "Message", "string")]
-    qs = sorted((r.query_name, r.table_name) for r in M.manifest_queries(flat).collect())
-    assert qs == [("q1", "AppRequests"), ("q1", "AppTraces")]
+    qs = sorted(((r.query_name, r.table_name) for r in M.manifest_queries(flat).collect()), key=str)
+    assert qs == [("q1", "AppRequests"), ("q1", "AppTraces"), ("q2", None)]
+    assert [r.content for r in M.unparsable_manifests(flat).collect()] == ["{broken"]
 
 
 def test_sinks(spark, tmp_dir):
