@@ -4,14 +4,18 @@ Words are counted per source, each source gets a target by water filling (its
 share by weight, at most ``cap`` times its own words, the excess reshared by
 weight until none is above), and each document is emitted ``floor(rate)``
 times plus one Bernoulli copy with probability ``rate - floor(rate)``, where
-``rate`` is its source's target over its source's words.  The draw is a hash of
-the seed, the document's id and its text, so reruns agree whatever the layout.
+``rate`` is its source's target over its source's words.
+
+The draws are seeded by hashes, so reruns agree whatever the layout, and spread
+evenly, so that a source's words come near its target: documents of a source
+fall into cells of about ``CELL`` documents by a hash of id and text; a cell
+starts at a hashed number in [0, 1) and its documents, by size, go on from it
+in steps of the golden section.  Each draw alone is uniform.
 
 Defined results: a null or empty text has size 0 and is emitted like any other
 document; a source of null is a source of its own, last in order; a source
-without words has target 0 and rate 0; rows that repeat id and text share their
-draw; an empty table gives an empty mix.  Input columns named like an output
-column give way to it.
+without words has target 0 and rate 0; an empty table gives an empty mix.
+Input columns named like an output column give way to it.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from __future__ import annotations
 from itertools import chain
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telemark.llm import common as C
@@ -26,6 +31,8 @@ from telemark.llm import common as C
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = 20240607
+CELL = 2048
+GOLDEN = 0.6180339887498949
 
 
 def size_of(text) -> F.Column:
@@ -60,29 +67,41 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP, share: float =
     return per.withColumn("target", target.cast("double")).select("source", "source_size", "target", rate.alias("rate"))
 
 
-def plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """One row per document: ``id, size, source_size, target, copies, taken``."""
-    sized = C.written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), C.uniform(seed, F.col(id_col), F.col(text_col)).alias("u")), "sizes")
-    return (_with_rate(sized, targets(sized.select("source", "size"), weights, cap), "source")
-            .withColumn("copies", _copies(F.col("u")))
-            .select("id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")))
+def _marked(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, *keep) -> DataFrame:
+    size = size_of(F.col(text_col))
+    return docs.select(*keep, F.col(source_col).alias("source_"), size.alias("size_"),
+                       F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("hash_"))
 
 
-def _with_rate(df: DataFrame, rates: DataFrame, source_col: str) -> DataFrame:
-    r = rates.withColumnRenamed("source", "rate_source_")
-    return df.join(r, df[source_col].eqNullSafe(r["rate_source_"]))
+def _cells(marked: DataFrame, weights, cap: float) -> DataFrame:
+    """One row a source: how many cells, its words, target and rate."""
+    cells = C.written(marked.groupBy("source_").agg(F.count(F.lit(1)).alias("n_"), F.sum("size_").alias("size")), "cells")
+    rates = targets(cells.select(F.col("source_").alias("source"), "size"), weights, cap)
+    return C.written(cells.join(rates, cells.source_.eqNullSafe(rates.source))
+                     .select(F.col("source_").alias("s_"), F.ceil(F.col("n_") / CELL).alias("cells_"), "source_size", "target", "rate"), "rates")
 
 
-def _copies(u) -> F.Column:
+def _drawn(marked: DataFrame, cells: DataFrame, seed: int) -> DataFrame:
+    """``marked`` with ``source_size, target, rate, copies_``."""
+    rows = marked.join(cells, F.col("source_").eqNullSafe(F.col("s_")))
+    rows = rows.withColumn("cell_", F.pmod("hash_", "cells_"))
+    at = F.row_number().over(W.partitionBy("source_", "cell_").orderBy("size_", "hash_"))
+    u = C.uniform(seed, F.col("source_"), F.col("cell_")) + at * F.lit(GOLDEN)
     whole = F.floor("rate")
-    return whole + F.when(u < F.col("rate") - whole, 1).otherwise(0)
+    return rows.withColumn("u_", u - F.floor(u)).withColumn("copies_", (whole + F.when(F.col("u_") < F.col("rate") - whole, 1).otherwise(0)).cast("int"))
+
+
+def plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """One row per document: ``id, size, source_size, target, copies, taken``."""
+    marked = C.written(_marked(docs, id_col, text_col, source_col, seed, F.col(id_col).alias("id")), "sizes")
+    rows = _drawn(marked, _cells(marked, weights, cap), seed)
+    return rows.select("id", F.col("size_").alias("size"), "source_size", "target", F.col("copies_").alias("copies"), (F.col("size_") * F.col("copies_")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """The mix itself: each document as often as the mix takes it, with the
     columns of ``docs``."""
-    sizes = C.written(docs.select(F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")).groupBy("source").agg(F.sum("size").alias("size")), "sizes")
-    rates = targets(sizes, weights, cap).select("source", "rate")
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col(source_col).alias("source_"), C.uniform(seed, F.col(id_col), F.col(text_col)).alias("u_"))
-    kept = _with_rate(row, rates, "source_").withColumn("copies_", _copies(F.col("u_")).cast("int")).filter("copies_ > 0")
-    return kept.select("row_", F.explode(F.sequence(F.lit(1), "copies_")).alias("copy_")).select("row_.*")
+    cells = _cells(_marked(docs, id_col, text_col, source_col, seed), weights, cap)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
+    rows = _drawn(_marked(docs, id_col, text_col, source_col, seed, row), cells, seed).filter("copies_ > 0")
+    return rows.select("row_", F.explode(F.sequence(F.lit(1), "copies_"))).select("row_.*")
