@@ -52,8 +52,28 @@ def _rename_synonyms(df: DataFrame) -> DataFrame:
 def read_prompt_csv(spark: SparkSession, path: str) -> DataFrame:
     """S-3 / S-8 prompt + expected-query CSV: header synonyms, delimiter
     fallback (, ; tab |), headerless two-column files, multi-line quoted cells
-    with ``""`` escapes, BOM.  Rows with an empty prompt are dropped; a stable
-    ``case_id`` is added."""
+    with ``""`` escapes, BOM.  Rows with an empty prompt are left to
+    ``bad_prompt_rows``; a ``case_id`` is added, different for each row."""
+    return _with_case_id(_prompt_rows(spark, path).filter(_HAS_PROMPT))
+
+
+def bad_prompt_rows(spark: SparkSession, path: str) -> DataFrame:
+    """S-3 quarantine: the rows that ``read_prompt_csv`` leaves out."""
+    return _prompt_rows(spark, path).filter(f"not ({_HAS_PROMPT})")
+
+
+_HAS_PROMPT = "coalesce(prompt, '') != ''"
+
+
+def _with_case_id(df: DataFrame) -> DataFrame:
+    """A hash of the row's texts and of how many equal rows stand before it."""
+    from pyspark.sql import Window
+
+    same = Window.partitionBy("prompt", "expected_query").orderBy(F.lit(0))
+    return df.withColumn("_same", F.row_number().over(same)).withColumn("case_id", F.xxhash64("prompt", "expected_query", "_same")).drop("_same")
+
+
+def _prompt_rows(spark: SparkSession, path: str) -> DataFrame:
     opt = sniff_csv(spark, path)
     df = (spark.read.option("header", opt["header"]).option("sep", opt["sep"]).option("multiLine", True)
           .option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path))
@@ -67,8 +87,7 @@ def read_prompt_csv(spark: SparkSession, path: str) -> DataFrame:
         df = df.withColumn("expected_query", F.lit(None).cast("string"))
     df = df.select(strip_ws(F.regexp_replace("prompt", "^﻿", "")).alias("prompt"),
                    strip_ws("expected_query").alias("expected_query"))
-    df = df.filter(F.coalesce(F.col("prompt"), F.lit("")) != "")
-    return df.withColumn("case_id", F.xxhash64("prompt", "expected_query"))
+    return df
 
 
 def read_prompt_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -81,7 +100,7 @@ def read_prompt_lines(spark: SparkSession, path: str) -> DataFrame:
     unq = lambda c: F.regexp_replace(F.regexp_replace(c, r'^"|"$', ""), '""', '"')
     out = lines.select(unq(p).alias("prompt"), unq(q).alias("expected_query"))
     out = out.filter((F.col("prompt") != "") & ~F.lower("prompt").isin(*PROMPT_HEADERS))
-    return out.withColumn("case_id", F.xxhash64("prompt", "expected_query"))
+    return _with_case_id(out)
 
 
 DATASET_SCHEMA = T.StructType([
@@ -168,7 +187,7 @@ def read_markdown_catalog(spark: SparkSession, path: str, limit: int = 8, headin
                               .over(w.rowsBetween(Window.unboundedPreceding, 0))))
     in_code = F.coalesce(F.col("fences_before"), F.lit(0)) % 2 == 1
     code_lines = lines.filter(in_code & ~is_fence).groupBy("path", "fences_before").agg(
-        F.min("pos").alias("pos"), F.first("title").alias("title"),
+        F.min("pos").alias("pos"), F.min_by("title", "pos").alias("title"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), "\n").alias("kql"))
     code = code_lines.select("path", "pos", "title", strip_ws("kql").alias("kql")).filter(F.contains("kql", F.lit("|")))
     single = lines.filter(~in_code & ~is_fence & ~is_head & F.col("s").rlike(r"^[A-Za-z_][A-Za-z0-9_]*\s*\|")) \

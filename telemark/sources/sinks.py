@@ -44,27 +44,36 @@ def write_json_report(df: DataFrame, path: str, mode: str = "overwrite") -> None
     strip_report_fields(df).write.mode(mode).json(path)
 
 
-def flatten_exec_stats(df: DataFrame, gen_col: str = "gen_stats", exp_col: str = "exp_stats",
-                       max_keys: int = 256) -> DataFrame:
-    """S-17 promote exec-stat map keys to ``gen_<k>`` / ``exp_<k>`` columns.
-    The distinct key set is a distributed distinct; only the (bounded,
-    checked) key list is collected."""
+def flatten_exec_stats(df: DataFrame, keys: dict | None = None) -> DataFrame:
+    """S-17 promote exec-stat map keys to columns.
+
+    ``keys`` gives the keys of each map column, e.g. ``{"gen_stats": ["status"],
+    "exp_stats": [...]}``; they become ``gen_status`` and so on, a name already
+    taken getting ``_2``, ``_3``.  A map column without keys stays a map, so the
+    plan needs no look at the data."""
     out = df
-    for c, prefix in ((gen_col, "gen_"), (exp_col, "exp_")):
+    for c, names in (keys or {}).items():
         if c not in df.columns:
             continue
-        keys = (df.select(F.explode(F.map_keys(c)).alias("k")).distinct().limit(max_keys + 1).collect())
-        if len(keys) > max_keys:
-            raise ValueError(f"more than {max_keys} exec-stat keys in {c}")
-        for k in sorted(r.k for r in keys):
-            out = out.withColumn(prefix + re.sub(r"\W", "_", k), F.col(c)[k])
-        out = out.drop(c)
+        values = [F.col(x) for x in out.columns if x != c]
+        taken = {x for x in out.columns if x != c}
+        for k in names:
+            base = f"{c.split('_')[0]}_" + re.sub(r"\W", "_", k)
+            name, n = base, 1
+            while name in taken:
+                n += 1
+                name = f"{base}_{n}"
+            taken.add(name)
+            values.append(F.col(c)[k].alias(name))
+        out = out.select(*values)
     return out
 
 
-def write_flat_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """S-17 flat report table, one row per prompt."""
-    flat = flatten_exec_stats(strip_report_fields(df))
+def write_flat_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", keys: dict | None = None) -> None:
+    """S-17 flat report table, one row per prompt; in CSV a map is JSON text."""
+    flat = flatten_exec_stats(strip_report_fields(df), keys)
+    if fmt == "csv":
+        flat = flat.select(*[F.to_json(c).alias(c) if t.startswith("map<") else F.col(c) for c, t in flat.dtypes])
     w = flat.write.mode(mode)
     (w.option("header", True).csv(path) if fmt == "csv" else w.format(fmt).save(path))
 
@@ -76,14 +85,9 @@ def annotate_input(cases: DataFrame, results: DataFrame, key: str = "case_id") -
 
 
 def write_index(rows: DataFrame, path: str) -> None:
-    """S-19 index sink: one partition per domain, replaced as a whole."""
-    spark = rows.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        rows.write.mode("overwrite").partitionBy("domain").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    """S-19 index sink: one partition per domain; the domains in ``rows`` are
+    replaced, the others stay, so a rebuild can bring the dirty ones alone."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("domain").parquet(path)
 
 
 def runlog_record(df: DataFrame, content: str = "content", full: bool = False) -> DataFrame:

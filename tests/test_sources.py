@@ -91,8 +91,10 @@ def test_manifest_flatten(spark, tmp_dir):
 def test_sinks(spark, tmp_dir):
     df = spark.createDataFrame([(1, "x", "why", {"status": "ok", "elapsed_sec": "0.1"})],
                                "case_id int, llm_grade string, reasoning string, gen_stats map<string,string>")
-    flat = K.flatten_exec_stats(K.strip_report_fields(df))
-    assert set(flat.columns) == {"case_id", "gen_elapsed_sec", "gen_status"}
+    flat = K.flatten_exec_stats(K.strip_report_fields(df), {"gen_stats": ["status", "elapsed_sec", "elapsed.sec"]})
+    assert flat.columns == ["case_id", "gen_status", "gen_elapsed_sec", "gen_elapsed_sec_2"]
+    assert tuple(flat.collect()[0]) == (1, "ok", "0.1", None)
+    assert "gen_stats" in K.flatten_exec_stats(df).columns
     rec = K.runlog_record(spark.createDataFrame([("a" * 300,)], "content string")).collect()[0]
     assert len(rec.content_hash) == 16 and rec.content_preview.endswith("...TRUNCATED...")
     assert len(rec.content_preview) == 240 + len("...TRUNCATED...")
@@ -102,3 +104,18 @@ def test_sinks(spark, tmp_dir):
     K.write_index(spark.createDataFrame([("d1", 9)], "domain string, id int"), out)
     got = sorted((r.domain, r.id) for r in spark.read.parquet(out).collect())
     assert got == [("d1", 9), ("d2", 2)]      # d1 replaced, d2 untouched
+
+
+def test_prompts_get_different_ids_and_bad_rows_are_kept_apart(spark, tmp_dir):
+    _w(tmp_dir, "p.csv", "prompt,expected_query\nsame,T\nsame,T\n,Q\nother,T\n")
+    path = os.path.join(tmp_dir, "p.csv")
+    rows = S.read_prompt_csv(spark, path).collect()
+    assert [r.prompt for r in rows].count("same") == 2 and len({r.case_id for r in rows}) == 3
+    assert [r.expected_query for r in S.bad_prompt_rows(spark, path).collect()] == ["Q"]
+
+
+def test_index_sink_replaces_only_given_domains(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "idx")
+    K.write_index(spark.createDataFrame([("a", 1), ("b", 1)], "domain string, x int"), path)
+    K.write_index(spark.createDataFrame([("b", 2)], "domain string, x int"), path)
+    assert sorted((r.domain, r.x) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 2)]
