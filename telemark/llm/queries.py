@@ -61,7 +61,31 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-@register("op5_secret_scan")
+def _spans_sql() -> str:
+    """Matches and the gaps between them by one pattern a kind, as the contract
+    lists them; sums of lengths give the positions."""
+    kinds = [
+        ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+        ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24), ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+        ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1), ("forge", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1)]
+    one = "SELECT doc_id, {0} AS k, '{1}' AS kind, {4} AS least, regexp_split_to_array(t, '{2}') AS gaps, regexp_extract_all(t, '{2}') AS found, regexp_extract_all(t, '{2}', {3}) AS held FROM d"
+    return """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (""" + " UNION ALL ".join(one.format(i, kind, p.replace("'", "''"), group, least) for i, (kind, p, group, least) in enumerate(kinds)) + """),
+x AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m),
+y AS (SELECT doc_id, k, kind, length(found[i]) AS size,
+             CAST(list_sum(list_transform(gaps[1:i], lambda v: length(v))) AS BIGINT)
+             + coalesce(CAST(list_sum(list_transform(found[1:i - 1], lambda v: length(v))) AS BIGINT), 0) AS start
+      FROM x WHERE length(held[i]) >= least),
+z AS (SELECT doc_id, k, start, kind || ':' || start || ':' || (start + size) AS span FROM y),
+g AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+             string_agg(span, ',' ORDER BY start, k) FILTER (WHERE k < 3) AS base, string_agg(span, ',' ORDER BY start, k) AS spans FROM z GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id"""
+
+
+@register("op5_secret_scan", _spans_sql())
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     ledger = secrets.Ledger(spark, C.shared_dir(spark, "ledger"))
@@ -88,7 +112,20 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
-@register("op9_jaccard_join")
+@register("op9_jaccard_join", """WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(m.least, s.doc_id) AS component_id
+FROM s LEFT JOIN (SELECT doc_id, min(other) AS least FROM reach GROUP BY 1) m ON s.doc_id = m.doc_id
+""")
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = jaccard.linked(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=85)
     return d.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
