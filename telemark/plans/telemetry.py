@@ -258,14 +258,15 @@ def innerunique_join_q(lineitem: DataFrame, as_of=ORDERS_AS_OF, span="730d") ->
 
 
 def usage_percent_q(part: DataFrame, lineitem: DataFrame) -> DataFrame:
-    """R-24 / J-8 three-way star: distinct dimension x capacity aggregate x usage rows."""
-    dims = part.select("p_partkey", "p_brand").distinct()
-    cap = part.groupBy("p_partkey").agg(F.max("p_retailprice").alias("capacity"))
-    use = lineitem.select(F.col("l_partkey").alias("p_partkey"),
-                          (F.col("l_extendedprice") / F.col("l_quantity")).alias("usage"))
-    j = use.join(cap, "p_partkey").join(dims, "p_partkey")
-    pct = F.lit(100.0) * F.col("usage") / F.when(F.col("capacity") == 0, 1).otherwise(F.col("capacity"))
-    return j.groupBy("p_brand").agg(F.round(F.avg(pct), 4).alias("mean_usage_pct"))
+    """R-24 / J-8 three-way star: distinct dimension x capacity aggregate x usage
+    rows.  Usage is summed per part before the join, so one row a part meets its
+    capacity, and one aggregate of ``part`` gives capacity and brands."""
+    dims = part.groupBy("p_partkey").agg(F.max("p_retailprice").alias("capacity"), F.collect_set("p_brand").alias("brands"))
+    use = lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+        F.sum(F.col("l_extendedprice") / F.col("l_quantity")).alias("usage"), F.count(F.lit(1)).alias("n"))
+    cap = F.when(F.col("capacity") == 0, 1).otherwise(F.col("capacity"))
+    j = use.join(dims, "p_partkey").select(F.explode("brands").alias("p_brand"), (F.lit(100.0) * F.col("usage") / cap).alias("pct"), "n")
+    return j.groupBy("p_brand").agg(F.round(F.sum("pct") / F.sum("n"), 4).alias("mean_usage_pct"))
 
 
 def usage_percent_minute_q(events: DataFrame, bucket="1d") -> DataFrame:
