@@ -15,10 +15,13 @@ is lengthened, and ``k`` shared elements required, for the ``k`` of least
 estimated cost: postings read plus candidates to verify.
 
 Candidates.  All documents of a posting are first paired with one hub, the
-member whose elements are the most frequent; verified pairs give components.
+member whose elements are together the most frequent (edited copies have rare
+ones instead); verified pairs give components.
 Then only pairs of different components remain.  They are enumerated in blocks
 of a posting, and leave a task only where sizes and bucket counts allow a link.
-Pairs that share ``k`` elements are verified on their whole sets.
+A pair leaves from one of its common postings if its documents' ``HEAD`` least
+elements show ``k`` common ones: from that of the ``k``-th; else from each, to
+be counted.  Pairs that share ``k`` elements are verified on their whole sets.
 
 No step brings a whole posting, component or table to one task; only bitmaps
 of fixed size are broadcast.
@@ -50,6 +53,7 @@ SPARE = 10          # percent of a set's size by which lists are longer than a p
 MAX_MATCHES = 4     # the most shared elements that a second prefix may require
 VERIFY_COST = 8     # cost of verifying a candidate, in postings
 BUCKETS = 128       # bucket counts that bound an intersection
+HEAD = 8            # least indexed elements that tell a pair's common postings
 BLOCK = 1024        # documents of a posting that meet in one task
 HUB_BLOCK = 256     # documents verified against one copy of a hub's set
 BITS = 23
@@ -141,8 +145,9 @@ _N = "cast({} & 2147483647 as int)"
 
 
 def _index(profile: DataFrame, sizes: Sizes) -> DataFrame:
-    """``(e, c, dn, k, pop)``: the elements under which a document is found and
-    the matches it requires."""
+    """``(e, c, dn, k, pop)``: the elements under which a document is found, the
+    matches it requires, and how often others list its elements (logarithms of
+    the frequencies, summed)."""
     rows = profile.filter("list is not null").select("c", "dn", F.explode("list").alias("e"))
     often = profile.filter("list is not null").select(F.explode("list").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     rows = rows.join(often, "e").dropDuplicates(["e", "c", "dn"])
@@ -154,9 +159,8 @@ def _index(profile: DataFrame, sizes: Sizes) -> DataFrame:
     for k in range(1, MAX_MATCHES + 1):
         s = F.sum(F.when(F.col("at") <= F.col("m") - F.col("q") + k, F.col("df")).otherwise(0)).over(doc)
         cost.append(F.when(F.lit(k) <= F.col("q"), F.struct((s * (1 + VERIFY_COST / k)).alias("cost"), F.lit(k).alias("k"))))
-    pop = F.sum("df").over(doc) / F.col("m")
-    rows = rows.select("e", "c", "dn", "m", "q", "at", F.least(*cost)["k"].alias("k"), pop.alias("pop"))
-    return rows.filter("at <= m - q + k").select("e", "c", "dn", "k", "pop")
+    rows = rows.select("e", "c", "dn", "m", "q", "at", F.least(*cost)["k"].alias("k"))
+    return rows.filter("at <= m - q + k").select("e", "c", "dn", "k", "m")
 
 
 def _allowed(a: str, b: str, percent: int) -> F.Column:
@@ -166,7 +170,7 @@ def _allowed(a: str, b: str, percent: int) -> F.Column:
 
 
 def _hub_pairs(index: DataFrame, percent: int) -> DataFrame:
-    hubs = index.groupBy("e").agg(F.max(F.struct("pop", "c", "dn")).alias("h")).select("e", F.col("h.c").alias("ac"), F.col("h.dn").alias("adn"))
+    hubs = index.groupBy("e").agg(F.max(F.struct("m", "c", "dn")).alias("h")).select("e", F.col("h.c").alias("ac"), F.col("h.dn").alias("adn"))
     return (index.select("e", F.col("c").alias("bc"), F.col("dn").alias("bdn")).join(hubs, "e")
             .filter((F.col("ac") != F.col("bc")) | (F.col("adn") != F.col("bdn"))).filter(_allowed("adn", "bdn", percent))
             .select("ac", "adn", "bc", "bdn").distinct())
@@ -175,25 +179,27 @@ def _hub_pairs(index: DataFrame, percent: int) -> DataFrame:
 def _cross_pairs(index: DataFrame, labels: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share the required matches."""
     mark = labels.select(F.col("node").alias("node_"), "label")
-    rows = index.select("e", "c", "dn", "k", _node("c", "dn").alias("node"))
-    rows = rows.join(mark, rows.node == mark.node_, "left").select("e", "c", "dn", "k", F.coalesce("label", "node").alias("label"))
+    head = F.slice(F.sort_array(F.collect_list("e")), 1, HEAD)      # of one document's elements
+    each = index.groupBy("c", "dn").agg(F.first("k").alias("k"), head.alias("head")).withColumn("node", _node("c", "dn"))
+    each = each.join(mark, each.node == mark.node_, "left").select("c", "dn", "k", "head", F.xxhash64(F.coalesce("label", "node")).alias("label"))
+    counts = profile.filter("buckets is not null").groupBy("c", "dn").agg(F.first("buckets").alias("buckets"))
+    each = C.written(each.join(counts, ["c", "dn"]), "each")
+    rows = index.select("e", "c", "dn").join(each.select("c", "dn", "label"), ["c", "dn"])
     mixed = rows.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
     mixed = mixed.select("e", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     # a document of a posting of many blocks meets each other block once
     own = F.pmod(F.xxhash64("c", "dn"), F.col("blocks")).cast("int")
-    rows = rows.join(mixed, "e").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    counts = profile.filter("buckets is not null").groupBy("c", "dn").agg(F.first("buckets").alias("buckets"))
-    rows = rows.join(counts, ["c", "dn"])
-    rows = rows.select("e", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "dn", "k", F.xxhash64("label").alias("label"), "buckets")
+    rows = rows.select("e", "c", "dn").join(mixed, "e").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("e", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "dn").join(each, ["c", "dn"])
     rows = rows.repartition("e", "i", "j").sortWithinPartitions("e", "i", "j", "c", "dn")
-    schema = "ac long, adn long, bc long, bdn long, k int"
+    schema = "ac long, adn long, bc long, bdn long, n int, k int"
 
     def run(batches: Iterator[pa.RecordBatch]):
         for t in _runs(batches, ("e", "i", "j")):
             yield from _block_pairs(t, percent)
 
     pairs = rows.mapInArrow(run, schema)
-    return pairs.groupBy("ac", "adn", "bc", "bdn").agg(F.count(F.lit(1)).alias("n"), F.first("k").alias("k")).filter("n >= k").select("ac", "adn", "bc", "bdn")
+    return pairs.groupBy("ac", "adn", "bc", "bdn").agg(F.sum("n").alias("n"), F.first("k").alias("k")).filter("n >= k").select("ac", "adn", "bc", "bdn")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys) -> Iterator[pa.Table]:
@@ -225,6 +231,7 @@ def _block_pairs(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
         return
     c, dn, k, label, own, i, j = (t.column(x).to_numpy() for x in ("c", "dn", "k", "label", "own", "i", "j"))
     counts = np.frombuffer(b"".join(t.column("buckets").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+    heads, e = [set(h) for h in t.column("head").to_pylist()], t.column("e")[0].as_py()
     n = dn & 0x7FFFFFFF
     for lo in range(0, len(n), 64):
         a = slice(lo, lo + 64)
@@ -240,10 +247,17 @@ def _block_pairs(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
             most = np.where((counts[p] == 255).any(axis=1) | (counts[r] == 255).any(axis=1), np.minimum(n[p], n[r]), most)
             keep = 100 * most >= percent * (n[p] + n[r] - most)
             p, r = p[keep], r[keep]
+            need = np.minimum(k[p], k[r]).tolist()
+            found = np.ones(len(p), np.int32)
+            for at, (x_, y_, m_) in enumerate(zip(p.tolist(), r.tolist(), need)):
+                common = sorted(heads[x_] & heads[y_])
+                if len(common) >= m_:       # the pair's m_-th common posting speaks for all
+                    found[at] = m_ if common[m_ - 1] == e else 0
+            p, r, found = p[found > 0], r[found > 0], found[found > 0]
             if len(p):
                 flip = (c[p] > c[r]) | ((c[p] == c[r]) & (dn[p] > dn[r]))
                 p, r = np.where(flip, r, p), np.where(flip, p, r)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (c[p], dn[p], c[r], dn[r], np.minimum(k[p], k[r]).astype(np.int32))], names=["ac", "adn", "bc", "bdn", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (c[p], dn[p], c[r], dn[r], found, np.minimum(k[p], k[r]).astype(np.int32))], names=["ac", "adn", "bc", "bdn", "n", "k"])
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, text_col: str) -> DataFrame:
