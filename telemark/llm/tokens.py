@@ -36,14 +36,14 @@ END_ID = 2
 SEGMENT_TOKENS = 1 << 17
 SEGMENTS = "part int, seg int, at long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, codes binary"
 
-#: Known words kept by a Python worker, so that a word is encoded once.
-KNOWN_WORDS = 400_000
+#: Known words kept by a Python worker, so that a word is encoded once; as many
+#: again of the generation before stay at hand.
+KNOWN_WORDS = 600_000
 
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
-#: ASCII and Latin-1 letters, where the classes of the pre-tokenizer are beyond doubt.
-_PLAIN = re.compile(r"[\n -~À-ÖØ-öø-ÿ]*").fullmatch
-#: The pre-tokenizer's pattern on those characters (a fixed value).
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[a-zA-ZÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|\s+(?!\S)|\s+").findall
+_CORE = re.compile(r"\S(?:.*\S)?", re.S).fullmatch
+#: Words whose line breaks, one or two at a time, are ids of their own.
+_LINES = re.compile(r"\S+(?:\n\n?\S+)*").fullmatch
 
 _ENCODERS: dict = {}
 
@@ -55,9 +55,10 @@ class WordEncoder:
     Such a tokenizer treats the pieces of its pre-tokenizer one by one, and a
     piece never reaches over the border between a character that is no white
     space and a single space before another such character.  Texts are cut at
-    these borders, words are cut into pieces, and only unknown pieces go
-    through the library.  ``whole`` encodes without any of this, for tokenizers
-    of another kind and for tests.
+    these borders into words, and only unknown words go through the library,
+    many at a time with a line break between, which is an id of its own.
+    ``whole`` encodes without any of this, for tokenizers of another kind and
+    for tests.
     """
 
     def __init__(self, path: str):
@@ -66,44 +67,33 @@ class WordEncoder:
         self.lib = Tokenizer.from_file(path)
         pre = self.lib.pre_tokenizer
         state = pre.__getstate__() if pre is not None else b""
-        self.by_word = (self.lib.normalizer is None and b'"ByteLevel"' in state and b'"add_prefix_space":false' in state
-                        and b'"use_regex":true' in state and len(self.newline()) == 1)
         self.added = [x.content for x in self.lib.get_added_tokens_decoder().values()]
+        self.newline = self.whole("\n").tolist()
+        self.by_word = (self.lib.normalizer is None and b'"ByteLevel"' in state and b'"add_prefix_space":false' in state
+                        and b'"use_regex":true' in state and len(self.newline) == 1)
         self.words: dict[str, bytes] = {}       # the word after a space
+        self.older: dict[str, bytes] = {}       # the generation before
         self.firsts: dict[str, bytes] = {}      # the first word of a text
-        self.pieces: dict[str, bytes] = {}
-
-    def newline(self) -> list[int]:
-        return self.whole("\n").tolist()
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn(self, new: list[str], into: dict[str, bytes], lead: str) -> None:
-        cut, unknown = [], {}
-        for w in new:
-            k = _PIECES(lead + w) if _PLAIN(lead + w) else [lead + w]
-            cut.append(k)
-            unknown.update(dict.fromkeys(x for x in k if x not in self.pieces))
-        # a line break between two pieces is always a piece of its own
-        alone = [x for x in unknown if x.isspace() or "\n" in x or x[1:2].isspace() or x[-1:].isspace() or (x[:1].isspace() and x[:1] != " ")]
-        for x in alone:
-            self.pieces[x] = self.whole(x).tobytes()
-        rest = [x for x in unknown if x not in self.pieces]
-        stop = self.newline()[0]
-        for i in range(0, len(rest), 4000):
-            some = rest[i:i + 4000]
-            ids = np.array(self.lib.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(ids == stop)
-            if len(ends) != len(some) - 1:      # a piece holds the line break's id itself
-                self.pieces.update((x, self.whole(x).tobytes()) for x in some)
+        plain = [w for w in new if _LINES(w)]
+        for i in range(0, len(plain), 16000):
+            some = plain[i:i + 16000]
+            ids = np.array(self.lib.encode_batch_fast([lead + ("\n" + lead).join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            breaks = np.flatnonzero(ids == self.newline[0])
+            last = np.cumsum([w.count("\n") + 1 for w in some])[:-1] - 1
+            if len(breaks) != (last[-1] + 1 if len(last) else 0) + some[-1].count("\n"):
+                into.update((w, self.whole(lead + w).tobytes()) for w in some)
                 continue
             raw, at = ids.tobytes(), 0
-            for x, end in zip(some, [*(4 * ends).tolist(), len(raw)]):
-                self.pieces[x] = raw[at:end]
+            for w, end in zip(some, [*(4 * breaks[last]).tolist(), len(raw)]):
+                into[w] = raw[at:end]
                 at = end + 4
-        for w, k in zip(new, cut):
-            into[w] = b"".join([self.pieces[x] for x in k])
+        if len(plain) < len(new):
+            into.update((w, self.whole(lead + w).tobytes()) for w in new if w not in into)
 
     def _split(self, text: str, odd: bool) -> tuple:
         w = _BREAK.split(text) if odd else text.split(" ")
@@ -115,25 +105,31 @@ class WordEncoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             return [self.whole(t).tobytes() for t in texts]
-        if len(self.words) + len(self.firsts) > KNOWN_WORDS:
-            self.words, self.firsts = {}, {}
-        if len(self.pieces) > KNOWN_WORDS:
-            self.pieces = {}
-        cut, new, heads = [], {}, {}
+        if len(self.words) > KNOWN_WORDS:
+            self.older, self.words = self.words, {}
+        if len(self.firsts) > KNOWN_WORDS:
+            self.firsts = {}
+        cut, new = [], set()
         for t in texts:
             if any(x in t for x in self.added):
                 cut.append((t, None, None, None))
                 continue
-            head, w, v, gaps = self._split(t, False)
-            # a space with white space beside it leaves a word that is empty or has such an end
-            if head[:1].isspace() or head[-1:].isspace() or not head or any(not w[i] or w[i][0].isspace() or w[i][-1].isspace() for i in gaps):
-                head, w, v, gaps = self._split(t, True)
-            if head not in self.firsts:
-                heads[head] = None
-            new.update(dict.fromkeys([w[i] for i in gaps]))
-            cut.append((head, w, v, gaps))
+            cut.append(self._split(t, False))
+            _, w, _, gaps = cut[-1]
+            new.update([w[i] for i in gaps])
+        # a space with white space beside it leaves a word that is empty or has such an end
+        odd = {x for x in new if not _CORE(x)}
+        new -= odd
+        for k, (head, w, _, gaps) in enumerate(cut):
+            if w is not None and (not _CORE(head) or odd and not odd.isdisjoint([w[i] for i in gaps])):
+                cut[k] = self._split(texts[k], True)
+                new.update([cut[k][1][i] for i in cut[k][3]])
+        if self.older:
+            again = [x for x in new if x in self.older]
+            self.words.update((x, self.older[x]) for x in again)
+            new.difference_update(again)
         self._learn(list(new), self.words, " ")
-        self._learn(list(heads), self.firsts, "")
+        self._learn(list({c[0] for c in cut if c[1] is not None and c[0] not in self.firsts}), self.firsts, "")
         out = []
         for head, w, v, gaps in cut:
             if w is None:
