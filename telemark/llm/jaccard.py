@@ -159,8 +159,9 @@ def _index(profile: DataFrame, sizes: Sizes) -> DataFrame:
     for k in range(1, MAX_MATCHES + 1):
         s = F.sum(F.when(F.col("at") <= F.col("m") - F.col("q") + k, F.col("df")).otherwise(0)).over(doc)
         cost.append(F.when(F.lit(k) <= F.col("q"), F.struct((s * (1 + VERIFY_COST / k)).alias("cost"), F.lit(k).alias("k"))))
-    rows = rows.select("e", "c", "dn", "m", "q", "at", F.least(*cost)["k"].alias("k"))
-    return rows.filter("at <= m - q + k").select("e", "c", "dn", "k", "m")
+    pop = F.sum(F.floor(F.log2("df") * 16).cast("long")).over(doc)
+    rows = rows.select("e", "c", "dn", "m", "q", "at", F.least(*cost)["k"].alias("k"), pop.alias("pop"))
+    return rows.filter("at <= m - q + k").select("e", "c", "dn", "k", "pop")
 
 
 def _allowed(a: str, b: str, percent: int) -> F.Column:
@@ -170,7 +171,7 @@ def _allowed(a: str, b: str, percent: int) -> F.Column:
 
 
 def _hub_pairs(index: DataFrame, percent: int) -> DataFrame:
-    hubs = index.groupBy("e").agg(F.max(F.struct("m", "c", "dn")).alias("h")).select("e", F.col("h.c").alias("ac"), F.col("h.dn").alias("adn"))
+    hubs = index.groupBy("e").agg(F.max(F.struct("pop", "c", "dn")).alias("h")).select("e", F.col("h.c").alias("ac"), F.col("h.dn").alias("adn"))
     return (index.select("e", F.col("c").alias("bc"), F.col("dn").alias("bdn")).join(hubs, "e")
             .filter((F.col("ac") != F.col("bc")) | (F.col("adn") != F.col("bdn"))).filter(_allowed("adn", "bdn", percent))
             .select("ac", "adn", "bc", "bdn").distinct())
