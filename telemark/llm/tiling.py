@@ -166,10 +166,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="it
     found = docs.select(F.sha2(F.col(text_col), 256).alias("blob"), words(F.col(text_col)).alias("w")).filter(F.size("w") >= min_match)
     found = found.mapInArrow(stretches, "blob string, seeds array<long>, w array<long>").dropDuplicates(["blob"])
     found = C.written(found, "stretches")
-    index = items.select("item", "w").mapInArrow(item_seeds, "seed long, item long, n_words int").distinct()
+    index = (items.select("item", "w").mapInArrow(item_seeds, "seed long, item long, n_words int")
+             .groupBy("seed", "item", "n_words").agg(F.count(F.lit(1)).alias("occurs")))
     pairs = (found.select("blob", F.explode("seeds").alias("seed")).join(index, "seed")
-             .groupBy("blob", "item").agg(F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words"))
-             # n different seeds cover n * min_match words of the item at most
+             .groupBy("blob", "item").agg(F.sum("occurs").alias("n"), F.first("n_words").alias("n_words"))
+             # shared seeds that occur n times in the item cover n * min_match of its words at most
              .filter(F.col("n") * min_match >= F.col("n_words") * F.lit(coverage)).select("blob", "item"))
     both = pairs.join(found.select("blob", "w"), "blob").join(items.select("item", "item_id", F.col("w").alias("p")), "item")
     out_type = benchmark.schema[item_col].dataType.simpleString()

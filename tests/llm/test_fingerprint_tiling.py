@@ -185,3 +185,13 @@ def test_op8_reordered_and_edges(spark, edge):
     assert tiling.contaminated(docs.limit(0), bench).count() == 0
     assert tiling.contaminated(docs, bench.limit(0)).count() == 0
     assert tiling.decontaminate(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_op8_repeated_line_item(spark):
+    """An item of one line again and again has few different seeds, and is found all the same."""
+    item = " ".join(["oh my dear clementine lost"] * 12)
+    docs = spark.createDataFrame([(1, f"before it {item} after it"), (2, "oh my dear clementine lost and gone"), (3, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([("song", item)], "item_id string, text string")
+    found = [tuple(r) for r in tiling.contaminated(docs, items).collect()]
+    assert [(r[0], r[1], r[3], r[4]) for r in found] == [(1, "song", 60, 1.0)]
+    assert [r[0] for r in tiling.decontaminate(docs, items).orderBy("doc_id").collect()] == [2, 3]
