@@ -3,11 +3,17 @@
 A page is cut into blocks at block-level tags.  The first pass decides blocks
 on their own: those inside a menu, header, footer, sidebar, form, notice,
 advert or comment section are out, and so are those that are mostly links; a
-block with enough words and enough stop words among them is in.  Short or
-undecided blocks are decided in the second pass, by the nearest decided blocks
-on either side.  The borders of an article count as decided neighbours: inside
-one they are in, outside they are out, so that a short paragraph is not lost to
-the footer next to it.
+block with enough words and enough stop words among them is in.  A long block
+with few links is also in without stop words, if it is written in sentences or
+the page is in none of the listed languages; letters of scripts without spaces
+count as words.  Short or undecided blocks are decided in the second pass, by
+the nearest decided block on either side (the following one, if both are as
+near: a heading goes with its paragraph).  The
+borders of an article count as decided neighbours: inside one they are in,
+outside they are out, so that a short paragraph is not lost to the footer next
+to it.  The borders of the page decide nothing; on a page without an article
+and without any block that is in, the undecided blocks are its main text, if
+they have ``FEW_WORDS`` together.
 
 White space inside a block becomes one space; blocks are joined by an empty
 line.  Nothing else is dropped or capped.
@@ -35,6 +41,7 @@ MAX_LINK_DENSITY = 0.35
 LONG_WORDS = 25
 FEW_WORDS = 8
 STOP_LOW, STOP_HIGH = 0.08, 0.20
+FEW_LINKS = 0.10
 
 #: Frequent function words by language.
 STOP_WORDS = {
@@ -59,6 +66,9 @@ OUT_WORDS = frozenset("""ad ads advert adverts advertisement advertising adsense
  nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer foot colophon sidebar sidebars aside widget widgets related recommended
  cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup login share sharing social
  comment comments commentlist disqus respond reply replies discussion pagination pager copyright search searchbox complementary contentinfo skip""".split())
+#: Ends of sentences, and letters of scripts that are written without spaces.
+_SENTENCE = re.compile(r"[.!?…։؟۔।॥።](?:[\s\"'»”’)]|\Z)|[。！？｡]")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)|[^<]+|<", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>?", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -185,6 +195,25 @@ def _stop_density(words: list[str], stop: frozenset) -> float:
     return sum(w in stop for w in words) / len(words)
 
 
+def _size(text: str, words: list[str]) -> int:
+    """Words; a letter of a script without spaces counts as one."""
+    return max(len(words), len(_UNSPACED.findall(text)))
+
+
+def _nearest(kept: list, marks: list[bool | None], order: range) -> dict[int, tuple[bool | None, int]]:
+    """For each block in this order, the label of the last decided block or
+    article border before it, and how many blocks it is away."""
+    found, sec, label, at = {}, 0, None, order.start
+    for i in order:
+        b = kept[i][0]
+        if b.inside != sec:
+            sec, label, at = b.inside, bool(b.inside), i - order.step
+        found[i] = label, abs(i - at)
+        if marks[i] is not None and not b.out:
+            label, at = marks[i], i
+    return found
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page."""
     if not page:
@@ -198,6 +227,7 @@ def main_text(page: str | None) -> str:
         return ""
     every = [w for _, _, words in kept for w in words]
     stop = max(_STOP.values(), key=lambda s: sum(w in s for w in every))
+    listed = _stop_density(every, stop) >= STOP_LOW
     # first pass: True, False, or None for undecided
     marks: list[bool | None] = []
     for b, text, words in kept:
@@ -209,28 +239,26 @@ def main_text(page: str | None) -> str:
             marks.append(False)
         elif len(words) >= LONG_WORDS and stops >= STOP_LOW or len(words) >= FEW_WORDS and stops >= STOP_HIGH:
             marks.append(True)
+        elif density <= FEW_LINKS and _size(text, words) >= LONG_WORDS and (not listed or _SENTENCE.search(text)):
+            marks.append(True)
         else:
             marks.append(None)
     # second pass: the nearest decided blocks within the same article, its borders included
-    final = list(marks)
     n = len(marks)
-    before, last = [], (None, None)
+    before = _nearest(kept, marks, range(n))
+    after = _nearest(kept, marks, range(n - 1, -1, -1))
+    bare = (not any(b.inside for b, _, _ in kept) and True not in marks
+            and sum(_size(text, words) for (_, text, words), m in zip(kept, marks) if m is None) >= FEW_WORDS)
+    final = list(marks)
     for i in range(n):
-        sec = kept[i][0].inside
-        if last[0] != sec:
-            last = (sec, bool(sec))
-        before.append(last[1])
-        if marks[i] is not None and not kept[i][0].out:
-            last = (sec, marks[i])
-    last = (None, None)
-    for i in range(n - 1, -1, -1):
-        sec = kept[i][0].inside
-        if last[0] != sec:
-            last = (sec, bool(sec))
         if marks[i] is None:
-            final[i] = before[i] or last[1] if sec else before[i] and last[1]
-        elif not kept[i][0].out:
-            last = (sec, marks[i])
+            (left, x), (right, y) = before[i], after[i]
+            if kept[i][0].inside:
+                final[i] = left or right
+            elif left is None or right is None:
+                final[i] = left or right or bare
+            else:
+                final[i] = (left if x < y else right) or bare
     return "\n\n".join(text for (_, text, _), keep in zip(kept, final) if keep)
 
 

@@ -128,3 +128,21 @@ def test_op6_table_edges(spark):
     got = htmltext.extract(pages)
     assert got.columns == ["page_id", "html", "other", "text"] and got.count() == 2 * len(CASES)
     assert htmltext.extract(pages.limit(0)).count() == 0
+
+
+LONG = "The committee met in the old town hall on Monday and it was said that all of the members had agreed to the plan before the end of the year."
+RUSSIAN = "Совет города собрался в понедельник в старой ратуше, и все его члены согласились с планом до конца года. Новый мост через реку построят будущей весной, а старый закроют осенью для ремонта."
+CHINESE = "市议会星期一在旧市政厅开会，所有成员都同意了这项计划。新的大桥将于明年春天建成，旧桥则在秋天关闭进行维修。"
+NO_ARTICLE = [
+    (f"<body><nav><a href=x>Home</a></nav><h1>A plan agreed</h1><p>{LONG}</p><p>More soon.</p><footer>Imprint</footer></body>", f"A plan agreed\n\n{LONG}\n\nMore soon."),
+    (f"<body><ul><li><a href=x>Home</a><li><a href=y>News</a></ul><h1>Мост</h1><p>{RUSSIAN}</p><p>Подробнее завтра.</p></body>", f"Мост\n\n{RUSSIAN}\n\nПодробнее завтра."),
+    (f"<div class=menu>菜单</div><h1>大桥</h1><p>{CHINESE}</p>", f"大桥\n\n{CHINESE}"),
+    ("<h1>Closed today</h1><p>We open on Monday at nine.</p><nav><a href=x>Home</a></nav>", "Closed today\n\nWe open on Monday at nine."),
+    (f"<p>{LONG}</p><p>Near.</p><p>Middle.</p><div><a href=x>Terms</a></div>", f"{LONG}\n\nNear."),
+    (f"<p>{LONG}</p><p>Near.</p><p>Far off.</p><p>Last.</p><div><a href=x>Terms</a></div><div>Imprint</div>", f"{LONG}\n\nNear."),
+]
+
+
+@pytest.mark.parametrize("page,want", NO_ARTICLE)
+def test_op6_without_article(page, want):
+    assert htmltext.main_text(page) == want
