@@ -20,7 +20,10 @@ line.  Nothing else is dropped or capped.
 
 Defined results: a null or empty page and one without main text give the empty
 string; broken markup (open tags, cut pages, stray ``<``) is read as far as it
-goes; repeated rows stay; extra columns stay, and an input column named
+goes: only a script, style, title, textarea or iframe without its end tag takes
+the rest of the page, while an open button, object and the like ends at the next
+block-level tag or with its parent; formulas are text, and so is ``noscript``
+in an article; repeated rows stay; extra columns stay, and an input column named
 ``text`` gives way.
 """
 
@@ -58,7 +61,8 @@ _STOP = {k: frozenset(v.split()) for k, v in STOP_WORDS.items()}
 #: Tags by what they do to the text.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "object", "svg", "math", "select", "button", "canvas", "audio", "video", "head")
+RAW = ("script", "style", "textarea", "title", "iframe", "head")
+HELD = ("noscript", "template", "object", "svg", "select", "button", "canvas", "audio", "video")
 OUT_TAGS = frozenset("nav header footer aside form menu dialog fieldset".split())
 IN_TAGS = frozenset(("article", "main"))
 #: Words of a class, id or role that mark a part as out.
@@ -73,7 +77,9 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>?", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_INNER = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)", re.S | re.I)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
+_HELD_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in HELD}
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
@@ -105,6 +111,36 @@ class _Block:
         self.text, self.links, self.out, self.inside, self.item = [], 0, out, inside, item
 
 
+def _held_end(page: str, at: int, tag: str, closable: bool) -> int:
+    """Where an element that is out ends whose start tag ends at ``at``: behind
+    its own end tag.  If it is left open (its parent ends, an article or for a
+    button or list of options the next one starts, or the page ends before),
+    it ends at the first block-level tag or at the end of its parent."""
+    opened, first = [], None
+    for m in _INNER.finditer(page, at):
+        if m[3] is None:
+            continue
+        name = m[3].lower()
+        if m[2]:
+            if name in opened:
+                while opened.pop() != name:
+                    pass
+            elif name == tag:
+                return m.end()
+            else:
+                return m.start() if first is None else first
+            continue
+        if name in IN_TAGS or name == tag and tag in ("button", "select"):
+            return m.start() if first is None else first
+        if first is None and name in BLOCK and name not in ("option", "optgroup", "legend"):
+            first = m.start()
+        if first is not None and not closable:
+            return first
+        if name not in VOID and not m[4].endswith("/"):
+            opened.append(name)
+    return len(page) if first is None else first
+
+
 def blocks(page: str) -> list[_Block]:
     """The page's blocks in order, with the text, the characters in links,
     whether they lie in a part that is out, and the number of their article."""
@@ -112,6 +148,7 @@ def blocks(page: str) -> list[_Block]:
     stack: list[tuple[str, bool, int, bool]] = []       # tag, out, article, list item
     state, link, article = ("", False, 0, False), 0, 0
     now = _Block(False, 0, False)
+    last_end: dict[str, int] = {}       # of held elements
 
     def close():
         nonlocal now
@@ -159,6 +196,12 @@ def blocks(page: str) -> list[_Block]:
             at = stop.end() if stop else end
             now.text.append(" ")
             continue
+        if tag in _HELD_END and not m[3].endswith("/") and not (tag == "noscript" and state[2]):
+            if tag not in last_end:
+                last_end[tag] = max((e.start() for e in _HELD_END[tag].finditer(page)), default=-1)
+            at = _held_end(page, at, tag, last_end[tag] >= at)
+            now.text.append(" ")
+            continue
         if tag == "br":
             now.text.append(" ")
         elif tag == "a":

@@ -146,3 +146,17 @@ NO_ARTICLE = [
 @pytest.mark.parametrize("page,want", NO_ARTICLE)
 def test_op6_without_article(page, want):
     assert htmltext.main_text(page) == want
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<body><button>Menu<article><h1>Title</h1><p>{LONG}</p></article></body>", f"Title\n\n{LONG}"),
+    (f"<div><object data=x>Clip</div><article><p>{LONG}</p></article><button>Share</button>", LONG),
+    (f"<button>Menu<p>{LONG}</p><button>Share</button>", LONG),
+    (f"<article><p>{LONG}<svg><title>icon</title><text>no</text></svg></p><video><p>No video here</p></video><p>End.</p></article>", f"{LONG}\n\nEnd."),
+    ("<article><p>It is <math><mi>x</mi><mo>+</mo><mn>1</mn></math> here</p><noscript>A table.</noscript></article>", "It is x+1 here\n\nA table."),
+    ("<article><p>one <button>two</button> three</p><select><option>a<option>b</select><p>four</p></article>", "one three\n\nfour"),
+    (f"<article><p>{LONG}</p><script>var a = 1; <p>cut", LONG),
+    (f"<p>{LONG}</p>" + "<object>" * 20000, LONG),
+])
+def test_op6_open_elements(page, want):
+    assert htmltext.main_text(page) == want
