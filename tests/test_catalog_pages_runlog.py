@@ -74,3 +74,21 @@ def test_informative(spark):
                                "a string, b string")
     got = [r[0] for r in df.select(G.more_informative("a", "b")).collect()]
     assert got == ["Failed to resolve table X", "short one"]
+
+
+def test_innermost_message_objects(spark):
+    cases = [
+        ('failed. Inner error: {"code": "a", "message": "near \\"x\\" on\\nline 2"} tail "message": "late"', 'near "x" on\nline 2'),
+        ('Inner error: {"message":"outer","details":[{"message":"detail"}],"innererror":{"details":[{"message":"d"}],"message":"own"}} {"message":"later"}', "own"),
+        ('Inner error: {"details":[{"message":"detail"}],"message":"own"}', "own"),
+        ('Inner error: {"error":{"message":{"errorMessage":"deep"}}}', "deep"),
+        ('Inner error: {"error":"Inner error: {\\"message\\":\\"in a string\\"}"}', "in a string"),
+        ('Inner error: {"message":"cut', 'Inner error: {"message":"cut'),
+        ('Inner error: {no json} {"message":"last"}', "last"),
+        ('Inner error: {"code":"x"} tail', '{"code":"x"}'),
+        ('{"error":{"code":7,"message":8}}', "8"), ("plain", "plain"), ("", ""), (None, None),
+        ('{"z": 1, "code": 2}', '{"z": 1, "code": 2}'), ('Inner error: {"z": 1,  "a": 2} x', '{"z": 1,  "a": 2}'),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, e string")
+    got = [r[1] for r in df.select("i", G.innermost_message("e")).orderBy("i").collect()]
+    assert got == [w for _, w in cases]
