@@ -154,15 +154,16 @@ def page_description_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metadata_fallback_q(documents: DataFrame) -> DataFrame:
     """C-10 per table (language and size tier): the manifest value (``src0``),
     else that of the other sources by rank, field by field.  A side's value is
-    that of its first document by source rank and id; an empty one is missing."""
+    that of its first document by source rank and id, sources without a rank
+    last; an empty one is missing."""
     tier = F.when(F.col("n_chars") < 1000, "short").when(F.col("n_chars") < 10000, "medium").otherwise("long")
     rank = F.regexp_extract("source", r"(\d+)", 1).try_cast("int")
     d = documents.select(F.concat_ws("/", "lang", tier).alias("table_name"), description().alias("description"), F.col("source").alias("origin"), rank.alias("rank"), "doc_id")
 
     def side(rows):
-        first = F.min_by(F.struct("description", "origin"), F.struct("rank", "doc_id")).alias("v")
+        first = F.min_by(F.struct("description", "origin"), F.struct(F.col("rank").isNull(), "rank", "doc_id")).alias("v")
         return rows.groupBy("table_name").agg(first).select("table_name", "v.description", "v.origin")
-    return C.metadata_fallback(side(d.filter("rank = 0")), side(d.filter("rank > 0")), "table_name", ["description", "origin"])
+    return C.metadata_fallback(side(d.filter("rank = 0")), side(d.filter("rank is null or rank > 0")), "table_name", ["description", "origin"])
 
 
 @register("metadata_fallback", """

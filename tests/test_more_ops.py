@@ -127,3 +127,11 @@ def test_dedup_idempotent_and_first_wins(spark):
         assert a == sorted(want.values())
 
     check()
+
+
+def test_metadata_fallback_sources_without_rank(spark):
+    from telemark.plans.catalog import metadata_fallback_q
+    rows = [("en", None, 600, 1), ("de", "web", 600, 2), ("de", "src3", 600, 3), ("fr", "src0", 100, 4), ("fr", "crawl", 700, 5)]
+    docs = spark.createDataFrame([(l, s, n, i, "t") for l, s, n, i in rows], "lang string, source string, n_chars long, doc_id long, text string")
+    got = {r.table_name: r.origin for r in metadata_fallback_q(docs).collect()}
+    assert got == {"en/short": None, "de/short": "src3", "fr/short": "src0"}
