@@ -11,8 +11,11 @@ wherever they stand.
 
 A fingerprint is the smallest names (32 bits each) of three levels, as hex:
 ``level1.level2.level3``, at most ``KEEP`` of each; level 1 is kept for texts
-under ``SHORT`` bytes only.  The likeness of two fingerprints is the Dice
-coefficient of the highest level on which both have enough names.
+under ``SHORT`` bytes and for strongly repetitive ones, with too few names of
+level 2, only; there a run of ``SHORT`` bytes or more also gives a name of its
+symbol alone.  The likeness of two fingerprints is the Dice coefficient of the
+highest level on which both have enough names, else of the lowest on which both
+have any.
 
 Defined results: a null text is the empty one, with fingerprint ``..``; two
 empty texts have likeness 1, an empty and another text 0; texts are taken in
@@ -24,6 +27,7 @@ proportion to the longest single text.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +40,8 @@ from telemark.llm import common as C
 KEEP = (16, 24, 64)
 ENOUGH = (1, 4, 8)
 SHORT = 256
+_LONG_RUN = re.compile(rb"(.)\1{%d,}" % (SHORT - 1), re.S)
+_SYMBOL = np.uint64(1 << 63)
 BATCH_BYTES = 1 << 20
 
 
@@ -136,10 +142,16 @@ def fingerprints(texts: list[str]) -> list[str]:
     for lo, hi in _slices([len(r) for r in raws]):
         some = raws[lo:hi]
         lists = []
-        for level, (names, owner) in enumerate(levels(some)):
+        found = levels(some)
+        short = np.array([len(r) < SHORT for r in some])
+        few = ~short & (np.bincount(np.unique((found[1][1].astype(np.uint64) << np.uint64(32)) | (found[1][0] >> np.uint64(32))) >> np.uint64(32), minlength=len(some)) < ENOUGH[1])
+        for level, (names, owner) in enumerate(found):
             if level == 0:
-                short = np.array([len(r) < SHORT for r in some])[owner]
-                names, owner = names[short], owner[short]
+                kept = (short | few)[owner]
+                runs = [(m[0][0], i) for i in np.flatnonzero(few).tolist() for m in _LONG_RUN.finditer(some[i])]
+                symbols, at = np.array(runs, np.int64).reshape(-1, 2).T
+                names = np.concatenate([names[kept], _mix(symbols.astype(np.uint64) | _SYMBOL)])
+                owner = np.concatenate([owner[kept], at])
             both = np.unique((owner.astype(np.uint64) << np.uint64(32)) | (names >> np.uint64(32)))
             cut = np.searchsorted(both, np.arange(len(some) + 1, dtype=np.uint64) << np.uint64(32))
             raw = both.astype(np.uint32).astype(">u4").tobytes().hex()
@@ -169,6 +181,10 @@ def likeness(a: str, b: str) -> float:
             low = set(sorted(x | y)[:KEEP[level]])
             j = len(low & x & y) / len(low)
             return 2 * j / (1 + j)
+    for x, y in zip(a.split("."), b.split(".")):        # strongly repetitive texts
+        x, y = ({s[i:i + 8] for i in range(0, len(s), 8)} for s in (x, y))
+        if x and y:
+            return 2 * len(x & y) / (len(x) + len(y))
     return 0.0
 
 

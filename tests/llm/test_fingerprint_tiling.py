@@ -195,3 +195,10 @@ def test_op8_repeated_line_item(spark):
     found = [tuple(r) for r in tiling.contaminated(docs, items).collect()]
     assert [(r[0], r[1], r[3], r[4]) for r in found] == [(1, "song", 60, 1.0)]
     assert [r[0] for r in tiling.decontaminate(docs, items).orderBy("doc_id").collect()] == [2, 3]
+
+
+@pytest.mark.parametrize("text", ["la " * 400, "x" * 1000, ("=" * 40 + "\n") * 30, "ab" * 300])
+def test_repetitive_texts_are_like_near_copies(text):
+    a, b, other = phrases.fingerprints([text, text + "y", "The mayor opened a bridge over the river. " * 20])
+    assert phrases.likeness(a, b) >= 0.4
+    assert phrases.likeness(a, other) == 0.0
