@@ -5,12 +5,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BLOCK_BITS = 16
 #: A word: a run of anything but ASCII space and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -72,11 +75,25 @@ def bounded_sample(df: DataFrame, by: str, most: int, draw, counts: dict | None
 
 def bitmap(slots: DataFrame, bits: int):
     """A bitmap of ``2 ** bits`` bits, whatever the input's size, from rows of
-    one slot number each; ``probe`` reads it."""
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in slots.distinct().toLocalIterator():
-        out[r[0] >> 3] |= 1 << (r[0] & 7)
-    return out
+    one number ``slot`` each; ``probe`` reads it.  The tasks fill blocks of
+    ``2 ** BLOCK_BITS`` bits; only these come to the driver."""
+    def packed(batches: Iterator[pa.RecordBatch]):
+        blocks: dict[int, np.ndarray] = {}
+        for b in batches:
+            slot = np.sort(b.column("slot").to_numpy())
+            block, first = np.unique(slot >> BLOCK_BITS, return_index=True)
+            for k, at in zip(block.tolist(), np.split(slot & ((1 << BLOCK_BITS) - 1), first[1:])):
+                held = blocks.setdefault(k, np.zeros(1 << (BLOCK_BITS - 3), np.uint8))
+                np.bitwise_or.at(held, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_pydict({"block": list(blocks), "bytes": [x.tobytes() for x in blocks.values()]},
+                                         schema=pa.schema([("block", pa.int64()), ("bytes", pa.binary())]))
+
+    size = 1 << (BLOCK_BITS - 3)
+    out = np.zeros(max(1 << (bits - 3), size), np.uint8)
+    parts = slots.select(F.col("slot").cast("long")).distinct().repartition(F.shiftright("slot", BLOCK_BITS))
+    for r in parts.mapInArrow(packed, "block long, bytes binary").collect():
+        out[r.block * size:(r.block + 1) * size] = np.frombuffer(r.bytes, np.uint8)
+    return out[:1 << (bits - 3)]
 
 
 def probe(bits_of, slot):

@@ -145,3 +145,19 @@ def test_pipeline_on_empty_and_odd_rows(spark):
     for name, stage in P.STAGES:
         assert stage(spark, docs.limit(0), SF001).count() == 0, name
         assert stage(spark, docs, SF001).count() >= 0, name
+
+
+def test_bitmap_packed_in_tasks(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    from telemark.llm import common
+    monkeypatch.setattr(Classic, "toLocalIterator", None)        # no row by row pass
+    rng = np.random.default_rng(5)
+    for bits, n in ((23, 5000), (18, 3), (10, 50), (20, 0)):
+        slots = rng.integers(0, 1 << bits, n)
+        want = np.zeros(1 << (bits - 3), np.uint8)
+        for s in slots.tolist():
+            want[s >> 3] |= 1 << (s & 7)
+        df = spark.createDataFrame([(int(s),) for s in slots] * 2, "slot long")
+        assert np.array_equal(common.bitmap(df, bits), want)
