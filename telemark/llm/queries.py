@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemark.llm import common as C
-from telemark.llm import htmltext, jaccard, langid, mixing, phrases, quality, secrets, sharding, tiling, tokens
+from telemark.llm import collocations, filter_audit, htmltext, jaccard, langid, licenses, mixing, phrases, quality, secrets, sharding, tiling, tokens
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -136,3 +136,81 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs.select("doc_id", "text", "lang"), fold(4) != 2)
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@register("op11_filter_audit", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t),
+                    regexp_matches(t, '[#$%&*|]'), w.doc_id > first] AS m, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+      FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+i AS (SELECT unnest(range(1, 6)) AS i),
+p AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT o, i AS step, o[i] AS own, o[:i - 1] AS prior FROM p, i),
+r AS (SELECT part, array_to_string(list_transform(o, lambda x: 'ABCDE'[x]), '') AS filter_order, step, own,
+             coalesce(sum(n) FILTER (WHERE NOT m[own] AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (WHERE m[own] AND NOT gone), 0) AS removed,
+             coalesce(sum(n) FILTER (WHERE m[own] AND gone), 0) AS redundant,
+             coalesce(sum(n) FILTER (WHERE m[own] AND len(list_filter(m, lambda x: x)) = 1), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (WHERE m[own] AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE m[own] AND NOT gone), 0) AS toxic_lost
+      FROM (SELECT *, len(list_filter(prior, lambda x: m[x])) > 0 AS gone FROM c, s) GROUP BY part, o, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+""")
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filter_audit.failure_rows(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    marks = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
+    return filter_audit.audit(filter_audit.cells(rows, _table(spark, sf_dir, "labels"), marks), "ABCDE", tuple(marks))
+
+
+def _templates_sql() -> str:
+    """Every block against every template of its class, with sets and places."""
+    rows = []
+    for i, t in enumerate(licenses.TEMPLATES):
+        w = licenses.words_of(t.text)
+        least = -(-t.percent * len(set(w)) // 100)
+        rows.append(f"({i}, '{t.label}', {licenses.stride(t)}, {least}, {w}, {t.phrase})")
+    base = len(licenses.BASE)
+    return r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+t(i, label, s, o, words, phrase) AS (VALUES """ + ",\n  ".join(rows) + f"""),
+b AS (SELECT doc_id, s, b, w[b * s + 1:b * s + 2 * s] AS q FROM (SELECT doc_id, w, s, unnest(range(0, (len(w) + s - 1) // s)) AS b FROM w, (SELECT DISTINCT s FROM t))),
+m AS (SELECT b.*, i, label, phrase, len(list_intersect(list_distinct(words), q)) / len(list_distinct(words)) AS c,
+             CASE WHEN phrase THEN list_filter(range(0, least(b.s, len(q))), lambda x: q[x + 1:x + len(words)] = words) END AS places
+      FROM b JOIN t ON b.s = t.s WHERE len(list_intersect(list_distinct(words), q)) >= o),
+g AS (SELECT doc_id, sum(len(places)) FILTER (WHERE i < {base}) AS n, min(b * s + places[1]) FILTER (WHERE i < {base}) AS first_word, max(b * s + places[-1]) FILTER (WHERE i < {base}) AS last_word,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE i < {base}) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(c) AS score
+      FROM m WHERE NOT phrase OR len(places) > 0 GROUP BY 1)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM w LEFT JOIN g ON w.doc_id = g.doc_id"""
+
+
+@register("op12_license_scan", _templates_sql())
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+@register("op13_collocations", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+           FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM s, (VALUES (1), (2), (3), (4)) v(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 30),
+x AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+y AS (SELECT x.lang, x.phrase, x.a, x.k, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * x.a // (l.f + r.f) AS BIGINT) AS score
+      FROM x JOIN g l ON l.lang = x.lang AND l.phrase = array_to_string(w[:x.k], ' ') AND l.k = x.k
+             JOIN g r ON r.lang = x.lang AND r.phrase = array_to_string(w[x.k + 1:], ' ') AND r.k = x.size - x.k),
+z AS (SELECT lang, phrase, a, l, r, score FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT DISTINCT s.lang, s.phrase FROM c s JOIN (SELECT lang, size, a, w, unnest(range(2, size)) AS k FROM c) b ON b.lang = s.lang AND b.k = s.size AND b.a * 100 >= s.a * 80
+             AND list_contains(list_transform(range(1, b.size - b.k + 2), lambda j: array_to_string(b.w[j:j + b.k - 1], ' ')), s.phrase)),
+o AS (SELECT z.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z ANTI JOIN i USING (lang, phrase))
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+""")
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents").select("text", "lang")).withColumnRenamed("part", "lang")
