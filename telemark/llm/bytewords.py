@@ -11,15 +11,15 @@ import pyarrow as pa
 SLICE = 1 << 20     # bytes of a text whose words are held as objects at a time
 
 
-def table(space, newline=()) -> bytes:
+def table(space, end=(), mark: int = 10) -> bytes:
     """A translation: A to Z in lower case, ``space`` characters to a space,
-    ``newline`` characters to a line feed."""
+    ``end`` characters to ``mark``."""
     t = bytearray(range(256))
     t[65:91] = bytes(range(97, 123))
     for c in space:
         t[c] = 32
-    for c in newline:
-        t[c] = 10
+    for c in end:
+        t[c] = mark
     return bytes(t)
 
 

@@ -24,7 +24,6 @@ ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,14 +42,13 @@ OVERLAP = MAX_WORDS - 1
 PERIOD = 16             # one window in so many is a trigger
 CHUNK_WORDS = 1024
 LEAST = 30
-HELD_CHUNKS = 100_000   # distinct chunks a parsing task sums before it gives them out
-HELD_BYTES = 32 << 20
-HELD_WORDS = 1 << 19    # words of chunks whose n-grams are summed together
-KNOWN_WORDS = 1 << 18   # hashes kept of words already met, those of up to 64 bytes
+HELD_WORDS = 1 << 19    # words that are parsed or counted together
 BITS = 26
 
 #: Pieces end at . , ; : ! ? and line feed to carriage return; words at space and tab.
-TABLE = B.table(b" \t", b".,;:!?\n\x0b\x0c\r")
+#: A piece's end is a byte that UTF-8 lacks.
+END = b"\xff"
+TABLE = B.table(b" \t", b".,;:!?\n\x0b\x0c\r", END[0])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,72 +67,92 @@ def _window_hash(h: np.ndarray, n: int) -> np.ndarray:
     return _mixed(out)
 
 
-def _cuts(h: np.ndarray) -> list[int]:
-    """Where the chunks of a piece begin, by its words' hashes."""
-    n = len(h)
-    if n <= MAX_WORDS:
-        return [0]
-    at = np.flatnonzero(_window_hash(h, OVERLAP) % np.uint64(PERIOD) == 0)
-    starts = [0]
-    for s in [*at[(at > 0) & (at < n - OVERLAP)].tolist(), n]:
-        while s - starts[-1] > CHUNK_WORDS + OVERLAP:
-            starts.append(starts[-1] + CHUNK_WORDS)
-        if s < n:
-            starts.append(s)
-    return starts
+def _chunks(flat: list[bytes], part_ids: np.ndarray, borders: list[int]) -> tuple:
+    """Chunks of a list of words in which ``END`` closes each piece: part
+    numbers, chunks, whether each is open, and occurrences, without repeats.
+    A border begins a chunk that other words will complete; it is left out."""
+    d = pa.array(flat, pa.binary()).dictionary_encode()
+    ids = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = ids == d.dictionary.index(pa.scalar(END, pa.binary())).as_py()
+    at = np.flatnonzero(ends)
+    begins = ~ends
+    begins[1:] &= ends[:-1]
+    if len(ids) > MAX_WORDS:
+        trigger = _window_hash(_word_hashes(d.dictionary)[ids], OVERLAP)[1:-1] % np.uint64(PERIOD) == 0
+        for j in range(MAX_WORDS + 1):      # words before and behind the window are of its piece
+            trigger &= ~ends[j:j + len(trigger)]
+        begins[1:1 + len(trigger)] |= trigger
+    ghost = np.zeros(len(ids), bool)
+    ghost[borders] = True
+    start = np.flatnonzero(begins | ghost)
+    stop = at[np.searchsorted(at, start)]
+    following = np.minimum(np.append(start[1:], len(ids)), stop)
+    long = np.flatnonzero(following - start > CHUNK_WORDS + OVERLAP)
+    if len(long):
+        more = np.concatenate([np.arange(a + CHUNK_WORDS, z - OVERLAP, CHUNK_WORDS) for a, z in zip(start[long], following[long])])
+        start = np.unique(np.concatenate([start, more]))
+        stop = at[np.searchsorted(at, start)]
+        following = np.minimum(np.append(start[1:], len(ids)), stop)
+    opened = following < stop
+    own = ~ghost[start]
+    start, opened, size = start[own], opened[own], np.where(opened, following + OVERLAP, stop)[own] - start[own]
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    words = d.dictionary.take(pa.array(ids[np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])]))
+    chunks = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words), b" ").dictionary_encode()
+    code = (part_ids[start] * len(chunks.dictionary) + chunks.indices.to_numpy(zero_copy_only=False)) * 2 + opened
+    code, weight = np.unique(code, return_counts=True)
+    return code // 2 // max(len(chunks.dictionary), 1), chunks.dictionary.take(pa.array(code // 2 % max(len(chunks.dictionary), 1))), code % 2 == 1, weight
+
+
+def _segments(text: bytes) -> Iterator[tuple[list[bytes], bool]]:
+    """Words of a text with ``END`` between pieces, a long text in parts.  A part
+    that ends inside a piece is open: the next one repeats its last words."""
+    tail: list[bytes] = []
+    cuts = B.slices(text) if len(text) > B.SLICE else [text]
+    at = 0
+    for cut in cuts:
+        at += len(cut)
+        words = tail + cut.replace(END, b" " + END + b" ").split()
+        n = 0
+        while n <= OVERLAP and n < len(words) and words[-1 - n] != END:
+            n += 1
+        if at == len(text) or not n:
+            tail = []
+            yield words, False
+        elif n > OVERLAP:
+            tail = words[-OVERLAP:]
+            yield words, True
+        else:
+            tail = words[-n:]
+            yield words[:-n], False
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("part", pa.string()), ("chunk", pa.binary()), ("open", pa.bool_()), ("weight", pa.int64())])
-    held: Counter = Counter()
-    size = 0
-    known: dict[bytes, int] = {}
+    flat: list[bytes] = []
+    names: dict[str, int] = {}
+    lengths: list[tuple[int, int]] = []
+    borders: list[int] = []
 
     def out() -> pa.RecordBatch:
-        keys = list(held)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()),
-                                           pa.array([k[2] for k in keys], pa.bool_()), pa.array(list(held.values()), pa.int64())], schema=schema)
-
-    def hashes(words: list[bytes]) -> np.ndarray:
-        got = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = xxhash.xxh64_intdigest(w)
-                if len(w) <= 64:
-                    if len(known) >= KNOWN_WORDS:
-                        known.clear()
-                    known[w] = h
-            got.append(h)
-        return np.array(got, np.uint64)
+        ids, size = np.array(lengths, np.int64).T
+        part, chunk, opened, weight = _chunks(flat, np.repeat(ids, size), borders)
+        r = pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()).take(pa.array(part)), chunk, pa.array(opened), pa.array(weight.astype(np.int64))], schema=schema)
+        for x in (flat, lengths, borders):
+            x.clear()
+        return r
 
     for b in batches:
         for part, text in zip(b.column("part").to_pylist(), B.raw(b.column("text"))):
-            for piece in (text or b"").translate(TABLE).split(b"\n"):
-                # a long piece comes in slices, each with the words that the next one's first windows need
-                tail: list[bytes] = []
-                parts = list(B.slices(piece)) if len(piece) > B.SLICE else [piece]
-                for i, cut in enumerate(parts):
-                    words = tail + cut.split()
-                    more = i + 1 < len(parts)
-                    if more and len(words) <= OVERLAP:
-                        tail = words
-                        continue
-                    end = len(words) - OVERLAP if more else len(words)
-                    if not words:
-                        continue
-                    starts = [s for s in _cuts(hashes(words)) if s < end]
-                    for a, z in zip(starts, [*starts[1:], end]):
-                        follows = z < len(words)
-                        key = (part, b" ".join(words[a:z + OVERLAP] if follows else words[a:z]), follows)
-                        held[key] += 1
-                        size += len(key[1])
-                    tail = words[end:]
-                    if len(held) >= HELD_CHUNKS or size >= HELD_BYTES:
-                        yield out()
-                        held.clear()
-                        size = 0
-    if held:
+            for words, is_open in _segments(text.translate(TABLE)):
+                flat += words
+                if is_open:
+                    borders.append(len(flat) - OVERLAP)
+                flat.append(END)
+                lengths.append((names.setdefault(part, len(names)), len(words) + 1))
+                if len(flat) >= HELD_WORDS:
+                    yield out()
+    if flat:
         yield out()
 
 
