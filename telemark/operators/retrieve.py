@@ -1,25 +1,28 @@
 """Example retrieval: token overlap, heuristic + cosine hybrid ranking and the
 example index (SURVEY 2.13: T-3..T-8).
 
-Shape at scale: the *questions* are the large side (a whole corpus of prompts
-or documents); the *examples* are a curated corpus.  Scoring is all
-(question, example) pairs by definition, but no pair row is ever emitted or
-shuffled: the examples are packed into blocks of at most ``block_size``
-entries (each block one row, its size measured before it is broadcast), and
-each question row scores a block with JVM higher-order functions, keeping
-only its top ``k``.  With one block (the usual case) the whole ranking is a
-single map-side pass with no shuffle at all; with several blocks a first pass
-finds each question's heuristic maximum and a second keeps a per-block top
-``k``, so at most ``blocks * k`` candidates per question are ranked.
+Ranking is an inverted index with score bounds, one plan for all sizes:
+
+* postings ``(token, example)`` are joined to the questions' tokens; a pair of
+  question and example is made only where they share a token (or a containment
+  key, below), and its heuristic is a partial aggregate over these rows;
+* containment is looked for under one key an example, its rarest inner token,
+  and tested on the texts of the pairs that meet there;
+* these pairs get their exact score; any other example scores at most
+  ``0.45 * |q| * |e|`` and takes part only if that reaches the k-th.  Pairs and
+  vectors meet in blocks of bounded size, from which only a question's best
+  ``k`` leave.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemark.functions.text import tokens
-from telemark.operators.joins import spread
 
 # Fixed values (T-5, T-6): heuristic weights and the hybrid mix.
 CONTAIN_BONUS = 10
@@ -29,8 +32,12 @@ COSINE_WEIGHT = 0.45
 DEFAULT_K = 4
 MAX_K = 12
 
-DEFAULT_BLOCK = 20000
-MAX_BLOCK_BYTES = 256 * 1024 * 1024
+BLOCK = 1024        # questions, and examples, whose vectors meet in one task
+SLICE = 64          # questions of a task whose scores are held at a time
+EXAMPLE, QUESTION, PAIR = range(3)
+GRAM = 3            # characters of the key of an example without inner tokens
+POD = "#pod"        # posting of both forms, pod and pods; no token holds a '#'
+_PAIR, _POD, _CONTAIN = 10 ** 9, 10 ** 12, 10 ** 15     # digits of the bonuses in a sum of at most 1e9 shared tokens
 
 
 def clamp_k(k) -> int:
@@ -82,136 +89,140 @@ def heuristic_score(q_text: Column, q_tok: Column, e_text: Column, e_tok: Column
     return contain + token_overlap(q_tok, e_tok) + pair + pod
 
 
-def _flags(tok: Column) -> Column:
-    """Per-row bonus flags, computed once per row instead of once per pair."""
-    has = lambda w: F.array_contains(tok, F.lit(w))
-    return F.struct(has("workload").alias("workload"), has("latency").alias("latency"),
-                    (has("pod") | has("pods")).alias("pod"))
-
-
-def _inner_token_count(low: Column) -> Column:
+def _inner_tokens(low: Column) -> Column:
     """Distinct tokens (length > 1) of a lower-cased text that touch neither
     its start nor its end.  If the text occurs inside another, each of these
     is a whole token there too."""
     parts = F.split(low, "[^a-z0-9]+")
     inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
-    return F.size(F.array_distinct(F.filter(inner, lambda t: F.length(t) > 1)))
-
-
-def _pair_score(q_low: Column, q_tok: Column, q_flags: Column, e) -> Column:
-    """T-5 on precomputed lower-cased texts and flags (same value as heuristic_score).
-
-    The substring test runs only when the shared-token count reaches the
-    example's inner-token count, a necessary condition for containment, so
-    the result is unchanged while most pairs skip the text scan."""
-    ov = token_overlap(q_tok, e["etok"])
-    ef = e["eflags"]
-    pair = F.when((ef["workload"] & q_flags["workload"]) | (ef["latency"] & q_flags["latency"]), PAIR_BONUS).otherwise(0)
-    pod = F.when(ef["pod"] & q_flags["pod"], PAIR_BONUS).otherwise(0)
-    return ov, pair + pod
+    return F.array_distinct(F.filter(inner, lambda t: F.length(t) > 1))
+
+
+def _grams(low: Column) -> Column:
+    """Runs of up to ``GRAM`` characters, the empty one included."""
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *map(runs, range(1, GRAM + 1))))
+
+
+def _contained(q: DataFrame, ex: DataFrame) -> DataFrame:
+    """``(qid, eid)`` of the examples whose text stands in a question's."""
+    inner = ex.select("eid", "elow", _inner_tokens(F.col("elow")).alias("inner"))
+    each = inner.select("eid", F.explode("inner").alias("tok"))
+    often = each.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    keys = each.join(often, "tok").groupBy("eid").agg(F.min(F.struct("df", "tok")).alias("m")).select("eid", F.col("m.tok").alias("tok"))
+    met = q.select("qid", F.explode_outer("qtok").alias("tok")).join(keys, "tok").select("qid", "eid")
+    # an example of one or two tokens may stand inside others: found by its first characters
+    short = inner.filter(F.size("inner") == 0).select("eid", F.substr("elow", F.lit(1), F.lit(GRAM)).alias("gram"))
+    any_short = short.select(F.count(F.lit(1))).scalar() > 0
+    grams = q.select("qid", F.explode_outer(F.when(any_short, _grams(F.col("qlow"))).otherwise(F.array().cast("array<string>"))).alias("gram"))
+    met = met.union(grams.join(short, "gram").select("qid", "eid")).distinct()
+    texts = met.join(ex.select("eid", "elow"), "eid").join(q.select("qid", "qlow"), "qid")
+    return texts.filter(F.instr("qlow", F.col("elow")) > 0).select("qid", "eid")
+
+
+def heuristic_pairs(q: DataFrame, ex: DataFrame) -> DataFrame:
+    """T-5 ``(qid, eid, h)`` of all pairs whose heuristic is not 0."""
+    pod = lambda tok: F.when(F.arrays_overlap(tok, F.array(F.lit("pod"), F.lit("pods"))), F.concat(tok, F.array(F.lit(POD)))).otherwise(tok)
+    postings = ex.select("eid", F.explode(pod(F.col("etok"))).alias("tok"))
+    # one number a row: shared tokens count 1, the three bonuses stand in digits above
+    kind = F.when(F.col("tok") == POD, _POD).when(F.col("tok").isin("workload", "latency"), _PAIR + 1).otherwise(1)
+    postings = postings.select("tok", "eid", kind.alias("n"))
+    shared = q.select("qid", F.explode_outer(pod(F.col("qtok"))).alias("tok")).join(postings, "tok").select("qid", "eid", "n")
+    shared = shared.groupBy("qid", "eid").agg(F.sum("n").cast("long").alias("n"))
+    both = shared.union(_contained(q, ex).select("qid", "eid", F.lit(_CONTAIN).cast("long")))
+    n = F.sum("n")
+    bonus = lambda unit, worth: F.when(F.floor(n / unit) % 1000 > 0, worth).otherwise(0)
+    h = n % _PAIR + bonus(_PAIR, PAIR_BONUS) + bonus(_POD, PAIR_BONUS) + bonus(_CONTAIN, CONTAIN_BONUS)
+    return both.groupBy("qid", "eid").agg(h.cast("long").alias("h"))
+
+
+def _best_of_block(k: int, id_type: pa.DataType, e_type: pa.DataType):
+    """The best ``k`` of a block's examples for each question of a group."""
+    schema = pa.schema([("qid", id_type), ("eid", e_type), ("score", pa.float64()), ("h", pa.int64()), ("cos", pa.float64())])
+
+    def vectors(column: pa.ChunkedArray) -> np.ndarray:
+        column = pc.fill_null(column.combine_chunks(), pa.scalar([], column.type))
+        size = np.asarray(pc.list_value_length(column))
+        flat = np.nan_to_num(np.asarray(pc.list_flatten(column)).astype(float))
+        out = np.zeros((len(size), max(size, default=0)))
+        out[np.arange(out.shape[1]) < size[:, None]] = flat
+        return out
+
+    def run(t: pa.Table) -> pa.Table:
+        right, ask, pairs = (t.filter(pc.equal(t.column("kind"), x)) for x in (EXAMPLE, QUESTION, PAIR))
+        right = right.take(pc.sort_indices(right.column("eid")))        # ties go to the lower id
+        ids, names = right.column("eid").combine_chunks(), ask.column("qid").combine_chunks()
+        if not len(ids) or not len(names):
+            return schema.empty_table()
+        q, e = vectors(ask.column("vec")), vectors(right.column("vec"))
+        d = min(q.shape[1], e.shape[1])
+        q, e = q[:, :d], e[:, :d]
+        h, most = np.zeros((len(names), len(ids)), np.int64), np.ones(len(names))
+        if pairs.num_rows:
+            row, own = np.asarray(pc.index_in(pairs.column("qid"), value_set=names)), pairs.column("own").combine_chunks()
+            most[row] = pairs.column("hmax").to_numpy()
+            found = pc.list_flatten(own)
+            h[np.repeat(row, np.asarray(pc.list_value_length(own))), np.asarray(pc.index_in(found.field("eid"), value_set=ids))] = np.asarray(found.field("h"))
+        bound = COSINE_WEIGHT * (1 + 1e-9) * np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(e, axis=1)
+        out = []
+        for lo in range(0, len(names), SLICE):
+            own = h[lo:lo + SLICE]
+            cos, score = np.zeros(own.shape), np.full(own.shape, -np.inf)
+
+            def cosines(at):        # of these pairs only
+                cos[at] = np.einsum("pd,pd->p", q[lo:lo + SLICE][at[0]], e[at[1]])
+                score[at] = HEURISTIC_WEIGHT * (own[at] / most[lo + at[0]]) + COSINE_WEIGHT * cos[at]
+
+            cosines(np.nonzero(own))
+            kept = min(k, own.shape[1])
+            kth = np.partition(score, -kept, axis=1)[:, -kept]
+            cosines(np.nonzero((own == 0) & (bound[lo:lo + SLICE] >= kth[:, None])))
+            best = np.argsort(-score, axis=1, kind="stable")[:, :kept]
+            i = np.repeat(np.arange(len(own)), kept)
+            at = i, best.ravel()
+            out.append((lo + i, at[1], score[at], own[at], cos[at]))
+        i, j, score, own, cos = (np.concatenate(x) for x in zip(*out))
+        return pa.Table.from_arrays([names.take(pa.array(i)), ids.take(pa.array(j)), pa.array(score), pa.array(own), pa.array(cos)], schema=schema)
+    return run
 
 
 def hybrid_topk(questions: DataFrame, examples: DataFrame, *, q_id: str, q_text: str, e_id: str, e_text: str,
-                q_vec: str | None = None, e_vec: str | None = None, k: int = DEFAULT_K,
-                block_size: int = DEFAULT_BLOCK) -> DataFrame:
+                q_vec: str | None = None, e_vec: str | None = None, k: int = DEFAULT_K, block: int = BLOCK) -> DataFrame:
     """T-6 hybrid rank ``0.55 * h / max(h) + 0.45 * cosine`` per question.
 
     Keeps the positive scores among the top ``k``; when no score is positive
-    the top ``k`` are kept anyway.  Ties resolve to the lower example id.
+    the top ``k`` are kept anyway.  Ties resolve to the lower example id.  Ids
+    are unique on either side.
     Output: ``q_id, rank, e_id, score, heuristic, cosine``.
     """
     k = clamp_k(k)
-    vec = F.col(e_vec) if e_vec else F.lit(None).cast("array<double>")
-    ex = examples.select(F.col(e_id).alias("eid"), F.lower(F.coalesce(F.col(e_text), F.lit(""))).alias("elow"),
-                         tokens(e_text).alias("etok"),
-                         F.transform(vec, lambda x: x.cast("double")).alias("evec"))
-    ex = (ex.withColumn("eflags", _flags(F.col("etok"))).withColumn("ninner", _inner_token_count(F.col("elow")))
-            .withColumn("etokh", F.transform("etok", lambda t: F.xxhash64(t))))
-    # Blocks are formed by hashing the id: their content only bounds the size
-    # of one broadcast row; ranking ties are settled by id after the merge.
-    # One cheap job over the example side measures it before anything is broadcast.
-    stats = ex.agg(F.count(F.lit(1)).alias("n"),
-                   F.sum(F.length("elow") * 2 + F.coalesce(F.size("etok"), F.lit(0)) * 16
-                         + F.coalesce(F.size("evec"), F.lit(0)) * 8 + 64).alias("bytes")).first()
-    n_examples, est_bytes = int(stats["n"]), int(stats["bytes"] or 0)
-    n_blocks = max(1, -(-n_examples // block_size), -(-est_bytes // MAX_BLOCK_BYTES))
-    ex = ex.withColumn("block", F.pmod(F.xxhash64("eid"), F.lit(n_blocks)).cast("int"))
-    blocks = ex.groupBy("block").agg(
-        F.array_sort(F.collect_list(F.struct("eid", "elow", "etok", "etokh", "eflags", "ninner", "evec"))).alias("exs"))
-    vocab = ex.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("etok"))).alias("vocab"))
-    # Token hashes stand in for tokens only where they are collision-free on
-    # the block vocabulary (checked once per block); otherwise strings are used.
-    vocab = F.broadcast(vocab.withColumn(
-        "hash_ok", F.size(F.array_distinct(F.transform("vocab", lambda t: F.xxhash64(t)))) == F.size("vocab")))
-
-    questions = spread(questions)
-    qv = F.transform(F.col(q_vec), lambda x: x.cast("double")) if q_vec else F.lit(None).cast("array<double>")
-    q = (questions.select(F.col(q_id).alias("qid"), F.lower(F.coalesce(F.col(q_text), F.lit(""))).alias("qlow"),
-                          qv.alias("qvec"))
-         .withColumn("qtok", tokens("qlow")).withColumn("qflags", _flags(F.col("qtok"))))
-
-    def scored(_):
-        # first pass: shared tokens and bonuses per example; second pass: the
-        # containment test where it can still succeed, and the cosine
-        def first(e):
-            ov, bonus = _pair_score(F.col("qlow"), F.col("qtf"), F.col("qflags"), e)
-            # both sides lie in the block vocabulary: equal hashes <=> equal tokens when hash_ok
-            ov = F.when(F.col("hash_ok"), F.size(F.array_intersect(F.col("qtfh"), e["etokh"]))).otherwise(ov)
-            return F.struct(e["eid"].alias("eid"), ov.alias("ov"), bonus.alias("bonus"), e["ninner"].alias("ninner"),
-                            e["elow"].alias("elow"), e["evec"].alias("evec"))
-
-        def second(x):
-            contain = F.when((x["ov"] >= x["ninner"]) & (F.instr(F.col("qlow"), x["elow"]) > 0),
-                             CONTAIN_BONUS).otherwise(0)
-            return F.struct(x["eid"].alias("eid"), (contain + x["ov"] + x["bonus"]).alias("h"),
-                            dot(F.col("qvec"), x["evec"]).alias("cos"))
-
-        return F.transform(F.transform(F.col("exs"), first), second)
-
-    # No (question, example) row is materialised: each (question, block) row
-    # scores the block's examples inside higher-order functions.
-    # A question's tokens are first cut to each block's vocabulary (once per
-    # question and block; exact, as every example token of the block lies in
-    # it), so each pair intersects a short list.  The cut is computed below the
-    # equi-join with the block's examples, so Catalyst cannot fold it into
-    # the per-example lambda.
-    # Each question row is replicated once per block (n_blocks is small and
-    # known) and meets its block by an equi-join on the block id.
-    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    q = (q.join(vocab, "block")
-          .select("qid", "block", "qlow", "qvec", "qflags", "hash_ok", F.array_intersect("qtok", "vocab").alias("qtf"))
-          .withColumn("qtfh", F.transform("qtf", lambda t: F.xxhash64(t))))
-    pairs = q.join(F.broadcast(blocks), "block").select("qid", scored(None).alias("sc"))
-    if n_blocks == 1:
-        hmax = F.array_max(F.transform("sc", lambda s: s["h"]))
-        ranked = pairs.withColumn("hmax", hmax)
-    else:
-        per = pairs.withColumn("bmax", F.array_max(F.transform("sc", lambda s: s["h"])))
-        w = Window.partitionBy("qid")
-        ranked = per.withColumn("hmax", F.max("bmax").over(w)).drop("bmax")
-
-    def final(s):
-        hn = F.when(F.col("hmax") > 0, s["h"] / F.col("hmax")).otherwise(F.lit(0.0))
-        return F.struct((F.lit(HEURISTIC_WEIGHT) * hn + F.lit(COSINE_WEIGHT) * s["cos"]).alias("score"),
-                        s["eid"].alias("eid"), s["h"].alias("h"), s["cos"].alias("cos"))
-
-    cand = ranked.select("qid", F.transform("sc", final).alias("fs"))
-    # Sort by score desc, id asc; keep the block's top k and its positive count.
-    cand = cand.select("qid", F.slice(F.array_sort("fs", lambda a, b: F.when(a["score"] > b["score"], -1)
-                                                   .when(a["score"] < b["score"], 1)
-                                                   .when(a["eid"] < b["eid"], -1)
-                                                   .when(a["eid"] > b["eid"], 1).otherwise(0)), 1, k).alias("top"),
-                       F.size(F.filter("fs", lambda s: s["score"] > 0)).alias("npos"))
-    # explode(arrays_zip(..)) rather than posexplode: measured ~30x faster here.
-    z = F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size("top") - 1).alias("pos"), F.col("top").alias("c")))
-    flat = cand.select("qid", "npos", z.alias("z")).select("qid", "npos", "z.pos", "z.c")
-    if n_blocks > 1:
-        w = Window.partitionBy("qid").orderBy(F.desc("c.score"), F.asc("c.eid"))
-        flat = (flat.withColumn("npos", F.sum("npos").over(Window.partitionBy("qid")))
-                    .withColumn("pos", F.row_number().over(w) - 1).filter(F.col("pos") < k))
-    out = flat.filter((F.col("c.score") > 0) | (F.col("npos") == 0))
-    return out.select(F.col("qid").alias(q_id), (F.col("pos") + 1).alias("rank"), F.col("c.eid").alias(e_id),
-                      F.col("c.score").alias("score"), F.col("c.h").alias("heuristic"), F.col("c.cos").alias("cosine"))
+    vector = lambda c: F.transform(F.col(c), lambda x: x.cast("double")) if c else F.lit(None).cast("array<double>")
+    ex = examples.select(F.col(e_id).alias("eid"), F.lower(F.coalesce(F.col(e_text), F.lit(""))).alias("elow"), tokens(e_text).alias("etok"), vector(e_vec).alias("vec"))
+    q = questions.select(F.col(q_id).alias("qid"), F.lower(F.coalesce(F.col(q_text), F.lit(""))).alias("qlow"), vector(q_vec).alias("vec"))
+    texts = q.select("qid", "qlow").repartition("qid").withColumn("qtok", tokens("qlow"))
+    pairs = heuristic_pairs(texts, ex).withColumn("hmax", F.max("h").over(Window.partitionBy("qid")))
+
+    # blocks of examples meet groups of questions
+    count = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).cast("int")
+    blocks, groups = ex.select(count).scalar(), q.select(count).scalar()
+    of_block, of_group = F.pmod(F.xxhash64("eid"), blocks).cast("int"), F.pmod(F.xxhash64("qid"), groups).cast("int")
+    # a question's pairs in a block travel as one list, no longer than the block
+    pairs = pairs.groupBy("qid", of_block.alias("b")).agg(F.collect_list(F.struct("eid", "h")).alias("own"), F.max("hmax").alias("hmax"))
+    kinds = {"qid": q.schema["qid"].dataType, "eid": ex.schema["eid"].dataType, "vec": "array<double>", "own": pairs.schema["own"].dataType, "hmax": "long"}
+    row = lambda kind, *cols: [F.lit(kind).alias("kind"), *[F.col(c) if c in cols else F.lit(None).cast(t).alias(c) for c, t in kinds.items()]]
+    met = (ex.select(F.explode(F.sequence(F.lit(0), groups - 1)).alias("g"), of_block.alias("b"), *row(EXAMPLE, "eid", "vec"))
+           .union(q.select(of_group.alias("g"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b"), *row(QUESTION, "qid", "vec")))
+           .union(pairs.select(of_group.alias("g"), "b", *row(PAIR, "qid", "own", "hmax"))))
+    from pyspark.sql.pandas.types import to_arrow_type
+    schema = f"qid {kinds['qid'].simpleString()}, eid {kinds['eid'].simpleString()}, score double, h long, cos double"
+    met = met.groupBy("g", "b").applyInArrow(_best_of_block(k, to_arrow_type(kinds["qid"]), to_arrow_type(kinds["eid"])), schema)
+
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "eid")
+    out = met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    out = out.withColumn("best", F.max("score").over(Window.partitionBy("qid"))).filter((F.col("score") > 0) | (F.col("best") <= 0))
+    return out.select(F.col("qid").alias(q_id), "rank", F.col("eid").alias(e_id), "score", F.col("h").alias("heuristic"), F.col("cos").alias("cosine"))
 
 
 # ------------------------------------------------------------------ T-7 / T-8 index

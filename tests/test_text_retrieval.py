@@ -86,12 +86,43 @@ def test_hybrid_topk_matches_brute_force_and_blocks(spark):
     e = spark.createDataFrame(es, "eid int, text string, v array<double>")
     want = _brute(qs, es)
     one = RT.hybrid_topk(q, e, q_id="qid", q_text="text", e_id="eid", e_text="text", q_vec="v", e_vec="v")
-    many = RT.hybrid_topk(q, e, q_id="qid", q_text="text", e_id="eid", e_text="text", q_vec="v", e_vec="v",
-                          block_size=2)
+    many = RT.hybrid_topk(q, e, q_id="qid", q_text="text", e_id="eid", e_text="text", q_vec="v", e_vec="v", block=2)
     assert sorted((r.qid, r.rank, r.eid) for r in one.collect()) == want
     assert sorted((r.qid, r.rank, r.eid) for r in many.collect()) == want
 
 
+def test_hybrid_topk_bounds_and_short_examples(spark):
+    """Examples inside words, of one token, of none, both forms of pod, missing vectors and texts, any block size."""
+    import random
+    rnd = random.Random(4)
+    words = ["pod", "pods", "latency", "workload", "api", "errors", "node", "x1", "of", "the"]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    vec = lambda: rnd.choice([None, [rnd.uniform(-1, 1) for _ in range(3)], [0.0, 0.0, 0.0]])
+    qs = [(i, text(rnd.choice((0, 1, 4, 12))) + rnd.choice(["", " apis", " xpodsx", "!? nodeless"]), vec()) for i in range(40)]
+    es = [(100 + i, t, vec()) for i, t in enumerate(["", "?", "api", "ode", "ds", "pod api", "the node of", "Errors of"] + [text(rnd.choice((1, 3, 6))) for _ in range(12)])]
+    q = spark.createDataFrame(qs, "qid int, text string, v array<double>")
+    e = spark.createDataFrame(es, "eid int, text string, v array<double>")
+    for k, block in ((4, 1024), (2, 3), (12, 7)):
+        got = RT.hybrid_topk(q, e, q_id="qid", q_text="text", e_id="eid", e_text="text", q_vec="v", e_vec="v", k=k, block=block).collect()
+        assert sorted((r.qid, r.rank, r.eid) for r in got) == _brute(qs, es, k)
+    plain = RT.hybrid_topk(q, e, q_id="qid", q_text="text", e_id="eid", e_text="text").collect()
+    assert sorted((r.qid, r.rank, r.eid) for r in plain) == _brute([(i, t, None) for i, t, _ in qs], es)
+    assert RT.hybrid_topk(q, e.limit(0), q_id="qid", q_text="text", e_id="eid", e_text="text").count() == 0
+    assert RT.hybrid_topk(q.limit(0), e, q_id="qid", q_text="text", e_id="eid", e_text="text").count() == 0
+
+
+def test_hybrid_topk_plan(spark):
+    """One plan: pairs come from equi-joins, no job runs while it is made."""
+    q = spark.createDataFrame([(1, "a b c", [1.0])], "qid int, text string, v array<double>")
+    e = spark.createDataFrame([(1, "b c d", [1.0])], "eid int, text string, v array<double>")
+    jobs = lambda: max(spark.sparkContext.statusTracker().getJobIdsForGroup(None), default=-1)
+    before = jobs()
+    df = RT.hybrid_topk(q, e, q_id="qid", q_text="text", e_id="eid", e_text="text", q_vec="v", e_vec="v")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert jobs() == before
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "FlatMapGroupsInArrow" in plan
+
+
 def test_index_header_and_dirty(spark):
     rows = spark.createDataFrame([("d1", 1, "q1", "k1"), ("d1", 2, "q2", "k2"), ("d2", 3, "q3", "k3")],
                                  "domain string, id int, q string, k string")
