@@ -40,24 +40,41 @@ def dcountif(x, pred: Column, exact: bool = False, rsd: float = 0.05) -> Column:
     return F.count_distinct(v) if exact else F.approx_count_distinct(v, rsd)
 
 
-def percentile(x, p: float, exact: bool = False, accuracy: int = 10000) -> Column:
-    """A-12 ``percentile(x, p)``: exact interpolating, or ``percentile_approx``."""
-    if exact:
-        return F.percentile(col(x).cast("double"), F.lit(p))
+SKETCH_LG_K = 12
+#: Relative error that a merged distinct count keeps in all but rare cases: four
+#: standard errors of a sketch with 2 ** SKETCH_LG_K registers.
+SKETCH_ERROR = 4 * 1.04 / 2 ** (SKETCH_LG_K / 2)
+
+
+def dcount_sketch(x, pred: Column | None = None) -> Column:
+    """A-10 / A-11 a mergeable distinct-count sketch of bounded size, to be stored
+    by (bucket, key) and rolled up by ``dcount_merge``."""
+    v = col(x) if pred is None else F.when(pred, col(x))
+    return F.hll_sketch_agg(v, F.lit(SKETCH_LG_K))
+
+
+def dcount_merge(sketch) -> Column:
+    """The sketch of the union of the sets behind stored sketches."""
+    return F.hll_union_agg(col(sketch))
+
+
+def dcount_of(sketch) -> Column:
+    """The distinct count that a sketch estimates."""
+    return F.hll_sketch_estimate(col(sketch))
+
+
+def percentile(x, p: float, accuracy: int = 10000) -> Column:
+    """A-12 ``percentile(x, p)`` as ``percentile_approx``, a sketch of bounded
+    size; exact values come from ``operators.ordered.percentiles``."""
     return F.percentile_approx(col(x).cast("double"), F.lit(p), accuracy)
 
 
-def percentiles(x, ps, exact: bool = False, prefix: str | None = None, name: str = "x") -> list[Column]:
+def percentiles(x, ps, prefix: str | None = None, name: str = "x") -> list[Column]:
     """A-13 ``percentiles(x, p1, p2, ..)``: one aggregate column per p, named
-    ``percentile_<name>_<p>`` (A-18 default naming) unless ``prefix`` is given.
-
-    The exact form computes all p in one aggregate buffer and splits it.
-    """
+    ``percentile_<name>_<p>`` (A-18 default naming) unless ``prefix`` is given;
+    one sketch serves all p."""
     ps = list(ps)
-    if exact:
-        arr = F.percentile(col(x).cast("double"), F.array(*[F.lit(float(p)) for p in ps]))
-    else:
-        arr = F.percentile_approx(col(x).cast("double"), F.array(*[F.lit(float(p)) for p in ps]), 10000)
+    arr = F.percentile_approx(col(x).cast("double"), F.array(*[F.lit(float(p)) for p in ps]), 10000)
     out = []
     for i, p in enumerate(ps):
         label = f"{prefix}{_p_label(p)}" if prefix is not None else f"percentile_{name}_{_p_label(p)}"

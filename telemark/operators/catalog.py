@@ -56,8 +56,8 @@ def suggestion_merge(entries: DataFrame, table: str = "table_name", name: str =
 
     Manifest entries (``rank == manifest_rank``) are all kept when named,
     with or without code.  Other entries need a name and code, and are kept
-    only if no earlier named entry of the table (by rank, then position) has
-    the same normalised code.
+    only if no earlier named entry of the table (by rank, then position; an
+    entry of unknown rank after all ranked ones) has the same normalised code.
 
     Plan: the owner of each (table, code) is picked by a partial ``min_by``
     aggregate over the eligible entries, keyed on the SHA-256 of the
@@ -76,9 +76,9 @@ def suggestion_merge(entries: DataFrame, table: str = "table_name", name: str =
     eligible = entries.filter(named).withColumn("_nc", F.when(nc == "", F.lit("")).otherwise(F.sha2(nc, 256)))
     eligible = eligible.filter(F.col("_nc") != "")
     owners = eligible.groupBy(table, "_nc").agg(
-        F.min_by(F.struct(*[F.col(c) for c in carried]), F.struct(F.col(rank), F.col(pos))).alias("_o"))
+        F.min_by(F.struct(*[F.col(c) for c in carried]), F.struct(F.col(rank).isNull(), F.col(rank), F.col(pos))).alias("_o"))
     others = owners.select(table, *[F.col("_o." + c).alias(c) for c in carried]) \
-                   .filter(F.col(rank) != manifest_rank).select(*cols)
+                   .filter(F.col(rank).isNull() | (F.col(rank) != manifest_rank)).select(*cols)
     return manifest.select(*cols).unionByName(others)
 
 

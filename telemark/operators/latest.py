@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemark.operators import ordered
+
 
 def latest_by(df: DataFrame, keys, order_cols, columns=None) -> DataFrame:
     """W-1 / A-14 ``summarize arg_max(order, *) by keys``.
@@ -35,35 +37,17 @@ def earliest_by(df: DataFrame, keys, order_cols, columns=None) -> DataFrame:
     return df.groupBy(*keys).agg(picked).select(*keys, *[F.col("_row." + c).alias(c) for c in columns])
 
 
-def with_neighbours(df: DataFrame, entity, order_cols, value: str,
-                    prev_name: str = "prev_value", next_name: str = "next_value", split_col=None,
-                    max_group_rows: int | None = None) -> DataFrame:
-    """W-2 ``prev(c)`` / ``next(c)`` over rows of one entity in ``order_cols`` order.
+def with_neighbours(df: DataFrame, entity, order_cols, value: str, prev_name: str = "prev_value", next_name: str = "next_value") -> DataFrame:
+    """W-2 ``prev(c)`` / ``next(c)`` over rows of one entity in ``order_cols``
+    order, which needs a unique tie-breaker.  An entity of any size spreads over
+    the partitions of one range sort (``operators.ordered``)."""
+    return ordered.with_neighbours(df, entity, [order_cols] if isinstance(order_cols, str) else list(order_cols), value, prev_name, next_name)
 
-    The window is partitioned by entity (never unpartitioned), so the work
-    spreads over entities; ``order_cols`` needs a unique tie-breaker.  With
-    ``split_col`` (a numeric column non-decreasing in the order, such as the
-    event time) entities above ``max_group_rows`` rows are split into ordered
-    chunks and stitched (``operators.skew``), so a hot entity is not sorted in
-    one task.
-    """
-    entity = [entity] if isinstance(entity, str) else list(entity)
-    order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    if split_col is not None:
-        from telemark.operators import skew
-        return skew.ordered_neighbours(df, entity, order_cols, split_col, value, prev_name, next_name,
-                                       max_group_rows or skew.DEFAULT_MAX_GROUP_ROWS)
-    w = Window.partitionBy(*entity).orderBy(*order_cols)
-    return (df.withColumn(prev_name, F.lag(value).over(w))
-              .withColumn(next_name, F.lead(value).over(w)))
-
-
-def change_points(df: DataFrame, entity, order_cols, value: str,
-                  prev_name: str = "prev_value", next_name: str = "next_value", split_col=None,
-                  max_group_rows: int | None = None) -> DataFrame:
+
+def change_points(df: DataFrame, entity, order_cols, value: str, prev_name: str = "prev_value", next_name: str = "next_value") -> DataFrame:
     """W-3 status timeline: keep rows whose value differs from the previous or
     the next row of the same entity; a missing neighbour counts as different."""
-    out = with_neighbours(df, entity, order_cols, value, prev_name, next_name, split_col, max_group_rows)
+    out = with_neighbours(df, entity, order_cols, value, prev_name, next_name)
     return out.filter(~F.col(value).eqNullSafe(F.col(prev_name)) | ~F.col(value).eqNullSafe(F.col(next_name)))
 
 

@@ -83,10 +83,10 @@ _ENTRIES = f"""
 d AS (SELECT lang AS table_name, doc_id, source, CAST(doc_id AS VARCHAR) AS name, text AS code,
              CASE WHEN n_chars < 500 THEN '' ELSE lang || '/' || source END AS description,
              TRY_CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) AS rnk, {_NORM_CODE} AS nc FROM documents),
-o AS (SELECT table_name, doc_id, row_number() OVER (PARTITION BY table_name, nc ORDER BY rnk, doc_id) AS rn
+o AS (SELECT table_name, doc_id, row_number() OVER (PARTITION BY table_name, nc ORDER BY rnk NULLS LAST, doc_id) AS rn
       FROM d WHERE nc <> '' AND coalesce(name, '') <> ''),
 m AS (SELECT d.* FROM d LEFT JOIN o ON d.table_name = o.table_name AND d.doc_id = o.doc_id
-      WHERE (d.rnk = 0 AND coalesce(d.name, '') <> '') OR (d.rnk <> 0 AND coalesce(d.name, '') <> '' AND o.rn = 1))"""
+      WHERE (d.rnk = 0 AND coalesce(d.name, '') <> '') OR ((d.rnk IS NULL OR d.rnk <> 0) AND coalesce(d.name, '') <> '' AND o.rn = 1))"""
 
 
 @register("suggestion_merge", f"WITH {_ENTRIES} SELECT table_name, doc_id, source FROM m")
@@ -170,8 +170,8 @@ def metadata_fallback_q(documents: DataFrame) -> DataFrame:
 WITH d AS (SELECT lang || '/' || CASE WHEN n_chars < 1000 THEN 'short' WHEN n_chars < 10000 THEN 'medium' ELSE 'long' END AS table_name,
                   CASE WHEN n_chars < 500 THEN '' ELSE lang || '/' || source END AS description, source AS origin,
                   TRY_CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) AS rnk, doc_id FROM documents),
-r AS (SELECT *, row_number() OVER (PARTITION BY table_name, rnk = 0 ORDER BY rnk, doc_id) AS n FROM d),
-p AS (SELECT * FROM r WHERE n = 1 AND rnk = 0), s AS (SELECT * FROM r WHERE n = 1 AND rnk > 0)
+r AS (SELECT *, row_number() OVER (PARTITION BY table_name, coalesce(rnk = 0, false) ORDER BY rnk NULLS LAST, doc_id) AS n FROM d),
+p AS (SELECT * FROM r WHERE n = 1 AND rnk = 0), s AS (SELECT * FROM r WHERE n = 1 AND (rnk IS NULL OR rnk > 0))
 SELECT coalesce(p.table_name, s.table_name) AS table_name,
        coalesce(nullif(p.description, ''), s.description) AS description,
        coalesce(nullif(p.origin, ''), s.origin) AS origin

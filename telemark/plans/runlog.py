@@ -26,10 +26,26 @@ def status_norm_q(events: DataFrame) -> DataFrame:
     return events.groupBy(norm.alias("status"), G.ui_status(norm).alias("ui_status")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _deployment():
+    """Stand-in for a call's deployment: a function of the user."""
+    return F.concat(F.lit("dep-"), (F.col("user_id") % 3).cast("string"))
+
+
+def usage_sums_q(events: DataFrame) -> DataFrame:
+    """G-5 / S-17 sums of a usage map by purpose and deployment, one row for
+    each entry; the names come from the rows (here: from the value's tens)."""
+    k = F.get_json_object("props", "$.k").try_cast("long")
+    name = F.concat(F.lit("u"), F.floor(F.col("value") / 10).cast("string"))
+    ev = events.select(F.col("event_type").alias("purpose"), _deployment().alias("deployment"),
+                       F.map_from_arrays(F.array(F.lit("total"), name), F.array(k, F.lit(1).cast("long"))).alias("usage"))
+    out = G.usage_sums(ev, ["purpose", "deployment"])
+    return out.select("purpose", "deployment", F.explode("usage").alias("name", "total"))
+
+
 def call_metrics_q(events: DataFrame) -> DataFrame:
-    ev = events.select(F.col("event_type").alias("purpose"), F.lit("default").alias("deployment"),
-                       F.lit(1).alias("attempts"), (F.col("value") > 45).alias("escalated"),
-                       F.get_json_object("props", "$.k").try_cast("int").alias("tokens"),
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    ev = events.select(F.col("event_type").alias("purpose"), _deployment().alias("deployment"),
+                       (F.col("event_id") % 3 + 1).alias("attempts"), (F.col("value") > 45).alias("escalated"), k.alias("tokens"),
                        F.col("value").alias("latency"))
     out = G.call_metrics(ev)
     return out.select("purpose", "deployment", "calls", "attempts", "escalations", "tokens",
@@ -83,16 +99,27 @@ def status_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("call_metrics", """
-SELECT event_type AS purpose, 'default' AS deployment, count(*) AS calls, CAST(count(*) AS BIGINT) AS attempts,
+SELECT event_type AS purpose, 'dep-' || CAST(user_id % 3 AS VARCHAR) AS deployment, count(*) AS calls, CAST(sum(event_id % 3 + 1) AS BIGINT) AS attempts,
        count(*) FILTER (WHERE value > 45) AS escalations,
        CAST(sum(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER)) AS BIGINT) AS tokens,
        round(quantile_cont(value, 0.5), 6) AS latency_p50, round(quantile_cont(value, 0.95), 6) AS latency_p95
-FROM events GROUP BY 1
+FROM events GROUP BY 1, 2
 """)
 def call_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return call_metrics_q(Tables(spark, sf_dir).events)
 
 
+@register("usage_sums", """
+WITH u AS (SELECT event_type AS purpose, 'dep-' || CAST(user_id % 3 AS VARCHAR) AS deployment, 'total' AS name,
+                  TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS v FROM events
+           UNION ALL
+           SELECT event_type, 'dep-' || CAST(user_id % 3 AS VARCHAR), 'u' || CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR), 1 FROM events)
+SELECT purpose, deployment, name, CAST(sum(v) AS BIGINT) AS total FROM u GROUP BY 1, 2, 3 HAVING sum(v) IS NOT NULL
+""")
+def usage_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage_sums_q(Tables(spark, sf_dir).events)
+
+
 @register("innermost_message", """
 SELECT conv_id, turn,
        CAST(length(CASE WHEN len(regexp_extract_all(text, '"message"\\s*:\\s*"([^"]+)"', 1)) > 0

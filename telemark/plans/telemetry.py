@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from telemark.functions import aggs, predicates as P, timefn as T
 from telemark.operators import joins as J
 from telemark.operators.latest import change_points, latest_by, row_budget
+from telemark.operators.ordered import percentiles
 from telemark.plans.registry import register
 from telemark.sources.tables import Tables
 
@@ -83,11 +84,21 @@ def impacted_users_q(events: DataFrame, as_of=EVENTS_AS_OF, span="30d", exact=Tr
         aggs.dcountif("user_id", failed(), exact=exact).cast("bigint").alias("impacted_users"))
 
 
-def duration_percentiles_q(events: DataFrame, exact=True) -> DataFrame:
-    """R-5 count, mean and p50/p95/p99 of the duration by operation."""
-    pct = aggs.percentiles("value", [0.5, 0.95, 0.99], exact=exact, prefix="p")
-    out = events.groupBy("event_type").agg(
-        aggs.count_all().alias("n"), F.avg("value").alias("mean_value"), *pct)
+def distinct_rollup_q(events: DataFrame) -> DataFrame:
+    """A-10 / A-11 users, and users with a failure, by day and type: sketches by hour are
+    merged to days, without reading the rows again.  The exact counts beside
+    them tell whether an estimate keeps the stated error."""
+    hour = T.bin_time("ts", "1h")
+    stored = events.groupBy(hour.alias("hour"), "event_type").agg(aggs.dcount_sketch("user_id").alias("users"), aggs.dcount_sketch("user_id", F.col("value") > 45).alias("slow"))
+    days = stored.groupBy(T.bin_time("hour", "1d").alias("day"), "event_type").agg(*[aggs.dcount_of(aggs.dcount_merge(c)).alias(f"est_{c}") for c in ("users", "slow")])
+    exact = events.groupBy(T.bin_time("ts", "1d").alias("day"), "event_type").agg(F.count_distinct("user_id").alias("users"), F.count_distinct(F.when(F.col("value") > 45, F.col("user_id"))).alias("slow"))
+    near = lambda c: F.abs(F.col(f"est_{c}") - F.col(c)) <= F.greatest(F.col(c) * aggs.SKETCH_ERROR, F.lit(1))
+    return exact.join(days, ["day", "event_type"]).select("day", "event_type", "users", "slow", (near("users") & near("slow")).alias("within_error"))
+
+
+def duration_percentiles_q(events: DataFrame) -> DataFrame:
+    """R-5 count, mean and p50/p95/p99 of the duration by operation, exact."""
+    out = percentiles(events, "event_type", "value", [0.5, 0.95, 0.99]).withColumnRenamed("mean", "mean_value")
     return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ["mean_value", "p50", "p95", "p99"]])
 
 
@@ -214,11 +225,10 @@ def distinct_children_q(lineitem: DataFrame, n: int = 10) -> DataFrame:
     return out.orderBy(F.desc("n_children"), F.asc("l_suppkey")).limit(n)
 
 
-def status_timeline_q(events: DataFrame, max_group_rows: int | None = None) -> DataFrame:
+def status_timeline_q(events: DataFrame) -> DataFrame:
     """R-20 status timeline with previous/next state; only change points kept."""
     ev = events.select("user_id", "event_id", "ts", "event_type")
-    return change_points(ev, "user_id", ["ts", "event_id"], "event_type", "prev_type", "next_type",
-                         split_col=F.unix_micros(F.col("ts").cast("timestamp")), max_group_rows=max_group_rows)
+    return change_points(ev, "user_id", ["ts", "event_id"], "event_type", "prev_type", "next_type")
 
 
 def worst_with_columns_q(events: DataFrame) -> DataFrame:
@@ -316,11 +326,10 @@ def latest_per_object_q(events: DataFrame) -> DataFrame:
                      ["user_id", "event_type"], ["ts", "event_id"])
 
 
-def counter_stats_q(events: DataFrame, bucket="1d", exact=True) -> DataFrame:
-    """R-29 counter mean, median and p95 per node and bucket."""
-    pct = aggs.percentiles("value", [0.5, 0.95], exact=exact, prefix="p")
-    out = events.groupBy("event_type", T.bin_time("ts", bucket).alias("bucket")).agg(
-        F.avg("value").alias("mean_value"), *pct)
+def counter_stats_q(events: DataFrame, bucket="1d") -> DataFrame:
+    """R-29 counter mean, median and p95 per node and bucket, exact."""
+    ev = events.select("event_type", T.bin_time("ts", bucket).alias("bucket"), "value")
+    out = percentiles(ev, ["event_type", "bucket"], "value", [0.5, 0.95]).withColumnRenamed("mean", "mean_value")
     return out.select("event_type", "bucket", *[F.round(c, 6).alias(c) for c in ["mean_value", "p50", "p95"]])
 
 
@@ -390,6 +399,15 @@ def impacted_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impacted_users_q(Tables(spark, sf_dir).events)
 
 
+@register("distinct_rollup", """
+SELECT time_bucket(INTERVAL '1 day', ts) AS day, event_type, count(DISTINCT user_id) AS users,
+       count(DISTINCT CASE WHEN value > 45 THEN user_id END) AS slow, true AS within_error
+FROM events GROUP BY 1, 2
+""")
+def distinct_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_rollup_q(Tables(spark, sf_dir).events)
+
+
 @register("duration_percentiles", """
 SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_value,
        round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95,

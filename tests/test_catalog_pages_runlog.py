@@ -33,6 +33,10 @@ def test_suggestion_merge_precedence(spark):
     kept = sorted(r.name for r in C.suggestion_merge(e).collect())
     # manifest kept whole (also without code / duplicates); c1 duplicates m1; d1 duplicates c2; d2 has no code
     assert kept == ["c2", "d3", "m1", "m2", "m3"]
+    # an entry of unknown rank gives way to a ranked one, and stays where it is the only one
+    e = spark.createDataFrame([("T", "x0", "X", None, 1), ("T", "x1", "X", 1, 2), ("T", "y0", "Y", None, 3), ("T", "y1", "Y", None, 4), ("T", "z0", "Z", None, 5), ("T", "m", "Z", 0, 6)],
+                              "table_name string, name string, code string, source_rank int, pos int")
+    assert sorted(r.name for r in C.suggestion_merge(e).collect()) == ["m", "x1", "y0"]
 
 
 def test_resource_types(spark):
