@@ -43,7 +43,17 @@ def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     if codec:
         w = w.option("compression", codec)
     w.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` that nothing reads any more."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t.written_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -25,8 +25,13 @@ def components(edges: DataFrame) -> DataFrame:
         hook = seen.groupBy(F.col("label").alias("root")).agg(F.min("new").alias("hook"))
         step = seen.join(hook, seen.node == hook.root, "left").select("node", "label", F.least("new", F.coalesce("hook", "new")).alias("new"))
         step = C.written(step, "labels")
+        C.spent(labels)
         up = step.select(F.col("node").alias("up"), F.col("new").alias("top"))
         new = C.written(step.join(up, step.new == up.up, "left").select("node", F.col("label").alias("old"), F.least("new", F.coalesce("top", "new")).alias("label")), "labels")
+        C.spent(step)
+        ended = not new.filter("old <> label").head(1)
         labels = new.select("node", "label")
-        if not new.filter("old <> label").head(1):
+        labels.written_path = new.written_path
+        if ended:
+            C.spent(both)
             return labels

@@ -57,6 +57,7 @@ HEAD = 8            # least indexed elements that tell a pair's common postings
 BLOCK = 1024        # documents of a posting that meet in one task
 HUB_BLOCK = 256     # documents verified against one copy of a hub's set
 BITS = 23
+OFTEN_BITS = 26     # of the bitmap of elements that several documents list
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -114,12 +115,21 @@ class Sizes:
         return F.least(F.floor((t * self.percent + 99) / 100), 1 + F.floor(t * self.spare / 100)).cast("int")
 
 
+SLICE = 256         # documents of a batch that a task holds in more than one form
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, SLICE):
+            yield b.slice(lo, SLICE)
+
+
 def _profiles(k: int, sizes: Sizes):
     schema = pa.schema([("row", pa.int64()), ("c", pa.int64()), ("dn", pa.int64()), ("list", pa.list_(pa.int64())), ("buckets", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]):
         seen: set = set()       # documents of this partition
-        for b in batches:
+        for b in _sliced(batches):
             out = {f.name: [] for f in schema}
             for i, w, c, d in _documents(b):
                 s, listed, buckets = None, None, None
@@ -148,8 +158,22 @@ def _index(profile: DataFrame, sizes: Sizes) -> DataFrame:
     """``(e, c, dn, k, pop)``: the elements under which a document is found, the
     matches it requires, and how often others list its elements (logarithms of
     the frequencies, summed)."""
-    rows = profile.filter("list is not null").select("c", "dn", F.explode("list").alias("e"))
     often = profile.filter("list is not null").select(F.explode("list").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    often = C.written(often, "often")
+    # most elements are of one document: a bitmap of the others leaves them out before the lists are dealt by element
+    shared = profile.sparkSession.sparkContext.broadcast(C.bitmap(often.select(F.shiftrightunsigned("e", 64 - OFTEN_BITS).alias("slot")), OFTEN_BITS))
+
+    def listed(batches: Iterator[pa.RecordBatch]):
+        bits = shared.value
+        for b in _sliced(batches):
+            column = b.column("list")
+            e = column.flatten().to_numpy()
+            row = np.repeat(np.arange(b.num_rows), np.diff(column.offsets.to_numpy()))
+            met = C.probe(bits, e.view(np.uint64) >> np.uint64(64 - OFTEN_BITS))
+            at = pa.array(row[met])
+            yield pa.RecordBatch.from_arrays([b.column("c").take(at), b.column("dn").take(at), pa.array(e[met])], names=["c", "dn", "e"])
+
+    rows = profile.filter("list is not null").select("c", "dn", "list").mapInArrow(listed, "c long, dn long, e long")
     rows = rows.join(often, "e").dropDuplicates(["e", "c", "dn"])
     doc = W.partitionBy("c", "dn")
     rows = (rows.withColumn("n", F.expr(_N.format("dn"))).withColumn("q", sizes.required("n"))
@@ -161,7 +185,9 @@ def _index(profile: DataFrame, sizes: Sizes) -> DataFrame:
         cost.append(F.when(F.lit(k) <= F.col("q"), F.struct((s * (1 + VERIFY_COST / k)).alias("cost"), F.lit(k).alias("k"))))
     pop = F.sum(F.floor(F.log2("df") * 16).cast("long")).over(doc)
     rows = rows.select("e", "c", "dn", "m", "q", "at", F.least(*cost)["k"].alias("k"), pop.alias("pop"))
-    return rows.filter("at <= m - q + k").select("e", "c", "dn", "k", "pop")
+    index = C.written(rows.filter("at <= m - q + k").select("e", "c", "dn", "k", "pop"), "index")
+    C.spent(often)
+    return index
 
 
 def _allowed(a: str, b: str, percent: int) -> F.Column:
@@ -262,7 +288,8 @@ def _block_pairs(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, text_col: str) -> DataFrame:
-    """``(a, b)``: the nodes of the pairs that link, by their whole sets.
+    """``(a, b)``: the nodes of the pairs that link, by their whole sets; the
+    written ``pairs`` are removed then.
 
     Sets are made anew from the texts of the documents in question, and meet by
     the first document of their pairs, in blocks.
@@ -270,15 +297,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, text_col:
     spark = docs.sparkSession
     many = pairs.groupBy("ac", "adn").agg(F.ceil(F.count(F.lit(1)) / HUB_BLOCK).cast("int").alias("blocks"))
     placed = pairs.join(many, ["ac", "adn"]).withColumn("block", F.pmod(F.xxhash64("bc", "bdn"), F.col("blocks")).cast("int"))
-    hub = placed.select(F.col("ac").alias("c"), F.col("adn").alias("dn"), "ac", "adn", "block", F.lit(0).alias("role")).distinct()
-    member = placed.select(F.col("bc").alias("c"), F.col("bdn").alias("dn"), "ac", "adn", "block", F.lit(1).alias("role"))
-    wanted = C.written(hub.union(member), "wanted")
+    ends = F.array(*[F.struct(F.col(c).alias("c"), F.col(dn).alias("dn"), F.lit(role).alias("role")) for role, (c, dn) in enumerate((("ac", "adn"), ("bc", "bdn")))])
+    wanted = C.written(placed.select("ac", "adn", "block", F.inline(ends)).distinct(), "wanted")
     slot = F.shiftrightunsigned("c", 64 - BITS)
     shared = spark.sparkContext.broadcast(C.bitmap(wanted.select(slot.alias("slot")), BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]):
         bits, seen = shared.value, set()
-        for b in batches:
+        for b in _sliced(batches):
             out = {"c": [], "dn": [], "s": []}
             for _, w, c, d in _documents(b):
                 if (c, d) in seen or not C.probe(bits, np.array([c & 0xFFFFFFFFFFFFFFFF], np.uint64) >> np.uint64(64 - BITS))[0]:
@@ -295,7 +321,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, text_col:
 
     def check(batches: Iterator[pa.RecordBatch]):
         key, hub_set = None, None
-        for b in batches:
+        for b in _sliced(batches):
             out = {x: [] for x in ("ac", "adn", "c", "dn")}
             for ac, adn, block, role, c, dn, s in zip(*(b.column(x).to_pylist() for x in ("ac", "adn", "block", "role", "c", "dn", "s"))):
                 s = np.frombuffer(s, np.uint64)
@@ -308,7 +334,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, text_col:
                             out[x].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(x, pa.int64()) for x in out]))
 
-    return rows.mapInArrow(check, "ac long, adn long, c long, dn long").select(_node("ac", "adn").alias("a"), _node("c", "dn").alias("b")).distinct()
+    links = rows.mapInArrow(check, "ac long, adn long, c long, dn long").select(_node("ac", "adn").alias("a"), _node("c", "dn").alias("b")).distinct()
+    links = C.written(links, "links")
+    C.spent(pairs, wanted)
+    return links
 
 
 def linked(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -318,10 +347,12 @@ def linked(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHI
     rows = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
     id_type = docs.schema[id_col].dataType.simpleString()
     profile = C.written(rows.mapInArrow(_profiles(shingle, sizes), f"id {id_type}, c long, dn long, list array<long>, buckets binary"), "profiles")
-    index = C.written(_index(profile, sizes), "index")
-    links = C.written(_verified(docs, C.written(_hub_pairs(index, percent), "pairs"), shingle, percent, text_col), "links")
+    index = _index(profile, sizes)
+    links = _verified(docs, C.written(_hub_pairs(index, percent), "pairs"), shingle, percent, text_col)
     labels = components(links)
-    more = C.written(_verified(docs, C.written(_cross_pairs(index, labels, profile, percent), "pairs"), shingle, percent, text_col), "links")
+    pairs = C.written(_cross_pairs(index, labels, profile, percent), "pairs")
+    C.spent(index)
+    more = _verified(docs, pairs, shingle, percent, text_col)
     if more.head(1):
         labels = components(links.union(more))
     own = profile.select("id", F.expr(_N.format("dn")).cast("long").alias("n_shingles"), _node("c", "dn").alias("node"))
