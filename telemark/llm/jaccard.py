@@ -297,8 +297,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, text_col:
     spark = docs.sparkSession
     many = pairs.groupBy("ac", "adn").agg(F.ceil(F.count(F.lit(1)) / HUB_BLOCK).cast("int").alias("blocks"))
     placed = pairs.join(many, ["ac", "adn"]).withColumn("block", F.pmod(F.xxhash64("bc", "bdn"), F.col("blocks")).cast("int"))
-    ends = F.array(*[F.struct(F.col(c).alias("c"), F.col(dn).alias("dn"), F.lit(role).alias("role")) for role, (c, dn) in enumerate((("ac", "adn"), ("bc", "bdn")))])
-    wanted = C.written(placed.select("ac", "adn", "block", F.inline(ends)).distinct(), "wanted")
+    placed = C.written(placed, "placed")
+    hub = placed.select(F.col("ac").alias("c"), F.col("adn").alias("dn"), "ac", "adn", "block", F.lit(0).alias("role")).distinct()
+    member = placed.select(F.col("bc").alias("c"), F.col("bdn").alias("dn"), "ac", "adn", "block", F.lit(1).alias("role"))
+    wanted = C.written(hub.union(member), "wanted")
+    C.spent(placed)
     slot = F.shiftrightunsigned("c", 64 - BITS)
     shared = spark.sparkContext.broadcast(C.bitmap(wanted.select(slot.alias("slot")), BITS))
 
