@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from telemark.functions._col import col
 
-MAX_UNPACK_KEYS = 1024
-
 
 def parse_json(c) -> Column:
     """F-8 ``parse_json`` / ``todynamic``: VARIANT, null on bad input."""
@@ -32,24 +30,30 @@ def typeof(c) -> Column:
                   F.lit("dynamic")).otherwise(F.lit("string"))
 
 
-def discover_keys(df: DataFrame, c: str, max_keys: int = MAX_UNPACK_KEYS) -> list[str]:
-    """Distinct top-level keys of a JSON column: a distributed distinct; only
-    the (bounded, checked) key list reaches the driver."""
-    keys = (df.select(F.explode(F.json_object_keys(col(c))).alias("k")).distinct()
-              .limit(max_keys + 1).collect())
-    if len(keys) > max_keys:
-        raise ValueError(f"more than {max_keys} distinct keys in {c}; pass keys= explicitly")
-    return sorted(r.k for r in keys)
+def _kind(v: Column) -> Column:
+    """F-11 the kind of a VARIANT: object, array, string, boolean, number or null."""
+    schema = F.schema_of_variant(v)
+    return (F.when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(schema == "STRING", "string")
+            .when(schema == "BOOLEAN", "boolean").when(schema == "VOID", "null").otherwise("number"))
+
 
+def bag_rows(df: DataFrame, c: str, key: str = "key", kind: str = "kind", value: str = "value") -> DataFrame:
+    """F-10 / F-11 the fields of a JSON object as rows: the other columns, then
+    the field's name, kind and text (strings unquoted, null for JSON null).
+    Names need not be known and no list of them is made; a text that is no
+    object gives no row."""
+    others = [x for x in df.columns if x != c]
+    d = df.withColumn("_bag", F.try_parse_json(F.col(c)))
+    rows = d.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_bag").outer())).filter("key is not null")
+    field = rows["value"]
+    return rows.select(*[d[x] for x in others], rows["key"].alias(key), _kind(field).alias(kind), field.cast("string").alias(value))
 
-def bag_unpack(df: DataFrame, c: str, prefix: str = "", keys=None, drop: bool = True) -> DataFrame:
-    """F-10 ``evaluate bag_unpack(c, prefix)``: one column per key.
 
-    With ``keys`` given no discovery pass runs.  Values are the JSON text of
-    each field (strings unquoted), parsed once per row into a map.
-    """
-    keys = sorted(keys) if keys is not None else discover_keys(df, c)
+def bag_unpack(df: DataFrame, c: str, keys, prefix: str = "", drop: bool = True) -> DataFrame:
+    """F-10 ``evaluate bag_unpack(c, prefix)``: one column for each of ``keys``
+    (``bag_rows`` needs no keys).  Values are the JSON text of each field
+    (strings unquoted), parsed once per row into a map."""
     m = F.from_json(col(c), "map<string,string>")
     out = df.withColumn("_bag", m)
-    out = out.withColumns({f"{prefix}{k}": F.col("_bag")[k] for k in keys}).drop("_bag")
+    out = out.withColumns({f"{prefix}{k}": F.col("_bag")[k] for k in sorted(keys)}).drop("_bag")
     return out.drop(c) if drop else out

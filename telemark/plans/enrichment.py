@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemark.functions import aggs, enrich as D, predicates as P, timefn as T
-from telemark.functions.dynamic import bag_unpack
+from telemark.functions.dynamic import bag_rows, bag_unpack
 from telemark.operators import joins as J
 from telemark.plans.registry import register
 from telemark.sources.tables import Tables
@@ -87,7 +87,15 @@ def noisy_workloads_q(documents: DataFrame, n: int = 20) -> DataFrame:
 
 def bag_unpack_props_q(events: DataFrame) -> DataFrame:
     """R-32 JSON log field extraction: ``evaluate bag_unpack(props, 'props_')``."""
-    return bag_unpack(events.select("event_id", "props"), "props", prefix="props_")
+    return bag_unpack(events.select("event_id", "props"), "props", ["k"], prefix="props_")
+
+
+def bag_rows_q(events: DataFrame) -> DataFrame:
+    """F-10 / F-11 fields of JSON objects as rows, whatever their names: here
+    one number, one string named after the user, one boolean, one null."""
+    user = F.concat(F.lit('"u'), (F.col("user_id") % 50).cast("string"), F.lit('":"'), F.col("event_type"), F.lit('"'))
+    json = F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(","), user, F.lit(',"slow":'), (F.col("value") > 45).cast("string"), F.lit(',"none":null}'))
+    return bag_rows(events.select("event_id", json.alias("props")), "props")
 
 
 _HAS = "(^|[^A-Za-z0-9])({})($|[^A-Za-z0-9])"
@@ -178,6 +186,16 @@ def has_term(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", P.contains_ci("text", "example").alias("contains_example"))
 
 
+@register("bag_rows", """
+SELECT event_id, 'id' AS key, 'number' AS kind, CAST(event_id AS VARCHAR) AS value FROM events
+UNION ALL SELECT event_id, 'u' || CAST(user_id % 50 AS VARCHAR), 'string', event_type FROM events
+UNION ALL SELECT event_id, 'slow', 'boolean', CAST(value > 45 AS VARCHAR) FROM events
+UNION ALL SELECT event_id, 'none', 'null', NULL FROM events
+""")
+def bag_rows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_rows_q(Tables(spark, sf_dir).events)
+
+
 @register("bag_unpack_props", """
 SELECT event_id, json_extract_string(props, '$.k') AS props_k FROM events
 """)

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from telemark.functions import aggs
+from telemark.functions import dynamic as DY
 from telemark.functions import text as TX
 from telemark.operators import catalog as C
 from telemark.operators import compare as E
@@ -89,14 +90,13 @@ def test_error_rate_stream(spark, tmp_dir):
 
 
 def test_dynamic_helpers(spark):
-    from telemark.functions import dynamic as DY
     df = spark.createDataFrame([(1, '{"app.kubernetes.io/name": "api", "n": 3, "o": {"x": 1}}'), (2, "plain")],
                                "id int, v string")
     r = df.select("id", DY.json_path("v", "app.kubernetes.io/name").alias("a"), DY.json_path("v", "o", "x").alias("x"),
                   DY.typeof("v").alias("t"), DY.bag_keys("v").alias("k")).collect()
     assert (r[0].a, r[0].x, r[0].t, sorted(r[0].k)) == ("api", "1", "dynamic", ["app.kubernetes.io/name", "n", "o"])
     assert (r[1].a, r[1].t, r[1].k) == (None, "string", None)
-    u = DY.bag_unpack(df, "v", prefix="p_")
+    u = DY.bag_unpack(df, "v", ["app.kubernetes.io/name", "n", "o"], prefix="p_")
     assert u.columns == ["id", "p_app.kubernetes.io/name", "p_n", "p_o"]
     assert DY.bag_unpack(df, "v", keys=["n"]).collect()[0]["n"] == "3"
     assert df.select(DY.parse_json("v").isNull()).collect()[1][0]
@@ -135,3 +135,11 @@ def test_metadata_fallback_sources_without_rank(spark):
     docs = spark.createDataFrame([(l, s, n, i, "t") for l, s, n, i in rows], "lang string, source string, n_chars long, doc_id long, text string")
     got = {r.table_name: r.origin for r in metadata_fallback_q(docs).collect()}
     assert got == {"en/short": None, "de/short": "src3", "fr/short": "src0"}
+
+
+def test_bag_rows_needs_no_keys(spark):
+    rows = [(i, json.dumps({f"k{i * 10 + j}": j for j in range(10)})) for i in range(500)] + [(900, '{"a.b": {"x": 1}, "l": [1], "t": true, "d": 1.5, "n": null, "s": "q\\"x"}'), (901, "no json"), (902, "[1]"), (903, None), (904, "{}")]
+    df = spark.createDataFrame(rows, "id long, v string").repartition(3)
+    got = {(r.id, r.key): (r.kind, r.value) for r in DY.bag_rows(df, "v").collect()}
+    assert len({k for _, k in got}) == 5006 and got[42, "k423"] == ("number", "3")
+    assert {k: v for (i, k), v in got.items() if i >= 900} == {"a.b": ("object", '{"x":1}'), "l": ("array", "[1]"), "t": ("boolean", "true"), "d": ("number", "1.5"), "n": ("null", None), "s": ("string", 'q"x')}
