@@ -75,6 +75,28 @@ def running_sum(df: DataFrame, keys, order, weight: str | None = None, name: str
     return d.drop(_PART, _AT, "_goes_on", "_before")
 
 
+def segments(df: DataFrame, keys, value: str, linked, name: str, then=()) -> DataFrame:
+    """Number the runs of neighbouring values of a key: a row goes on with the
+    run of the row before it where ``linked(value before, value)`` holds (both
+    sorted, nulls first).  ``then`` are further columns that spread equal values.
+    Numbers differ between runs and grow with them, but have gaps."""
+    keys = _names(keys)
+    d = range_sorted(df, keys, [F.col(value), *[F.col(c) for c in then]])
+    row = F.struct(_key(keys).alias("key"), F.col(value).alias("value"))
+    ends = d.groupBy(_PART).agg(F.max_by(row, F.col(_AT)).alias("hi"))
+    ends = ends.select(_PART, F.lag("hi").over(Window.orderBy(_PART)).alias("_before"))
+    in_part = Window.partitionBy(_PART).orderBy(_AT)
+    d = d.withColumn("_prev", F.lag(row).over(in_part)).join(F.broadcast(ends), _PART)
+    prev = F.coalesce(F.col("_prev"), F.col("_before"))
+    goes_on = F.coalesce(prev["key"].eqNullSafe(_key(keys)) & linked(prev["value"], F.col(value)), F.lit(False))
+    d = d.withColumn("_start", F.when(~goes_on, F.col(_AT))).drop("_prev", "_before")
+    starts = d.groupBy(_PART).agg(F.max("_start").alias("_start"))
+    sofar = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select(_PART, F.max("_start").over(sofar).alias("_open"))
+    d = d.withColumn(name, F.max("_start").over(in_part.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(starts), _PART)
+    return d.withColumn(name, F.coalesce(F.col(name), F.col("_open"))).drop(_PART, _AT, "_start", "_open")
+
+
 def percentiles(df: DataFrame, keys, value: str, ps, prefix: str = "p") -> DataFrame:
     """A-12 / A-13 exact interpolating percentiles by distributed selection:
     ``keys, n, mean, <prefix><p> ...``; ``n`` counts all rows, the mean and the

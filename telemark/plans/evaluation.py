@@ -201,3 +201,41 @@ FROM ro
 """)
 def table_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_compare_q(Tables(spark, sf_dir).orders)
+
+
+def tolerant_overlap_q(orders: DataFrame) -> DataFrame:
+    """E-7 in the unordered mode: for each customer, prices of fulfilled orders
+    against those of open ones, within 20,000 or 10 % of the open price."""
+    def side(status):
+        return orders.filter(F.col("o_orderstatus") == status).select("o_custkey", F.col("o_totalprice").alias("price"))
+    out = E.row_overlap(side("F"), side("O"), "o_custkey", tolerances={"numeric_abs": 20000.0, "numeric_rel": 0.1})
+    return out.withColumn("overlap", F.round("overlap", 6))
+
+
+# the recursion walks both sorted price lists of all customers at once
+@register("tolerant_overlap", """
+WITH RECURSIVE e AS (SELECT o_custkey AS c, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) AS i
+      FROM orders WHERE o_orderstatus = 'F'),
+a AS (SELECT o_custkey AS c, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) AS j
+      FROM orders WHERE o_orderstatus = 'O'),
+walk AS (
+  SELECT DISTINCT o_custkey AS c, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, CAST(0 AS BIGINT) AS m FROM orders
+  UNION ALL
+  SELECT w.c, CASE WHEN ok OR ev < av THEN w.i + 1 ELSE w.i END, CASE WHEN ok OR ev >= av THEN w.j + 1 ELSE w.j END,
+         CASE WHEN ok THEN w.m + 1 ELSE w.m END
+  FROM (SELECT walk.c, walk.i, walk.j, walk.m, e.v AS ev, a.v AS av,
+               abs(e.v - a.v) <= 20000 OR abs(e.v - a.v) <= 0.1::DOUBLE * (abs(a.v) + 1e-12) AS ok
+        FROM walk JOIN e ON e.c = walk.c AND e.i = walk.i JOIN a ON a.c = walk.c AND a.j = walk.j) w),
+n AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS expected_count,
+             count(*) FILTER (WHERE o_orderstatus = 'O') AS actual_count
+      FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_custkey),
+r AS (SELECT o_custkey, expected_count, actual_count, (SELECT max(m) FROM walk WHERE walk.c = o_custkey) AS intersection FROM n)
+SELECT o_custkey, expected_count, actual_count, intersection, expected_count + actual_count - intersection AS union_size,
+       round(intersection / (expected_count + actual_count - intersection), 6) AS overlap,
+       expected_count = intersection AND actual_count = intersection AS is_match,
+       CAST(CASE WHEN expected_count = intersection AND actual_count = intersection THEN 0
+                 ELSE abs(expected_count - actual_count) END AS BIGINT) AS mismatches
+FROM r
+""")
+def tolerant_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tolerant_overlap_q(Tables(spark, sf_dir).orders)
