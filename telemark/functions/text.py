@@ -5,6 +5,8 @@ All are regex / string built-ins evaluated on the whole text.
 
 from __future__ import annotations
 
+import html.entities
+import json
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,8 +25,6 @@ GENERATION_ERROR_MARKERS = ("// Error", "Error:", "Error translating NL to KQL",
                             "Could not translate question to KQL")
 # Words that ask for an explanation (T-18).
 EXPLANATION_WORDS = ("why", "explain", "describe", "root cause", "reason")
-# Named HTML entities decoded after tag stripping (F-20); numeric entities are decoded too.
-HTML_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
 def _any_contains(text: Column, words) -> Column:
@@ -130,18 +130,63 @@ def wants_explanation(c) -> Column:
 
 
 def strip_tags(c) -> Column:
-    """F-20 drop HTML tags, decode the common entities, collapse blanks."""
+    """F-20 drop HTML tags, decode character references (a no-break space as a
+    blank), collapse blanks."""
     s = F.regexp_replace(col(c), "<[^>]+>", "")
-    return collapse_ws(unescape_entities(s))
+    return collapse_ws(F.translate(unescape_entities(s), "\u00a0", " "))
+
+
+# A character reference: decimal, hexadecimal, or a name of up to 32 characters.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_LOW = 0xA0     # code points below this have rules of their own (controls, the Windows block)
+
+
+def _constant(value, schema: str) -> Column:
+    """A table as one literal: constant folding reads the JSON once a plan."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
+def _code_point(n: Column) -> Column:
+    """Text of a numeric reference, by the rules of HTML 5."""
+    low = _constant([html.unescape(f"&#{i};") for i in range(_LOW)], "array<string>")
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return (F.when(n.isNull() | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "\ufffd")
+             .when(n < _LOW, F.get(low, n.cast("int")))
+             .when(n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFF)) >= 0xFFFE), "")
+             .when(n == 0xFEFF, "\ufeff")           # decoding would take it for a byte order mark
+             .otherwise(char))
 
 
 def unescape_entities(c) -> Column:
-    """Decode numeric (``&#39;``, ``&#x27;``) and common named HTML entities."""
+    """Decode all character references: numeric ones, and every HTML 5 name, also
+    those that are known without the semicolon.  The text is cut at the references
+    once and joined again around what they stand for, so nothing is decoded twice."""
     s = col(c)
-    for ent, rep in HTML_ENTITIES[:-1]:
-        s = F.replace(s, F.lit(ent), F.lit(rep))
-    s = F.regexp_replace(s, "&#(x27|39);", "'")
-    return F.replace(s, F.lit("&amp;"), F.lit("&"))
+    by_start: dict = {}
+    for name, text in html.entities.html5.items():
+        by_start.setdefault(name[:2], {})[name] = text
+    names = _constant(by_start, "map<string,map<string,string>>")
+    open_ended = max(len(n) for n in html.entities.html5 if not n.endswith(";"))
+
+    def known(name):
+        return F.try_element_at(F.try_element_at(names, F.left(name, F.lit(2))), name)
+
+    def named(m):
+        name = F.substring(m, 2, 64)
+        starts = [F.when(F.length(name) > k, F.concat(known(F.left(name, F.lit(k))), F.substring(name, k + 1, 64))) for k in range(open_ended, 1, -1)]
+        return F.coalesce(known(name), *starts, m)
+
+    def numeric(m):
+        hexa = F.lower(F.substring(m, 3, 1)) == "x"
+        digits = F.regexp_extract(m, "&#[xX]?0*([0-9a-fA-F]*)", 1)
+        fits = F.when(digits == "", "0").when(F.length(digits) <= 10, digits)       # longer ones are beyond any code point
+        return _code_point(F.when(hexa, F.conv(fits, 16, 10)).otherwise(fits).cast("long"))
+
+    gaps = F.split(s, _REFERENCE, -1)
+    refs = F.regexp_extract_all(s, F.lit(_REFERENCE), F.lit(0))
+    texts = F.transform(refs, lambda m: F.when(F.startswith(m, F.lit("&#")), numeric(m)).otherwise(named(m)))
+    whole = F.array_join(F.zip_with(gaps, texts, lambda gap, text: F.concat(gap, F.coalesce(text, F.lit("")))), "")
+    return F.when(F.contains(s, F.lit("&")), whole).otherwise(s)
 
 
 # Fixed values (T-14): aggregate function names recognised in query texts.
