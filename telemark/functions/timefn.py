@@ -96,6 +96,16 @@ def start_of_month(ts) -> Column:
     return F.date_trunc("month", col(ts)).cast("timestamp_ntz")
 
 
+def end_of_week(ts) -> Column:
+    """TM-6: last microsecond of the week (Saturday)."""
+    return start_of_week(ts) + F.make_dt_interval(F.lit(6), F.lit(23), F.lit(59), F.lit(59.999999))
+
+
+def end_of_month(ts) -> Column:
+    """TM-6: last microsecond of the month."""
+    return start_of_month(ts) + F.make_ym_interval(F.lit(0), F.lit(1)) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0.000001))
+
+
 def diff_hours(a, b) -> Column:
     """TM-4 ``(a - b) / 1h`` as a double."""
     return (F.unix_micros(col(a).cast("timestamp")) - F.unix_micros(col(b).cast("timestamp"))) / F.lit(3.6e9)

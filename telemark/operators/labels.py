@@ -150,3 +150,12 @@ def lookback_days(c) -> Column:
         return n / F.when(u == "d", 1.0).when(u == "h", 24.0).when(u == "m", 1440.0).otherwise(86400.0)
 
     return F.array_max(F.transform(spans, days))
+
+
+def audit_time_bounds(df, query: str, max_days: float = 7.0):
+    """T-19 query-log audit, one row a query text: whether it bounds time itself,
+    the default span it would get otherwise, its largest look-back in days and
+    whether that is over ``max_days``.  A text without ``ago`` is not over it."""
+    days = lookback_days(query)
+    return df.withColumns({"bounded": has_time_bound(query), "default_span_hours": default_span_hours(query), "lookback_days": days,
+                           "over_limit": F.coalesce(days > F.lit(float(max_days)), F.lit(False))})

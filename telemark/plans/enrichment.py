@@ -18,12 +18,13 @@ from telemark.sources.tables import Tables
 
 
 def search_logs(df: DataFrame, text: str, *, has_terms=None, contains=None, prefix=None,
-                not_prefix=None, suffix=None, in_list=None, between=None, ts=None,
+                not_prefix=None, suffix=None, in_list=None, id_or_name=None, between=None, ts=None,
                 as_of=None, span=None, order=None, limit=None) -> DataFrame:
     """R-31 filtered log read built from the 2.2 predicates.
 
     ``in_list`` is ``(column, values, ignore_case)``; ``between`` is
-    ``(column, low, high)`` (both ends included).  Plain comparisons reach the
+    ``(column, low, high)`` (both ends included); ``id_or_name`` is ``(id column,
+    name column, values)`` and keeps rows whose id or name is one of the values.  Plain comparisons reach the
     parquet scan as pushed filters; the text predicates run in codegen.
     """
     out = df
@@ -32,6 +33,8 @@ def search_logs(df: DataFrame, text: str, *, has_terms=None, contains=None, pref
     if in_list is not None:
         c, values, ci = in_list
         out = out.filter(P.in_ci(c, values) if ci else F.col(c).isin(list(values)))
+    if id_or_name is not None:
+        out = out.filter(_id_or_name(out, *id_or_name))
     if between is not None:
         c, lo, hi = between
         out = out.filter(F.col(c).between(lo, hi))
@@ -54,6 +57,16 @@ def search_logs(df: DataFrame, text: str, *, has_terms=None, contains=None, pref
     return out
 
 
+def _id_or_name(df: DataFrame, id_col: str, name_col: str, values):
+    """Values that are no number cannot be a numeric id; the id column itself is
+    not cast, so that the filter still reaches the scan."""
+    values = [str(v) for v in values]
+    ids = values
+    if dict(df.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint"):
+        ids = [int(v) for v in values if v.isascii() and v.isdigit()]
+    return F.col(id_col).isin(ids) | F.col(name_col).isin(values)
+
+
 def error_rate_q(events: DataFrame, as_of="2024-01-31", span="7d") -> DataFrame:
     """R-9 error rate by workload and namespace over a span: D-1 flag, countif, A-19 rate."""
     ev = T.time_scope(events, "ts", as_of, span).withColumn("is_error", D.is_error("event_type"))

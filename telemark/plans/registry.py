@@ -19,5 +19,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all():
     """Import every plan module so their queries register."""
-    from telemark.plans import telemetry, enrichment, evaluation, corpus, catalog, runlog  # noqa: F401
+    from telemark.plans import telemetry, enrichment, evaluation, corpus, catalog, runlog, loglines  # noqa: F401
     return QUERIES, ORACLES
