@@ -82,17 +82,20 @@ def segments(df: DataFrame, keys, value: str, linked, name: str, then=()) -> Dat
     Numbers differ between runs and grow with them, but have gaps."""
     keys = _names(keys)
     d = range_sorted(df, keys, [F.col(value), *[F.col(c) for c in then]])
-    row = F.struct(_key(keys).alias("key"), F.col(value).alias("value"))
-    ends = d.groupBy(_PART).agg(F.max_by(row, F.col(_AT)).alias("hi"))
-    ends = ends.select(_PART, F.lag("hi").over(Window.orderBy(_PART)).alias("_before"))
+    # a key goes over a border only as the last one before and the first one after it
+    at = F.col(_AT)
+    ends = d.groupBy(_PART).agg(F.min_by(_key(keys), at).alias("lo"), F.max_by(_key(keys), at).alias("hi"), F.max_by(F.struct(value), at).alias("last"))
+    ends = ends.select("*", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("_k"))
+    along = Window.partitionBy("_k").orderBy(_PART)
+    before = ends.withColumn("_before", F.lag("last").over(along)).filter(F.col("_k").eqNullSafe(F.col("lo"))).select(_PART, "_k", "_before")
     in_part = Window.partitionBy(_PART).orderBy(_AT)
-    d = d.withColumn("_prev", F.lag(row).over(in_part)).join(F.broadcast(ends), _PART)
-    prev = F.coalesce(F.col("_prev"), F.col("_before"))
-    goes_on = F.coalesce(prev["key"].eqNullSafe(_key(keys)) & linked(prev["value"], F.col(value)), F.lit(False))
-    d = d.withColumn("_start", F.when(~goes_on, F.col(_AT))).drop("_prev", "_before")
+    d = d.withColumn("_prev", F.lag(F.struct(_key(keys).alias("key"), F.struct(value).alias("last"))).over(in_part)).join(F.broadcast(before), _PART)
+    prev = F.when(F.col("_prev").isNull(), F.col("_before")).when(F.col("_prev")["key"].eqNullSafe(_key(keys)), F.col("_prev")["last"])
+    goes_on = prev.isNotNull() & F.coalesce(linked(prev[value], F.col(value)), F.lit(False))
+    d = d.withColumn("_start", F.when(~goes_on, at)).drop("_prev", "_before", "_k")
     starts = d.groupBy(_PART).agg(F.max("_start").alias("_start"))
-    sofar = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select(_PART, F.max("_start").over(sofar).alias("_open"))
+    opened = F.max("_start").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_open")
+    starts = ends.join(F.broadcast(starts), _PART).select(_PART, "_k", "lo", opened).filter(F.col("_k").eqNullSafe(F.col("lo"))).select(_PART, "_open")
     d = d.withColumn(name, F.max("_start").over(in_part.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(starts), _PART)
     return d.withColumn(name, F.coalesce(F.col(name), F.col("_open"))).drop(_PART, _AT, "_start", "_open")
 
