@@ -30,7 +30,7 @@ def typeof(c) -> Column:
                   F.lit("dynamic")).otherwise(F.lit("string"))
 
 
-def _kind(v: Column) -> Column:
+def variant_kind(v: Column) -> Column:
     """F-11 the kind of a VARIANT: object, array, string, boolean, number or null."""
     schema = F.schema_of_variant(v)
     return (F.when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(schema == "STRING", "string")
@@ -46,7 +46,7 @@ def bag_rows(df: DataFrame, c: str, key: str = "key", kind: str = "kind", value:
     d = df.withColumn("_bag", F.try_parse_json(F.col(c)))
     rows = d.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_bag").outer())).filter("key is not null")
     field = rows["value"]
-    return rows.select(*[d[x] for x in others], rows["key"].alias(key), _kind(field).alias(kind), field.cast("string").alias(value))
+    return rows.select(*[d[x] for x in others], rows["key"].alias(key), variant_kind(field).alias(kind), field.cast("string").alias(value))
 
 
 def bag_unpack(df: DataFrame, c: str, keys, prefix: str = "", drop: bool = True) -> DataFrame:

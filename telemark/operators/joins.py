@@ -88,6 +88,38 @@ def join_on(left: DataFrame, right: DataFrame, pairs, how: str = "inner") -> Dat
     return left.join(r, on=cond, how=how)
 
 
+def grid_join(left: DataFrame, right: DataFrame, pairs, cell_share: float = 1 / 64) -> DataFrame:
+    """J-2 inner equi join that deals a hot key over a grid of tasks.
+
+    A key is hot where it holds more than ``cell_share`` of the rows of either
+    side, so there are fewer than ``2 / cell_share`` of them at any size.  Its
+    left rows are cut into i parts and its right rows into j, by a hash of the
+    whole row, each part holding about ``cell_share`` of its side; every left
+    part meets every right part in one of i x j cells.  Rows of other keys are
+    neither copied nor marked.  Rows that repeat in all columns share a part.
+    Null keys join nothing, as in ``join_on``, whose columns this returns.
+    """
+    pairs = [(p, p) if isinstance(p, str) else tuple(p) for p in pairs]
+    names = [f"k{i}_" for i in range(len(pairs))]
+    sides = [(left, [l for l, _ in pairs]), (right, [r for _, r in pairs])]
+    hot = []
+    for df, keys in sides:
+        counts = df.dropna(subset=keys).groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.count(F.lit(1)).alias("n_"))
+        whole = df.dropna(subset=keys).agg(F.count(F.lit(1))).scalar()
+        parts = F.ceil(F.col("n_") / (whole * F.lit(cell_share))).cast("int")
+        hot.append(counts.select(*names, parts.alias("parts_")).filter("parts_ > 1"))
+    # fewer than 2 / cell_share rows, so a proven bound
+    grid = F.broadcast(hot[0].withColumnRenamed("parts_", "i_").join(hot[1].withColumnRenamed("parts_", "j_"), names, "full")
+                       .select(*names, *[F.coalesce(c, F.lit(1)).alias(c) for c in ("i_", "j_")]))
+    dealt = []
+    for (df, keys), own, other, cell, copy in ((sides[0], "i_", "j_", "a_", "b_"), (sides[1], "j_", "i_", "b_", "a_")):
+        rows = df.join(grid, reduce(lambda x, y: x & y, [df[k] == grid[n] for k, n in zip(keys, names)]), "left").drop(*names)
+        part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.coalesce(own, F.lit(1)).cast("long")).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        dealt.append(rows.select(*[F.col(f"`{c}`") for c in df.columns], part.alias(cell), copies.alias(copy)))
+    return join_on(dealt[0], dealt[1], [*pairs, "a_", "b_"]).drop("a_", "b_")
+
+
 def inner_unique(left: DataFrame, right: DataFrame, pairs, left_order, how: str = "inner") -> DataFrame:
     """J-3 ``kind=innerunique``: the left side is reduced to one row per key
     (the row with the largest ``left_order`` tuple, a required tie-break) and

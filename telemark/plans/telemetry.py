@@ -258,6 +258,14 @@ def composite_join_q(lineitem: DataFrame, as_of=ORDERS_AS_OF, span="730d") -> Da
     return j.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "r_orderkey", "r_linenumber")
 
 
+def hot_key_join_q(supplier: DataFrame, customer: DataFrame) -> DataFrame:
+    """J-2 many-to-many join whose few keys are all hot: for each supplier the
+    customers of its nation, and those with a higher balance."""
+    j = J.grid_join(supplier.select("s_suppkey", "s_nationkey", "s_acctbal"), customer.select("c_custkey", "c_nationkey", "c_acctbal"),
+                    [("s_nationkey", "c_nationkey")])
+    return j.groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n_customers"), F.count_if(F.col("c_acctbal") > F.col("s_acctbal")).alias("n_higher"))
+
+
 def innerunique_join_q(lineitem: DataFrame, as_of=ORDERS_AS_OF, span="730d") -> DataFrame:
     """R-23 the same with ``kind=innerunique``: one left row per key (latest by
     ship date, then order and line as tie-break)."""
@@ -585,6 +593,15 @@ def composite_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return composite_join_q(Tables(spark, sf_dir).lineitem)
 
 
+@register("hot_key_join", """
+SELECT s_suppkey, count(*) AS n_customers, count(*) FILTER (WHERE c_acctbal > s_acctbal) AS n_higher
+FROM supplier JOIN customer ON s_nationkey = c_nationkey GROUP BY s_suppkey
+""")
+def hot_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return hot_key_join_q(t.supplier, t.customer)
+
+
 @register("innerunique_join", f"""
 SELECT a.l_partkey, a.l_suppkey, a.l_orderkey, a.l_linenumber, b.l_orderkey AS r_orderkey, b.l_linenumber AS r_linenumber
 FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey

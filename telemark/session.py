@@ -11,7 +11,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -58,6 +58,19 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the folder that ``spark.checkpoint.dir`` names, which
+    all executors share.  A private folder is made only where the setting is
+    unset and the master is local, as in tests."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="telemark-checkpoint-"))
+    return df.checkpoint()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, for functions that run in Python there.
     Once a session; a folder on every worker's PYTHONPATH would do as well."""

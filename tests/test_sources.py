@@ -88,6 +88,46 @@ def test_manifest_flatten(spark, tmp_dir):
     assert [r.content for r in M.unparsable_manifests(flat).collect()] == ["{broken"]
 
 
+def _layout(content):
+    """Brute force: the nodes of one document, in its order."""
+    def walk(path, v):
+        kind = {dict: "object", list: "list", str: "text"}.get(type(v), "other")
+        yield tuple(path), kind, v if kind == "text" else None
+        for k, x in v.items() if kind == "object" else enumerate(v) if kind == "list" else ():
+            yield from walk([*path, str(k)], x)
+    return list(walk([], json.loads(content)))
+
+
+def test_manifest_nodes_by_level(spark):
+    deep = "leaf"
+    for i in range(12):
+        deep = {f"k{i}": deep, "n": [i, None, True, 1.5, "[not a list]"], "": {}} if i % 2 else [deep, "\u00e9\"q\"\n", "{x}", []]
+    good = {"a": json.dumps({"z": 1, "a": ["2", {"b": "c"}], "m": {}}), "b": json.dumps(deep), "c": " [] ", "d": '"s"', "e": "3", "f": "null"}
+    bad = {"g": "{broken", "h": "", "i": None, "j": "{} x", "k": '{"a": 1, "a": 2}', "l": '{"a": 1}, {"b": 2}'}
+    nodes = M.manifest_nodes(spark.createDataFrame([*good.items(), *bad.items()], "path string, content string"))
+    rows = nodes.orderBy("file", "pos").collect()
+    for f, content in good.items():
+        assert [(tuple(r.path), r.kind, r.text) for r in rows if r.file == f] == _layout(content), f
+    assert {r.file: r.text for r in rows if r.kind == "unparsable"} == bad
+    empty = M.manifest_nodes(spark.createDataFrame([], "path string, content string"))
+    assert empty.count() == 0 and M.manifest_tables(empty).count() == 0
+
+
+def test_large_manifest_is_no_single_task(spark):
+    types = [{"type": f"a/b{i}", "tables": [{"name": f"T{i}_{j}", "columns": [{"name": "c"}]} for j in range(20)]} for i in range(200)]
+    nodes = M.manifest_nodes(spark.createDataFrame([("f", json.dumps({"resources": types}))], "path string, content string"))
+    entries = nodes.filter((F.size("path") == 2) & (F.col("kind") == "object")).withColumn("raw", F.lit('{"x": 1}'))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shares = M._opened(entries).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(r["count"] for r in shares) == 200 and max(r["count"] for r in shares) < 100    # of one document
+    tables = M.manifest_tables(nodes)
+    assert tables.count() == 4000 and tables.groupBy("resource_type").count().filter("count <> 20").count() == 0
+    assert M.manifest_columns(nodes).count() == 4000
+
+
 def test_sinks(spark, tmp_dir):
     df = spark.createDataFrame([(1, "x", "why", {"status": "ok", "elapsed_sec": "0.1"})],
                                "case_id int, llm_grade string, reasoning string, gen_stats map<string,string>")
