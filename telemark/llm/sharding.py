@@ -57,8 +57,8 @@ def shard(docs: DataFrame, n_shards: int, id_col="doc_id", text_col="text", buck
     count = rows.count()
     at = F.col("before_") + F.col("pos_")
     # shard s starts at ceil(s * count / n_shards)
-    own = F.floor(at * n_shards / F.lit(max(count, 1))) if count * n_shards < 2 ** 52 else F.expr(f"(before_ + pos_) * {n_shards}L div {count}L")
-    start = F.floor((F.col("shard") * F.lit(count) + (n_shards - 1)) / n_shards)
+    own = F.expr(f"(before_ + pos_) * {n_shards}L div {max(count, 1)}L")
+    start = F.expr(f"(shard * {count}L + {n_shards - 1}L) div {n_shards}L")
     joined = rows.join(before, "bucket_")
     joined = C.add(joined, at_=at, shard=own.cast("int"))
     return C.add(joined, slot=(F.col("at_") - start).cast("long")).drop("bucket_", "pos_", "before_", "at_")
