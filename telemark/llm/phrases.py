@@ -11,11 +11,10 @@ wherever they stand.
 
 A fingerprint is the smallest names (32 bits each) of three levels, as hex:
 ``level1.level2.level3``, at most ``KEEP`` of each; level 1 is kept for texts
-under ``SHORT`` bytes and for strongly repetitive ones, with too few names of
-level 2, only; there a run of ``SHORT`` bytes or more also gives a name of its
-symbol alone.  The likeness of two fingerprints is the Dice coefficient of the
-highest level on which both have enough names, else of the lowest on which both
-have any.
+with too few names of level 2 only, whatever their length; there a run of
+``LONG_RUN`` bytes or more also gives a name of its symbol alone.  The likeness
+of two fingerprints is the Dice coefficient of the highest level on which both
+have enough names, else of the lowest on which both have any.
 
 Defined results: a null text is the empty one, with fingerprint ``..``; two
 empty texts have likeness 1, an empty and another text 0; texts are taken in
@@ -27,7 +26,6 @@ proportion to the longest single text.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +37,7 @@ from telemark.llm import common as C
 
 KEEP = (16, 24, 64)
 ENOUGH = (1, 4, 8)
-SHORT = 256
-_LONG_RUN = re.compile(rb"(.)\1{%d,}" % (SHORT - 1), re.S)
+LONG_RUN = 256
 _SYMBOL = np.uint64(1 << 63)
 BATCH_BYTES = 1 << 20
 
@@ -109,8 +106,8 @@ def _phrases(lab: np.ndarray, names: np.ndarray, first: np.ndarray):
 
 
 def levels(raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each level, the phrase names of all texts and the number of the text
-    each belongs to."""
+    """For each level, the phrase names of all texts (and, on the first, the
+    symbols of long runs) and the number of the text each belongs to."""
     size = np.array([len(r) for r in raws])
     some = np.flatnonzero(size)
     none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -123,6 +120,8 @@ def levels(raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         if level == 0:
             lab = _round(v, _T8, 8, first)
             names = _mix(v.astype(np.uint64) + (run.astype(np.uint64) << np.uint64(8)))
+            long = np.flatnonzero(run >= LONG_RUN)
+            alone = _mix(v[long].astype(np.uint64) | _SYMBOL), some[np.searchsorted(first, long, side="right") - 1]
         else:
             many = run > 1
             if many.any():
@@ -131,7 +130,8 @@ def levels(raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
             lab, names = _round(_toss_names(v, first), _T7, 7, first), v
         lab = _round(_round(lab, _T4, 4, first), _T3, 3, first)
         v, first = _phrases(lab, names, first)
-        out.append((v, some[np.repeat(np.arange(len(some)), np.diff(first, append=len(v)))]))
+        owner = some[np.repeat(np.arange(len(some)), np.diff(first, append=len(v)))]
+        out.append((np.concatenate([v, alone[0]]), np.concatenate([owner, alone[1]])) if level == 0 else (v, owner))
     return out
 
 
@@ -143,15 +143,10 @@ def fingerprints(texts: list[str]) -> list[str]:
         some = raws[lo:hi]
         lists = []
         found = levels(some)
-        short = np.array([len(r) < SHORT for r in some])
-        few = ~short & (np.bincount(np.unique((found[1][1].astype(np.uint64) << np.uint64(32)) | (found[1][0] >> np.uint64(32))) >> np.uint64(32), minlength=len(some)) < ENOUGH[1])
+        few = np.bincount(np.unique((found[1][1].astype(np.uint64) << np.uint64(32)) | (found[1][0] >> np.uint64(32))) >> np.uint64(32), minlength=len(some)) < ENOUGH[1]
         for level, (names, owner) in enumerate(found):
             if level == 0:
-                kept = (short | few)[owner]
-                runs = [(m[0][0], i) for i in np.flatnonzero(few).tolist() for m in _LONG_RUN.finditer(some[i])]
-                symbols, at = np.array(runs, np.int64).reshape(-1, 2).T
-                names = np.concatenate([names[kept], _mix(symbols.astype(np.uint64) | _SYMBOL)])
-                owner = np.concatenate([owner[kept], at])
+                names, owner = names[few[owner]], owner[few[owner]]
             both = np.unique((owner.astype(np.uint64) << np.uint64(32)) | (names >> np.uint64(32)))
             cut = np.searchsorted(both, np.arange(len(some) + 1, dtype=np.uint64) << np.uint64(32))
             raw = both.astype(np.uint32).astype(">u4").tobytes().hex()
