@@ -70,6 +70,10 @@ OUT_WORDS = frozenset("""ad ads advert adverts advertisement advertising adsense
  nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer foot colophon sidebar sidebars aside widget widgets related recommended
  cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup login share sharing social
  comment comments commentlist disqus respond reply replies discussion pagination pager copyright search searchbox complementary contentinfo skip""".split())
+#: Words that name a part of a page whatever stands in it.
+PART_WORDS = frozenset("""site page main top bottom left right inner outer upper lower primary secondary global local mobile desktop box bar block area wrap wrapper
+ container content contents section panel list item items entry link links button buttons btn icon icons slot unit form field input body text title heading label
+ thread region zone row col column group post posts article articles story stories news feed user author count google js the this a and of for by to""".split())
 #: Ends of sentences, and letters of scripts that are written without spaces.
 _SENTENCE = re.compile(r"[.!?…։؟۔।॥።](?:[\s\"'»”’)]|\Z)|[。！？｡]")
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -98,9 +102,13 @@ def _marks_out(tag: str, attrs: str, inside: bool) -> bool:
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
         if name in ("class", "id", "role", "aria-label"):
-            words = {w.lower() for w in _PART.findall(value)}
-            if words & OUT_WORDS and not (inside and words & {"header"} and not words & (OUT_WORDS - {"header"})):
-                return True
+            for token in [value] if name == "aria-label" else value.split():
+                words = {w.lower() for w in _PART.findall(token)}
+                marks = words & OUT_WORDS
+                # each part of the name must speak of the page's frame: share-buttons does, share-price does not
+                framed = all(w in OUT_WORDS or w in PART_WORDS or w.isdigit() for w in words)
+                if marks and framed and not (inside and marks == {"header"}):
+                    return True
     return False
 
 
