@@ -1,14 +1,14 @@
 """Quality scores by compression.
 
 Two zstandard dictionaries are built from windows of good and of bad labelled
-texts.  A text is cut into windows and each is compressed with either
-dictionary and with none; the normalised differences of the summed sizes are
-the features of a logistic calibration, fitted on labelled texts that the
-dictionaries have not seen.
+texts, at each of the ``SCALES`` (window and dictionary size).  A text is cut into
+windows and each is compressed with either dictionary; the normalised
+differences of the summed sizes are the only features of a logistic
+calibration, fitted on labelled texts that the dictionaries have not seen.
 
 The fit uses a bounded sample: about ``DICT_DOCS`` and ``FIT_DOCS`` labelled
-documents of each class (drawn by a hash of the id) and at most ``DOC_WINDOWS``
-windows of a document for the dictionaries.  Scores cover whole texts.
+documents of each class (drawn by a hash of the id), with their whole texts.
+Scores cover whole texts.
 
 Defined results: a null text is scored like the empty one, which gets the
 calibration's value for no evidence; labels that are null or other than 0 and
@@ -19,7 +19,6 @@ are, and an input column named ``score`` gives way.
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,50 +29,53 @@ from pyspark.sql import types as T
 
 from telemark.llm import common as C
 
-WINDOW = 1024
+#: Bytes of a window and of its dictionaries.
+SCALES = ((256, 1 << 16), (1024, 1 << 14), (4096, 1 << 16))
 LEVEL = 3
-DICT_BYTES = 1 << 16
 DICT_DOCS = 2000
 FIT_DOCS = 4000
-DOC_WINDOWS = 16
+FEATURES = 3 * len(SCALES)
 THRESHOLD = 0.3
 
 
-def windows(raw: bytes) -> list[bytes]:
-    return [raw[i:i + WINDOW] for i in range(0, len(raw), WINDOW)]
+def windows(raw: bytes, size: int) -> list[bytes]:
+    return [raw[i:i + size] for i in range(0, len(raw), size)]
 
 
-def dictionary(samples: list[bytes]) -> bytes:
+def dictionary(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary, or the samples' last bytes where they are too few
     to train on."""
     import zstandard
 
     try:
-        return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-DICT_BYTES:]
+        return b"".join(samples)[-size:]
 
 
 class Sizes:
-    """Compressed sizes of a text with the good, the bad and no dictionary."""
+    """Compressed sizes of a text with the good and the bad dictionary of each scale."""
 
-    def __init__(self, good: bytes, bad: bytes):
+    def __init__(self, dictionaries: list[tuple[bytes, bytes]]):
         import zstandard
 
         def one(raw):
             dict_data = zstandard.ZstdCompressionDict(raw) if raw else None
             return zstandard.ZstdCompressor(level=LEVEL, dict_data=dict_data, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-        self.by = [one(good), one(bad), one(b"")]
+        self.by = [(size, one(good), one(bad)) for (size, _), (good, bad) in zip(SCALES, dictionaries)]
 
     def features(self, text: str | None) -> list[float]:
-        parts = windows((text or "").encode("utf-8", "replace"))
-        n = sum(map(len, parts))
-        if not n:
-            return [0.0] * 6
-        good, bad, plain = (sum(len(c.compress(w)) for w in parts) for c in self.by)
-        d = bad - good
-        return [d / n, d / max(good, bad), d / (n + 200), good / n, plain / n, float(np.log(n))]
+        """For each scale the difference over the text's size, over the larger
+        compressed size, and drawn towards 0 for short texts."""
+        raw = (text or "").encode("utf-8", "replace")
+        out = []
+        for size, *both in self.by:
+            parts = windows(raw, size)
+            good, bad = (sum(len(c.compress(w)) for w in parts) for c in both)
+            d = bad - good
+            out += [d / max(len(raw), 1), d / max(good, bad, 1), d / (len(raw) + 200)]
+        return out
 
 
 def expand(x: np.ndarray) -> np.ndarray:
@@ -98,10 +100,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 
 class Model:
-    """What the executors need: two dictionaries and the calibration."""
+    """What the executors need: the dictionaries and the calibration."""
 
-    def __init__(self, good=b"", bad=b"", mean=None, scale=None, weights=None, prior=0.5):
-        self.good, self.bad, self.mean, self.scale, self.weights, self.prior = good, bad, mean, scale, weights, prior
+    def __init__(self, dictionaries=((b"", b""),) * len(SCALES), mean=None, scale=None, weights=None, prior=0.5):
+        self.dictionaries, self.mean, self.scale, self.weights, self.prior = dictionaries, mean, scale, weights, prior
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -110,26 +112,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _features(good: bytes, bad: bytes):
+def _features(dictionaries):
     def run(batches: Iterator[pa.RecordBatch]):
-        sizes = Sizes(good, bad)
+        sizes = Sizes(dictionaries)
         for b in batches:
             x = [sizes.features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
     return run
 
 
-def _windows(batches: Iterator[pa.RecordBatch]):
-    for b in batches:
-        for label, text, h in zip(*(b.column(c).to_pylist() for c in ("label", "text", "h"))):
-            parts = windows((text or "").encode("utf-8", "replace"))
-            if len(parts) > DOC_WINDOWS:
-                parts = random.Random(h).sample(parts, DOC_WINDOWS)
-            if parts:
-                yield pa.RecordBatch.from_pydict({"label": [label] * len(parts), "h": [h] * len(parts), "window": parts},
-                                                 schema=pa.schema([("label", pa.int32()), ("h", pa.int64()), ("window", pa.binary())]))
-
-
 def fit(docs: DataFrame, labels: DataFrame, learn=None, id_col="doc_id", text_col="text", label_col="quality", dict_docs: int = DICT_DOCS, fit_docs: int = FIT_DOCS) -> Model:
     """Fit on the labelled rows for which ``learn`` (a condition on ``labels``) holds."""
     lab = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
@@ -146,10 +137,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, id_col="doc_id", text_co
         rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text"))
         return rows.join(F.broadcast(picked), "id_").select("label", "text", "h")
 
-    shown = sample(True, dict_docs).mapInArrow(_windows, "label int, h long, window binary").collect()
-    shown.sort(key=lambda r: (r["h"], r["window"]))
-    good, bad = (dictionary([bytes(r["window"]) for r in shown if r["label"] == k]) for k in (1, 0))
-    rows = sample(False, fit_docs).mapInArrow(_features(good, bad), "label int, x array<double>").collect()
+    # the whole texts of about 2 * dict_docs documents
+    shown = sample(True, dict_docs).filter(F.length("text") > 0).collect()
+    shown.sort(key=lambda r: (r["h"], r["text"]))
+    raw = {k: [r["text"].encode("utf-8", "replace") for r in shown if r["label"] == k] for k in (0, 1)}
+    dictionaries = [tuple(dictionary([w for t in raw[k] for w in windows(t, size)], most) for k in (1, 0)) for size, most in SCALES]
+    rows = sample(False, fit_docs).mapInArrow(_features(dictionaries), "label int, x array<double>").collect()
     y = np.array([r["label"] for r in rows], dtype=float)
     if len(set(y.tolist())) < 2:
         return Model(prior=n[1] / (n[0] + n[1]))
@@ -159,20 +152,20 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, id_col="doc_id", text_co
     share = n[1] / (n[0] + n[1])
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return Model(good, bad, mean, scale, fit_logistic(expand(np.clip((x - mean) / scale, -6, 6)), y, weight), share)
+    return Model(dictionaries, mean, scale, fit_logistic(expand(np.clip((x - mean) / scale, -6, 6)), y, weight), share)
 
 
 def score(docs: DataFrame, model: Model, text_col="text") -> DataFrame:
     """``docs`` with ``score``, the likelihood of class 1."""
     docs = C.add(docs, score=F.lit(0.0))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
-    shared = docs.sparkSession.sparkContext.broadcast(model)       # two dictionaries of DICT_BYTES and 28 numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)       # six dictionaries of 288 KB in all and 55 numbers
 
     def run(batches: Iterator[pa.RecordBatch]):
         m = shared.value
-        sizes = Sizes(m.good, m.bad)
+        sizes = Sizes(m.dictionaries)
         for b in batches:
-            x = np.array([sizes.features(t) for t in b.column(text_col).to_pylist()]).reshape(-1, 6)
+            x = np.array([sizes.features(t) for t in b.column(text_col).to_pylist()]).reshape(-1, FEATURES)
             yield b.set_column(b.schema.get_field_index("score"), "score", pa.array(m.score(x)))
 
     return docs.mapInArrow(run, schema)

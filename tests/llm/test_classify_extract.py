@@ -55,6 +55,30 @@ def test_op4_equal_texts_and_edges(spark, docs, edge):
     assert all(0 <= r.score <= 1 for r in quality.score(edge, few).collect())
 
 
+def test_op4_scores_again_by_hand(spark, docs):
+    """Compressed and scored again in plain Python, from size differences alone; whole long texts count."""
+    import math
+
+    import zstandard
+
+    model = quality.fit(docs, spark.read.parquet(f"{SF01}/labels.parquet"), fold(5) != 0)
+    some = [r.text for r in docs.filter("doc_id % 40 = 0").collect()] + ["", None, "x" * 9, docs.orderBy(F.length("text").desc()).first().text * 20]
+    got = quality.score(spark.createDataFrame([(i, t) for i, t in enumerate(some)], "n int, text string"), model).collect()
+    for r in got:
+        raw = (r.text or "").encode()
+        x = []
+        for (size, _), pair in zip(quality.SCALES, model.dictionaries):
+            good, bad = (sum(len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False,
+                                                          write_dict_id=False).compress(raw[i:i + size])) for i in range(0, len(raw), size)) for d in pair)
+            x += [(bad - good) / max(len(raw), 1), (bad - good) / max(good, bad, 1), (bad - good) / (len(raw) + 200)]
+        z = [max(-6.0, min(6.0, (v - m) / s)) for v, m, s in zip(x, model.mean, model.scale)]
+        terms = [1.0, *z, *[z[i] * z[j] for i in range(len(z)) for j in range(i, len(z))]]
+        want = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * w for a, w in zip(terms, model.weights))))))
+        assert abs(r.score - want) < 1e-9
+    scores = quality.score(spark.createDataFrame([("the " * 5000,), ("zq9 " * 5000,)], "text string"), model).collect()
+    assert scores[0].score != scores[1].score
+
+
 def test_op10_held_out(spark, docs):
     rows = {r.doc_id: r for r in QUERIES["op10_language"](spark, SF01).collect()}
     lang = {r.doc_id: r.lang for r in docs.collect()}
@@ -117,6 +141,17 @@ CASES = [
 ]
 
 
+@pytest.mark.parametrize("attrs, kept", [
+    ('p class="share-price"', True), ('p class="comment-free"', True), ('div id="search-results"', True), ('div class="login-stats"', True),
+    ('p class="notice-period"', True), ('p class="lead adventure"', True), ('p class="share"', False), ('div class="commentList"', False),
+    ('div class="wide share-buttons"', False), ('div id="related_posts_2"', False), ('div class="col-2 ad-slot"', False), ('div aria-label="Site navigation"', False)])
+def test_op6_names_inside_an_article(attrs, kept):
+    """A class or id marks a section by whole names alone, not by any word in them."""
+    tag = attrs.split()[0]
+    page = f"<article><p>{GOOD}</p><{attrs}>{GOOD}</{tag}><p>{GOOD}</p></article>"
+    assert htmltext.main_text(page) == "\n\n".join([GOOD] * (3 if kept else 2))
+
+
 @pytest.mark.parametrize("page, want", CASES)
 def test_op6_cases(page, want):
     got = htmltext.main_text(page)
