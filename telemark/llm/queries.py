@@ -109,7 +109,7 @@ def op7_shard_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_decontaminate")
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each contaminated document and the benchmark item in it."""
-    return tiling.contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return tiling.contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 @register("op9_jaccard_join", """WITH RECURSIVE w AS (

@@ -8,12 +8,14 @@ running Karp-Rabin finds the longest common stretches; they are marked as
 tiles, longest first, never overlapping, down to ``MIN_MATCH`` words.  Tiles
 may lie in any order, so reordered passages are caught.  A document is
 contaminated by an item when its tiles cover at least ``COVERAGE`` of the
-item's words.
+item's words.  With ``short_items`` an item of fewer than ``MIN_MATCH`` words is
+one seed of its own length and contaminates the documents in which it stands
+whole; the registered query and the pipeline ask for that.
 
 Equal texts share one verdict, keyed by their SHA-256.
 
-Defined results: null and empty texts and items match nothing; an item of
-fewer than ``MIN_MATCH`` words matches nothing; repeated items give one row
+Defined results: null and empty texts and items match nothing, nor do
+items of fewer than ``MIN_MATCH`` words without ``short_items``; repeated items give one row
 each; empty tables give no rows; extra columns are ignored (and kept by
 ``decontaminate``).
 """
@@ -124,12 +126,15 @@ def _bitmap(items: DataFrame, min_match: int, bits: int) -> np.ndarray:
     return C.bitmap(items.mapInArrow(slots, "slot long"), bits)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text_col="text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, bits: int = BITMAP_BITS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text_col="text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, bits: int = BITMAP_BITS, short_items: bool = False) -> DataFrame:
     """``(blob, item_id, n_tiles, covered, coverage)``: the text (by SHA-256) and
     item pairs at or above the threshold."""
     spark = docs.sparkSession
     items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("w"))
-    items = C.written(items.filter(F.size("w") >= min_match), "items")
+    whole = C.written(items.filter(F.size("w") > 0), "items")
+    items, short = whole.filter(F.size("w") >= min_match), whole.filter(F.size("w") < min_match)
+    # fewer than min_match lengths
+    lengths = sorted(r[0] for r in short.select(F.size("w")).distinct().collect()) if short_items else []
     shared = spark.sparkContext.broadcast(_bitmap(items.select("w"), min_match, bits))
 
     def stretches(batches: Iterator[pa.RecordBatch]):
@@ -187,7 +192,46 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="it
             made = [pa.array(out[x], t) for x, t in (("n_tiles", pa.int64()), ("covered", pa.int64()), ("coverage", pa.float64()))]
             yield pa.RecordBatch.from_arrays([b.column("blob"), b.column("item_id"), *made], names=["blob", "item_id", *out])
 
-    return both.mapInArrow(tile, f"blob string, item_id {out_type}, n_tiles long, covered long, coverage double").filter(F.col("coverage") >= coverage)
+    tiled = both.mapInArrow(tile, f"blob string, item_id {out_type}, n_tiles long, covered long, coverage double").filter(F.col("coverage") >= coverage)
+    return tiled.union(_whole(docs, short, lengths, text_col, bits)) if lengths else tiled
+
+
+def _whole(docs: DataFrame, short: DataFrame, lengths: list[int], text_col: str, bits: int) -> DataFrame:
+    """``matches`` for items of these few lengths: the pairs in which the whole item stands."""
+    schema = "seed long, n_words int"
+
+    def runs(b: pa.RecordBatch, n: int):
+        flat, off = _flat(b.column("w"))
+        h, inside = seeds(flat, off, n)
+        at = np.flatnonzero(inside)
+        return h[at], np.searchsorted(off, at, side="right") - 1
+
+    def item_seeds(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            size = np.diff(_flat(b.column("w"))[1])
+            for n in lengths:
+                h, owner = runs(b, n)
+                own = size[owner] == n
+                yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array(np.full(own.sum(), n, np.int32)), b.column("item").take(pa.array(owner[own]))],
+                                                 names=["seed", "n_words", "item"])
+
+    index = C.written(short.select("item", "w").mapInArrow(item_seeds, schema + ", item long"), "short")
+    shared = docs.sparkSession.sparkContext.broadcast(C.bitmap(index.select(F.shiftrightunsigned("seed", 64 - bits).alias("slot")), bits))
+
+    def text_seeds(batches: Iterator[pa.RecordBatch]):
+        bitmap = shared.value
+        for b in batches:
+            for n in lengths:
+                h, owner = runs(b, n)
+                hit = C.probe(bitmap, h >> np.uint64(64 - bits))
+                each = pa.table({"seed": h[hit].view(np.int64), "owner": owner[hit]}).group_by(["seed", "owner"]).aggregate([])
+                yield pa.RecordBatch.from_arrays([each.column("seed").combine_chunks(), pa.array(np.full(each.num_rows, n, np.int32)),
+                                                  b.column("blob").take(each.column("owner").combine_chunks())], names=["seed", "n_words", "blob"])
+
+    texts = docs.select(F.sha2(F.col(text_col), 256).alias("blob"), words(F.col(text_col)).alias("w")).filter(F.size("w") >= lengths[0])
+    pairs = texts.mapInArrow(text_seeds, schema + ", blob string").join(index, ["seed", "n_words"]).select("blob", "item", "n_words").distinct()
+    return pairs.join(short.select("item", "item_id"), "item").select(
+        "blob", "item_id", F.lit(1).cast("long").alias("n_tiles"), F.col("n_words").cast("long").alias("covered"), F.lit(1.0).alias("coverage"))
 
 
 def _groups(sorted_ids: np.ndarray) -> tuple[list[int], list[int]]:

@@ -202,3 +202,36 @@ def test_repetitive_texts_are_like_near_copies(text):
     a, b, other = phrases.fingerprints([text, text + "y", "The mayor opened a bridge over the river. " * 20])
     assert phrases.likeness(a, b) >= 0.4
     assert phrases.likeness(a, other) == 0.0
+
+
+def test_one_rule_for_all_lengths():
+    """Whether level 1 is kept hangs on the names of level 2 alone, so near copies on both sides of 256 bytes compare."""
+    rnd = random.Random(9)
+    base = " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(60))
+    for n in (100, 200, 253, 300, 400):
+        a, b = phrases.fingerprints([base[:n], base[:n] + "zyx"])
+        assert phrases.likeness(a, b) >= 0.5
+        for f in (a, b):
+            one, two, _ = f.split(".")
+            assert bool(one) == (len(two) < 8 * phrases.ENOUGH[1])
+
+
+def test_op8_short_items(spark, edge):
+    """Items under five words are found whole, as words and in order, by brute force."""
+    bench = spark.createDataFrame([(1, "too few words"), (2, "alpha"), (3, ""), (4, None), (5, "two words"), (5, "two words"), (6, ITEM), (7, "a b a b")], "item_id int, text string")
+    texts = [(40, "Too FEW, words!"), (41, "too few other words"), (42, "alphabet"), (43, "x alpha y alpha"), (44, "words two words"), (45, ITEM), (46, "b a b a b"), (47, "two"), (48, "few words too")]
+    docs = edge.select("doc_id", "text").union(spark.createDataFrame([*texts, (46, "b a b a b")], "doc_id long, text string"))
+    want = []
+    for i, t in [(r.item_id, r.text) for r in bench.collect()]:
+        p = _tok(t)
+        for d, text in [tuple(r) for r in docs.collect()]:
+            w = _tok(text)
+            if p and any(w[j:j + len(p)] == p for j in range(len(w) - len(p) + 1)):
+                want.append((d, i, len(p), 1.0))
+    rows = tiling.contaminated(docs, bench, short_items=True).collect()
+    assert sorted((r.doc_id, r.item_id, r.covered, r.coverage) for r in rows) == sorted(want)
+    assert {(40, 1), (43, 2), (44, 5), (45, 6), (46, 7)} <= {(r.doc_id, r.item_id) for r in rows}
+    kept = {r.doc_id for r in tiling.decontaminate(docs, bench, short_items=True).collect()}
+    assert kept >= {41, 42, 47, 48} and not kept & {40, 43, 44, 45, 46}
+    assert tiling.contaminated(docs.limit(0), bench, short_items=True).count() == 0
+    assert tiling.contaminated(docs, bench.limit(0), short_items=True).count() == 0
