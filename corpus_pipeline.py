@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tiling.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return tiling.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short_items=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
