@@ -31,6 +31,7 @@ HEURISTIC_WEIGHT = 0.55
 COSINE_WEIGHT = 0.45
 DEFAULT_K = 4
 MAX_K = 12
+NEAR = 2            # edits between near tokens, in the older heuristic
 
 BLOCK = 1024        # questions, and examples, whose vectors meet in one task
 SLICE = 64          # questions of a task whose scores are held at a time
@@ -230,6 +231,79 @@ def hybrid_topk(questions: DataFrame, examples: DataFrame, *, q_id: str, q_text:
 INDEX_SCHEMA_VERSION = 1
 
 
+def _any_tokens(low: Column) -> Column:
+    """Distinct tokens of a lower-cased text, those of one character too."""
+    return F.array_distinct(F.filter(F.split(low, "[^a-z0-9]+"), lambda t: t != ""))
+
+
+def near_tokens(left: DataFrame, right: DataFrame, most: int = NEAR) -> DataFrame:
+    """``(tok, near)``: distinct tokens of ``left`` and ``right`` (column ``tok``)
+    at most ``most`` edits apart.  A token of ``right`` is cut into ``most + 1``
+    pieces, of which one must stand unchanged in any near token, moved by
+    ``most`` places at most; tokens meet on these pieces, so the number of keys
+    does not grow with a token's length, and the distance is then taken."""
+    cut = lambda n, j: F.expr(f"({n}) * ({j}) div {most + 1}")
+    own = right.select(F.col("tok").alias("near")).distinct().select("near", F.length("near").alias("n"))
+    pieces = [F.struct(F.col("n"), F.lit(j).alias("j"), F.substr("near", cut("n", j) + 1, cut("n", j + 1) - cut("n", j)).alias("piece")) for j in range(most + 1)]
+    own = own.select("near", F.explode(F.array(*pieces)).alias("key")).select("near", "key.*")
+    other = left.select("tok").distinct().withColumn("n", F.explode(F.sequence(F.greatest(F.length("tok") - most, F.lit(1)), F.length("tok") + most)))
+    other = other.select("tok", "n", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("j"))
+    other = other.select("tok", "n", "j", cut("n", "j").cast("int").alias("lo"), cut("n", "j + 1").cast("int").alias("hi"))
+    start = F.explode(F.sequence(F.greatest(F.col("lo") - most, F.lit(0)), F.col("lo") + most)).alias("at")
+    other = other.select("tok", "n", "j", "lo", "hi", start).select("tok", "n", "j", F.substr("tok", F.col("at") + 1, F.col("hi") - F.col("lo")).alias("piece"))
+    met = other.distinct().join(own, ["n", "j", "piece"]).select("tok", "near").distinct()
+    return met.filter(F.levenshtein("tok", "near", most) >= 0)
+
+
+def legacy_topk(questions: DataFrame, examples: DataFrame, *, q_id: str, q_text: str, e_id: str, e_text: str, k: int = DEFAULT_K) -> DataFrame:
+    """T-5 in its older form, without vectors: ``(q_id, rank, e_id, heuristic)``,
+    each question's ``k`` best examples, ties by ``e_id``.
+
+    +10 where either text contains the other, + shared tokens, +1 where some
+    token of the question is within two edits of one of the example, +2 for
+    workload or latency in both, +2 for pod or pods in both.  Null texts are empty.
+
+    Pairs are made where texts share a token or contain each other.  All others
+    score 1 or 0, and only the least ids can be among the best ``k``: of each
+    token's examples, and of all, the first ``2 * k`` are enough, since less
+    than ``k`` others can stand before them.
+    """
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    q = questions.select(F.col(q_id).alias("qid"), low(q_text).alias("qlow")).withColumns({"qtok": tokens("qlow"), "qany": _any_tokens(F.col("qlow"))})
+    ex = examples.select(F.col(e_id).alias("eid"), low(e_text).alias("elow")).withColumns({"etok": tokens("elow"), "eany": _any_tokens(F.col("elow"))})
+    pods = F.array(F.lit("pod"), F.lit("pods"))
+    marked = lambda tok: F.when(F.arrays_overlap(tok, pods), F.concat(tok, F.array(F.lit(POD)))).otherwise(tok)
+    asked = q.select("qid", F.explode(marked(F.col("qany"))).alias("tok"))
+    postings = ex.select("eid", F.explode(marked(F.col("eany"))).alias("tok"))
+
+    one = lambda cond: F.max(F.when(cond, 1).otherwise(0))
+    shared = asked.join(postings, "tok").groupBy("qid", "eid").agg(
+        F.count_if(F.col("tok") != POD).alias("n"), one(F.col("tok") == POD).alias("pod"), one(F.col("tok").isin("workload", "latency")).alias("pair"))
+    # pod and pods are near each other, as equal tokens are
+    shared = shared.select("qid", "eid", (F.col("n") + 1 + PAIR_BONUS * (F.col("pod") + F.col("pair"))).alias("h"), F.lit(0).alias("contain"))
+
+    turned = _contained(ex.select(F.col("eid").alias("qid"), F.col("elow").alias("qlow"), F.col("etok").alias("qtok")),
+                        q.select(F.col("qid").alias("eid"), F.col("qlow").alias("elow")))
+    inside = _contained(q, ex).union(turned.select(F.col("eid").alias("qid"), F.col("qid").alias("eid"))).distinct()
+    close = F.exists("qany", lambda a: F.exists("eany", lambda b: F.levenshtein(a, b, NEAR) >= 0))
+    # a contained pair's own near token counts where it shares none
+    inside = (inside.join(q.select("qid", "qany"), "qid").join(ex.select("eid", "eany"), "eid")
+              .select("qid", "eid", close.cast("long").alias("h"), F.lit(CONTAIN_BONUS).alias("contain")))
+    scored = shared.union(inside).groupBy("qid", "eid").agg((F.max("h") + F.max("contain")).alias("h"))
+
+    by_id = Window.partitionBy("tok").orderBy("eid")
+    first = postings.filter(F.col("tok") != POD).withColumn("r", F.row_number().over(by_id)).filter(F.col("r") <= 2 * k)
+    words = asked.filter(F.col("tok") != POD)
+    near = near_tokens(words, first.select("tok"))
+    ones = words.join(near, "tok").select("qid", F.col("near").alias("tok")).distinct().join(first, "tok").select("qid", "eid", F.lit(1).alias("h"))
+    least = ex.select("eid").orderBy("eid").limit(2 * k).agg(F.array_sort(F.collect_list("eid"))).scalar()
+    none = q.select("qid", F.explode(least).alias("eid"), F.lit(0).alias("h"))
+
+    best = scored.union(ones).union(none).groupBy("qid", "eid").agg(F.max("h").alias("h"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("h"), "eid"))).filter(F.col("rank") <= k)
+    return ranked.select(F.col("qid").alias(q_id), "rank", F.col("eid").alias(e_id), F.col("h").cast("long").alias("heuristic"))
+
+
 def row_hash(*cols) -> Column:
     """60-bit integer from the SHA-256 of the joined fields (order-aware via the id)."""
     joined = F.concat_ws("||", *[F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit("")) for c in cols])

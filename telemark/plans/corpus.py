@@ -35,6 +35,12 @@ def hybrid_topk_q(documents: DataFrame, benchmark: DataFrame, embeddings: DataFr
                       F.col("heuristic").cast("bigint").alias("heuristic"), F.round("cosine", 6).alias("cosine"))
 
 
+def legacy_topk_q(conversations: DataFrame, benchmark: DataFrame, k: int = 4) -> DataFrame:
+    """T-5 older heuristic without vectors: items for each different prompt."""
+    prompts = _user_turns(conversations).groupBy(F.sha2("text", 256).alias("prompt")).agg(F.min("text").alias("text"))
+    return RT.legacy_topk(prompts, benchmark, q_id="prompt", q_text="text", e_id="item_id", e_text="text", k=k)
+
+
 def index_rows_q(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
     vec = embeddings.select("vec_id", "embedding")
     docs = documents.join(vec, documents.doc_id == vec.vec_id, "left")
@@ -153,6 +159,34 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid_topk_q(t.documents, t.benchmark, t.embeddings)
 
 
+_ANY_TOK = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^a-z0-9]+'), lambda x: x <> ''))"
+
+
+@register("legacy_topk", f"""
+WITH q AS (SELECT sha256(text) AS prompt, lower(min(text)) AS qlow, {_ANY_TOK.format('min(text)')} AS qtok
+           FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY sha256(text)),
+e AS (SELECT item_id, lower(coalesce(text, '')) AS elow, {_ANY_TOK.format('text')} AS etok FROM benchmark),
+qt AS (SELECT prompt, unnest(qtok) AS a FROM q),
+et AS (SELECT item_id, unnest(etok) AS b FROM e),
+near AS (SELECT a, b FROM (SELECT DISTINCT a FROM qt), (SELECT DISTINCT b FROM et)
+         WHERE abs(length(a) - length(b)) <= 2 AND levenshtein(a, b) <= 2),
+close AS (SELECT DISTINCT prompt, item_id FROM qt JOIN near USING (a) JOIN et USING (b)),
+p AS (SELECT q.prompt, e.item_id,
+             CASE WHEN strpos(qlow, elow) > 0 OR strpos(elow, qlow) > 0 THEN 10 ELSE 0 END + len(list_intersect(qtok, etok))
+             + CASE WHEN c.prompt IS NOT NULL THEN 1 ELSE 0 END
+             + CASE WHEN ({_has('etok', 'workload')} AND {_has('qtok', 'workload')})
+                      OR ({_has('etok', 'latency')} AND {_has('qtok', 'latency')}) THEN 2 ELSE 0 END
+             + CASE WHEN ({_has('etok', 'pod')} OR {_has('etok', 'pods')})
+                     AND ({_has('qtok', 'pod')} OR {_has('qtok', 'pods')}) THEN 2 ELSE 0 END AS h
+      FROM q CROSS JOIN e LEFT JOIN close c ON c.prompt = q.prompt AND c.item_id = e.item_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY h DESC, item_id) AS rank FROM p)
+SELECT prompt, CAST(rank AS INTEGER) AS rank, item_id, CAST(h AS BIGINT) AS heuristic FROM r WHERE rank <= 4
+""")
+def legacy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return legacy_topk_q(t.conversations, t.benchmark)
+
+
 def _row_hash_sql(alias: str = "") -> str:
     return (f"CAST(('0x' || left(sha256(concat_ws('||', CAST({alias}doc_id AS VARCHAR), coalesce(trim({alias}text), ''), "
             f"coalesce(trim({alias}source), ''))), 15)) AS BIGINT)")
