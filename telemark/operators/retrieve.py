@@ -249,9 +249,10 @@ def near_tokens(left: DataFrame, right: DataFrame, most: int = NEAR) -> DataFram
     other = left.select("tok").distinct().withColumn("n", F.explode(F.sequence(F.greatest(F.length("tok") - most, F.lit(1)), F.length("tok") + most)))
     other = other.select("tok", "n", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("j"))
     other = other.select("tok", "n", "j", cut("n", "j").cast("int").alias("lo"), cut("n", "j + 1").cast("int").alias("hi"))
-    start = F.explode(F.sequence(F.greatest(F.col("lo") - most, F.lit(0)), F.col("lo") + most)).alias("at")
-    other = other.select("tok", "n", "j", "lo", "hi", start).select("tok", "n", "j", F.substr("tok", F.col("at") + 1, F.col("hi") - F.col("lo")).alias("piece"))
-    met = other.distinct().join(own, ["n", "j", "piece"]).select("tok", "near").distinct()
+    starts = F.sequence(F.greatest(F.col("lo") - most, F.lit(0)), F.col("lo") + most)
+    pieces = F.array_distinct(F.transform(starts, lambda at: F.substr(F.col("tok"), at + 1, F.col("hi") - F.col("lo"))))
+    other = other.select("tok", "n", "j", F.explode(pieces).alias("piece"))
+    met = other.join(own, ["n", "j", "piece"]).select("tok", "near").distinct()
     return met.filter(F.levenshtein("tok", "near", most) >= 0)
 
 
@@ -263,45 +264,54 @@ def legacy_topk(questions: DataFrame, examples: DataFrame, *, q_id: str, q_text:
     token of the question is within two edits of one of the example, +2 for
     workload or latency in both, +2 for pod or pods in both.  Null texts are empty.
 
-    Pairs are made where texts share a token or contain each other.  All others
-    score 1 or 0, and only the least ids can be among the best ``k``: of each
-    token's examples, and of all, the first ``2 * k`` are enough, since less
-    than ``k`` others can stand before them.
+    Pairs are made where texts share a token, and a question's best ``k`` of
+    them are kept beside those where one text contains the other, which are
+    scored on the texts.  All others score 1 or 0, and only the least ids can be
+    among the best ``k``: of the examples near each of a question's tokens, and
+    of all, the first ``k`` are enough, since less than ``k`` others can stand
+    before them.  So no more than a few rows a question and token are shuffled.
     """
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     q = questions.select(F.col(q_id).alias("qid"), low(q_text).alias("qlow")).withColumns({"qtok": tokens("qlow"), "qany": _any_tokens(F.col("qlow"))})
     ex = examples.select(F.col(e_id).alias("eid"), low(e_text).alias("elow")).withColumns({"etok": tokens("elow"), "eany": _any_tokens(F.col("elow"))})
-    pods = F.array(F.lit("pod"), F.lit("pods"))
+    pods, pair = (F.array(*map(F.lit, x)) for x in (("pod", "pods"), ("workload", "latency")))
     marked = lambda tok: F.when(F.arrays_overlap(tok, pods), F.concat(tok, F.array(F.lit(POD)))).otherwise(tok)
     asked = q.select("qid", F.explode(marked(F.col("qany"))).alias("tok"))
     postings = ex.select("eid", F.explode(marked(F.col("eany"))).alias("tok"))
+    # pod and pods are near each other, as equal tokens are
+    score = lambda n, pod, two: (n + 1 + PAIR_BONUS * (pod + two)).cast("long")
 
     one = lambda cond: F.max(F.when(cond, 1).otherwise(0))
     shared = asked.join(postings, "tok").groupBy("qid", "eid").agg(
-        F.count_if(F.col("tok") != POD).alias("n"), one(F.col("tok") == POD).alias("pod"), one(F.col("tok").isin("workload", "latency")).alias("pair"))
-    # pod and pods are near each other, as equal tokens are
-    shared = shared.select("qid", "eid", (F.col("n") + 1 + PAIR_BONUS * (F.col("pod") + F.col("pair"))).alias("h"), F.lit(0).alias("contain"))
+        score(F.count_if(F.col("tok") != POD), one(F.col("tok") == POD), one(F.col("tok").isin("workload", "latency"))).alias("h"))
+    by_score = Window.partitionBy("qid").orderBy(F.desc("h"), "eid")
+    shared = shared.withColumn("r", F.row_number().over(by_score)).filter(F.col("r") <= k).drop("r")
 
     turned = _contained(ex.select(F.col("eid").alias("qid"), F.col("elow").alias("qlow"), F.col("etok").alias("qtok")),
                         q.select(F.col("qid").alias("eid"), F.col("qlow").alias("elow")))
     inside = _contained(q, ex).union(turned.select(F.col("eid").alias("qid"), F.col("qid").alias("eid"))).distinct()
+    both = F.array_intersect("qany", "eany")
     close = F.exists("qany", lambda a: F.exists("eany", lambda b: F.levenshtein(a, b, NEAR) >= 0))
     # a contained pair's own near token counts where it shares none
-    inside = (inside.join(q.select("qid", "qany"), "qid").join(ex.select("eid", "eany"), "eid")
-              .select("qid", "eid", close.cast("long").alias("h"), F.lit(CONTAIN_BONUS).alias("contain")))
-    scored = shared.union(inside).groupBy("qid", "eid").agg((F.max("h") + F.max("contain")).alias("h"))
+    inside = (inside.join(q.select("qid", "qany"), "qid").join(ex.select("eid", "eany"), "eid").groupBy("qid", "eid")
+              .agg(F.sum(F.size(both)).alias("n"), one(F.arrays_overlap("qany", pods) & F.arrays_overlap("eany", pods)).alias("pod"),
+                   one(F.arrays_overlap(both, pair)).alias("pair"), one(close).alias("close")))
+    h = F.when((F.col("n") > 0) | (F.col("pod") > 0), score(F.col("n"), F.col("pod"), F.col("pair"))).otherwise(F.col("close"))
+    inside = inside.select("qid", "eid", (h + CONTAIN_BONUS).alias("h"))
 
-    by_id = Window.partitionBy("tok").orderBy("eid")
-    first = postings.filter(F.col("tok") != POD).withColumn("r", F.row_number().over(by_id)).filter(F.col("r") <= 2 * k)
+    first = lambda df: df.withColumn("r", F.dense_rank().over(Window.partitionBy("tok").orderBy("eid"))).filter(F.col("r") <= k).select("tok", "eid").distinct()
     words = asked.filter(F.col("tok") != POD)
-    near = near_tokens(words, first.select("tok"))
-    ones = words.join(near, "tok").select("qid", F.col("near").alias("tok")).distinct().join(first, "tok").select("qid", "eid", F.lit(1).alias("h"))
-    least = ex.select("eid").orderBy("eid").limit(2 * k).agg(F.array_sort(F.collect_list("eid"))).scalar()
-    none = q.select("qid", F.explode(least).alias("eid"), F.lit(0).alias("h"))
-
-    best = scored.union(ones).union(none).groupBy("qid", "eid").agg(F.max("h").alias("h"))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("h"), "eid"))).filter(F.col("rank") <= k)
-    return ranked.select(F.col("qid").alias(q_id), "rank", F.col("eid").alias(e_id), F.col("h").cast("long").alias("heuristic"))
+    kept = first(postings.filter(F.col("tok") != POD))
+    near = near_tokens(words, kept.select("tok")).join(kept.select(F.col("tok").alias("near"), "eid"), "near").select("tok", "eid")
+    near = first(near).groupBy("tok").agg(F.collect_list(F.struct("eid")).alias("ids"))
+    ids = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k)
+    ones = words.join(near, "tok").groupBy("qid").agg(ids.alias("ids")).select("qid", F.explode("ids").alias("e")).select("qid", "e.eid", F.lit(1).cast("long").alias("h"))
+    least = ex.select("eid").distinct().orderBy("eid").limit(k).agg(F.array_sort(F.collect_list("eid"))).scalar()
+    none = q.select("qid", F.explode(least).alias("eid"), F.lit(0).cast("long").alias("h"))
+
+    best = shared.union(inside).union(ones).union(none).groupBy("qid", "eid").agg(F.max("h").alias("h"))
+    ranked = best.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+    return ranked.select(F.col("qid").alias(q_id), "rank", F.col("eid").alias(e_id), F.col("h").alias("heuristic"))
 
 
 def row_hash(*cols) -> Column:

@@ -60,3 +60,30 @@ def test_legacy_topk_empty(spark):
     q, e = spark.createDataFrame([(1, "a")], "q int, t string"), spark.createDataFrame([(2, "a")], "e int, t string")
     run = lambda a, b: RT.legacy_topk(a, b, q_id="q", q_text="t", e_id="e", e_text="t").count()
     assert run(q, e) == 1 and run(q.filter(F.lit(False)), e) == 0 and run(q, e.filter(F.lit(False))) == 0
+
+
+def shuffled_rows(df) -> int:
+    """Rows that all exchanges of a finished query wrote."""
+    df.collect()
+
+    def rows(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return rows(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return rows(node.plan())
+        own = node.metrics().get("shuffleRecordsWritten").get().value() if name == "ShuffleExchangeExec" else 0
+        below = node.children()
+        return own + sum(rows(below.apply(i)) for i in range(below.size()))
+    return rows(df._jdf.queryExecution().executedPlan())
+
+
+def test_legacy_topk_near_tokens_make_no_pairs(spark):
+    """Each token of 300 questions is near each token of 60 examples: no row for each such pair."""
+    rnd = random.Random(5)
+    left, right = ([a + b for a in x for b in "0123456789"] for x in ("abcd", "efgh"))
+    asked = [(i, " ".join(rnd.sample(left, 20))) for i in range(300)]
+    examples = [(i, " ".join(rnd.sample(right, 20))) for i in range(60)]
+    got = RT.legacy_topk(spark.createDataFrame(asked, "q int, t string"), spark.createDataFrame(examples, "e int, t string"), q_id="q", q_text="t", e_id="e", e_text="t")
+    assert shuffled_rows(got) < 50 * len(asked)
+    assert sorted(map(tuple, got.collect())) == [(q, r, r - 1, 1) for q in range(300) for r in range(1, 5)]
