@@ -107,36 +107,52 @@ def _grams(low: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), *map(runs, range(1, GRAM + 1))))
 
 
-def _contained(q: DataFrame, ex: DataFrame) -> DataFrame:
-    """``(qid, eid)`` of the examples whose text stands in a question's."""
+def _containment_keys(ex: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(eid, tok)`` of the examples with inner tokens, the rarest of them; and
+    ``(eid, gram)`` of the others, of one or two tokens that may stand inside
+    others: found by their first characters."""
     inner = ex.select("eid", "elow", _inner_tokens(F.col("elow")).alias("inner"))
     each = inner.select("eid", F.explode("inner").alias("tok"))
     often = each.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     keys = each.join(often, "tok").groupBy("eid").agg(F.min(F.struct("df", "tok")).alias("m")).select("eid", F.col("m.tok").alias("tok"))
-    met = q.select("qid", F.explode_outer("qtok").alias("tok")).join(keys, "tok").select("qid", "eid")
-    # an example of one or two tokens may stand inside others: found by its first characters
-    short = inner.filter(F.size("inner") == 0).select("eid", F.substr("elow", F.lit(1), F.lit(GRAM)).alias("gram"))
+    return keys, inner.filter(F.size("inner") == 0).select("eid", F.substr("elow", F.lit(1), F.lit(GRAM)).alias("gram"))
+
+
+def _standing(met: DataFrame, short: DataFrame, q: DataFrame, ex: DataFrame) -> DataFrame:
+    """``(qid, eid)`` of the pairs, met by a key or by a short example's first
+    characters, in which the example's text stands in the question's."""
     any_short = short.select(F.count(F.lit(1))).scalar() > 0
     grams = q.select("qid", F.explode_outer(F.when(any_short, _grams(F.col("qlow"))).otherwise(F.array().cast("array<string>"))).alias("gram"))
     met = met.union(grams.join(short, "gram").select("qid", "eid")).distinct()
-    texts = met.join(ex.select("eid", "elow"), "eid").join(q.select("qid", "qlow"), "qid")
-    return texts.filter(F.instr("qlow", F.col("elow")) > 0).select("qid", "eid")
+    # joins that ask nothing of a null key leave the plans below as they are elsewhere, so that their shuffles are used again
+    example, asked = ex.select(F.col("eid").alias("eid_"), "elow"), q.select(F.col("qid").alias("qid_"), "qlow")
+    texts = met.join(example, F.col("eid").eqNullSafe(F.col("eid_"))).join(asked, F.col("qid").eqNullSafe(F.col("qid_")))
+    stands = F.when(F.col("qid").isNull() | F.col("eid").isNull(), False).otherwise(F.instr("qlow", F.col("elow")) > 0)
+    return texts.filter(stands).select("qid", "eid")
+
+
+def _contained(q: DataFrame, ex: DataFrame) -> DataFrame:
+    """``(qid, eid)`` of the examples whose text stands in a question's."""
+    keys, short = _containment_keys(ex)
+    met = q.select("qid", F.explode_outer("qtok").alias("tok")).join(keys, "tok").select("qid", "eid")
+    return _standing(met, short, q, ex)
 
 
 def heuristic_pairs(q: DataFrame, ex: DataFrame) -> DataFrame:
     """T-5 ``(qid, eid, h)`` of all pairs whose heuristic is not 0."""
     pod = lambda tok: F.when(F.arrays_overlap(tok, F.array(F.lit("pod"), F.lit("pods"))), F.concat(tok, F.array(F.lit(POD)))).otherwise(tok)
     postings = ex.select("eid", F.explode(pod(F.col("etok"))).alias("tok"))
-    # one number a row: shared tokens count 1, the three bonuses stand in digits above
+    # one number a row: shared tokens count 1, the bonuses and the key of containment stand in digits above
     kind = F.when(F.col("tok") == POD, _POD).when(F.col("tok").isin("workload", "latency"), _PAIR + 1).otherwise(1)
-    postings = postings.select("tok", "eid", kind.alias("n"))
+    keys, short = _containment_keys(ex)
+    postings = postings.select("tok", "eid", kind.cast("long").alias("n")).union(keys.select("tok", "eid", F.lit(_CONTAIN).cast("long")))
     shared = q.select("qid", F.explode_outer(pod(F.col("qtok"))).alias("tok")).join(postings, "tok").select("qid", "eid", "n")
     shared = shared.groupBy("qid", "eid").agg(F.sum("n").cast("long").alias("n"))
-    both = shared.union(_contained(q, ex).select("qid", "eid", F.lit(_CONTAIN).cast("long")))
-    n = F.sum("n")
-    bonus = lambda unit, worth: F.when(F.floor(n / unit) % 1000 > 0, worth).otherwise(0)
-    h = n % _PAIR + bonus(_PAIR, PAIR_BONUS) + bonus(_POD, PAIR_BONUS) + bonus(_CONTAIN, CONTAIN_BONUS)
-    return both.groupBy("qid", "eid").agg(h.cast("long").alias("h"))
+    stands = _standing(shared.filter(F.col("n") >= _CONTAIN).select("qid", "eid"), short, q, ex).distinct().withColumn("stands", F.lit(CONTAIN_BONUS))
+    n = F.coalesce(F.col("n"), F.lit(0))
+    bonus = lambda unit: F.when(F.floor(n / unit) % 1000 > 0, PAIR_BONUS).otherwise(0)
+    h = n % _PAIR + bonus(_PAIR) + bonus(_POD) + F.coalesce("stands", F.lit(0))
+    return shared.join(stands, ["qid", "eid"], "full_outer").select("qid", "eid", h.cast("long").alias("h"))
 
 
 def _best_of_block(k: int, id_type: pa.DataType, e_type: pa.DataType):

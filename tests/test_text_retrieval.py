@@ -123,6 +123,16 @@ def test_hybrid_topk_plan(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "FlatMapGroupsInArrow" in plan
 
 
+def test_heuristic_pairs_are_summed_once(spark):
+    """Containment is joined to the summed pairs, which are not summed (and shuffled) again with it."""
+    import re
+    q = spark.createDataFrame([(1, "a pod is b", ["pod", "is"])], "qid int, qlow string, qtok array<string>")
+    e = spark.createDataFrame([(2, "pod is", ["pod", "is"])], "eid int, elow string, etok array<string>")
+    pairs = RT.heuristic_pairs(q, e)
+    assert not re.search(r"Aggregate \[qid#\d+, eid#\d+\], [^\n]*sum[^\n]*\n[^\n]*Union", pairs._jdf.queryExecution().optimizedPlan().toString())
+    assert [tuple(r) for r in pairs.collect()] == [(1, 2, 14)]
+
+
 def test_index_header_and_dirty(spark):
     rows = spark.createDataFrame([("d1", 1, "q1", "k1"), ("d1", 2, "q2", "k2"), ("d2", 3, "q3", "k3")],
                                  "domain string, id int, q string, k string")
