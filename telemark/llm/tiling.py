@@ -34,6 +34,7 @@ from telemark.llm import common as C
 
 MIN_MATCH = 5
 COVERAGE = 0.5
+SLICE = 256             # texts whose words are looked at together
 BITMAP_BITS = 26        # the bitmap takes 2 ** 26 bits, whatever the benchmark's size
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,9 +117,16 @@ def greedy_tiles(pattern: list[int], text: list[int], least: int) -> list[tuple[
         s = max(least, s // 2)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few texts, so that a task's arrays over all their words stay small."""
+    for b in batches:
+        for lo in range(0, b.num_rows, SLICE):
+            yield b.slice(lo, SLICE)
+
+
 def _bitmap(items: DataFrame, min_match: int, bits: int) -> np.ndarray:
     def slots(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in _slices(batches):
             flat, off = _flat(b.column("w"))
             h, inside = seeds(flat, off, min_match)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(h[inside] >> np.uint64(64 - bits)).astype(np.int64))], names=["slot"])
@@ -139,7 +147,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="it
 
     def stretches(batches: Iterator[pa.RecordBatch]):
         bitmap = shared.value
-        for b in batches:
+        for b in _slices(batches):
             flat, off = _flat(b.column("w"))
             h, inside = seeds(flat, off, min_match)
             slot = h >> np.uint64(64 - bits)
@@ -161,7 +169,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="it
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("blob", pa.string()), ("seeds", pa.list_(pa.int64())), ("w", pa.list_(pa.int64()))]))
 
     def item_seeds(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in _slices(batches):
             flat, off = _flat(b.column("w"))
             h, inside = seeds(flat, off, min_match)
             at = np.flatnonzero(inside)
@@ -207,7 +215,7 @@ def _whole(docs: DataFrame, short: DataFrame, lengths: list[int], text_col: str,
         return h[at], np.searchsorted(off, at, side="right") - 1
 
     def item_seeds(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in _slices(batches):
             size = np.diff(_flat(b.column("w"))[1])
             for n in lengths:
                 h, owner = runs(b, n)
@@ -220,7 +228,7 @@ def _whole(docs: DataFrame, short: DataFrame, lengths: list[int], text_col: str,
 
     def text_seeds(batches: Iterator[pa.RecordBatch]):
         bitmap = shared.value
-        for b in batches:
+        for b in _slices(batches):
             for n in lengths:
                 h, owner = runs(b, n)
                 hit = C.probe(bitmap, h >> np.uint64(64 - bits))

@@ -235,3 +235,23 @@ def test_op8_short_items(spark, edge):
     assert kept >= {41, 42, 47, 48} and not kept & {40, 43, 44, 45, 46}
     assert tiling.contaminated(docs.limit(0), bench, short_items=True).count() == 0
     assert tiling.contaminated(docs, bench.limit(0), short_items=True).count() == 0
+
+
+def test_words_are_looked_at_in_slices(monkeypatch):
+    """A batch of many texts does not become arrays over all its words at once."""
+    import pyarrow as pa
+
+    class Items:
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    n = 5 * tiling.SLICE + 3
+    flat = np.arange(10 * n)
+    batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, 10 * n + 1, 10), pa.int32()), pa.array(flat))], names=["w"])
+    most, seen, seeds = [], [], tiling.seeds
+    monkeypatch.setattr(tiling, "seeds", lambda flat, offsets, k: most.append(len(offsets) - 1) or seeds(flat, offsets, k))
+    monkeypatch.setattr(tiling.C, "bitmap", lambda slots, bits: seen.extend(x for b in slots.run([batch]) for x in b.column("slot").to_pylist()))
+    tiling._bitmap(Items(), 5, 26)
+    h, inside = seeds(flat, np.arange(0, 10 * n + 1, 10), 5)
+    assert set(seen) == set((h[inside] >> np.uint64(38)).tolist()) and max(most) <= tiling.SLICE and sum(most) == n
