@@ -240,9 +240,15 @@ def _level(chunks: DataFrame, n: int, below: DataFrame | None, least: int, bits:
         size = 0
         bits_of = shared.value if shared is not None else None
         for b in batches:
-            for lo in range(0, b.num_rows, 4096):
-                held.append(b.slice(lo, 4096))
-                size += pc.sum(pc.binary_length(held[-1].column("chunk"))).as_py() or 0
+            # cut by bytes, since one chunk may be a thousand words long
+            ends = np.cumsum(pc.binary_length(b.column("chunk")).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < b.num_rows:
+                before = int(ends[lo - 1]) if lo else 0
+                hi = max(int(np.searchsorted(ends, before + HELD_WORDS * 6 - size, side="left")) + 1, lo + 1)
+                held.append(b.slice(lo, hi - lo))
+                lo = min(hi, b.num_rows)
+                size += int(ends[lo - 1]) - before
                 if size >= HELD_WORDS * 6:
                     yield _grams(pa.Table.from_batches(held), n, bits_of, bits)
                     held, size = [], 0

@@ -233,3 +233,31 @@ def test_equal_passages_give_equal_chunks():
     texts = [" ".join(f"a{i}" for i in range(k)) + " " + " ".join(passage) for k in (0, 5, 33)]
     sets = [set(next(iter(K._parse(iter([pa.RecordBatch.from_pydict({"part": ["x"], "text": [t]})])))).column("chunk").to_pylist()) for t in texts]
     assert len(sets[0] & sets[1] & sets[2]) >= 0.8 * len(sets[0])
+
+
+def test_long_chunks_are_counted_few_at_a_time(spark, monkeypatch):
+    """Words counted together are bounded by bytes, whatever a chunk's length; none is left out or counted twice."""
+    class Chunks:
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+    monkeypatch.setattr(K, "HELD_WORDS", 1000)
+    monkeypatch.setattr(K.C, "written", lambda df, name: df)
+    sizes, grams = [], K._grams
+    monkeypatch.setattr(K, "_grams", lambda t, *a: sizes.append(sum(map(len, t.column("chunk").to_pylist()))) or grams(t, *a))
+    chunk = [b" ".join([b"w%d" % (i % 7)] * n) for i, n in enumerate([1000] * 40 + [1] * 500 + [5000] + [3] * 50)]
+    n = len(chunk)
+    batches = [pa.RecordBatch.from_pydict({"part": ["en"] * n, "chunk": pa.array(chunk, pa.binary()), "open": [False] * n, "weight": [2] * n})] * 2
+    chunks = Chunks()
+    K._level(chunks, 1, None, 1, 10)
+    got = Counter()
+    for b in chunks.run(batches):
+        for phrase, f in zip(b.column("phrase").to_pylist(), b.column("f").to_pylist()):
+            got[phrase] += f
+    want = Counter(w.decode() for c in chunk for w in c.split())
+    assert got == Counter({w: 4 * f for w, f in want.items()}) + Counter({None: 4 * want.total()})
+    assert max(sizes) <= 6000 + max(map(len, chunk)) and sum(sizes) == 2 * sum(map(len, chunk))
