@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 16
+#: Bytes of rows that a task hands to Python at once.
+BATCH_BYTES = 1 << 21
 #: A word: a run of anything but ASCII space and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -56,6 +58,15 @@ def spent(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on tasks hand rows to Python in batches of ``BATCH_BYTES``.  By
+    default a batch ends at 10,000 rows, which for texts or their words are tens
+    of megabytes, and a task holds it several times: as Arrow vectors and as a
+    stream, both outside the heap, and again in the Python worker.  Neither
+    gives all of that back to the system later."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -346,6 +346,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, text_col:
 def linked(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``(id, n_shingles, component)`` for every row of ``docs``: the size of
     its set and the least id among the documents its links reach."""
+    C.small_batches(docs.sparkSession)
     sizes = Sizes(percent, SPARE)
     rows = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
     id_type = docs.schema[id_col].dataType.simpleString()

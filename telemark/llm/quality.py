@@ -123,6 +123,7 @@ def _features(dictionaries):
 
 def fit(docs: DataFrame, labels: DataFrame, learn=None, id_col="doc_id", text_col="text", label_col="quality", dict_docs: int = DICT_DOCS, fit_docs: int = FIT_DOCS) -> Model:
     """Fit on the labelled rows for which ``learn`` (a condition on ``labels``) holds."""
+    C.small_batches(docs.sparkSession)
     lab = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     lab = lab.filter(learn) if learn is not None else lab
     lab = lab.select(F.col(id_col).alias("id_"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.lit(4), id_col).alias("h"))
@@ -157,6 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, id_col="doc_id", text_co
 
 def score(docs: DataFrame, model: Model, text_col="text") -> DataFrame:
     """``docs`` with ``score``, the likelihood of class 1."""
+    C.small_batches(docs.sparkSession)
     docs = C.add(docs, score=F.lit(0.0))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
     shared = docs.sparkSession.sparkContext.broadcast(model)       # six dictionaries of 288 KB in all and 55 numbers

@@ -138,6 +138,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="it
     """``(blob, item_id, n_tiles, covered, coverage)``: the text (by SHA-256) and
     item pairs at or above the threshold."""
     spark = docs.sparkSession
+    C.small_batches(spark)
     items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("w"))
     whole = C.written(items.filter(F.size("w") > 0), "items")
     items, short = whole.filter(F.size("w") >= min_match), whole.filter(F.size("w") < min_match)

@@ -36,9 +36,10 @@ END_ID = 2
 SEGMENT_TOKENS = 1 << 17
 SEGMENTS = "part int, seg int, at long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, codes binary"
 
-#: Known words kept by a Python worker, so that a word is encoded once; as many
-#: again of the generation before stay at hand.
-KNOWN_WORDS = 600_000
+#: Known words kept by a Python worker, so that a frequent word is encoded
+#: seldom; as many again of the generation before stay at hand.  A word takes
+#: some 150 bytes, and the words of all workers of an executor must fit beside its heap.
+KNOWN_WORDS = 200_000
 
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _CORE = re.compile(r"\S(?:.*\S)?", re.S).fullmatch
@@ -50,7 +51,7 @@ _ENCODERS: dict = {}
 
 class WordEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library, each
-    distinct word once.
+    distinct word once as long as it is known.
 
     Such a tokenizer treats the pieces of its pre-tokenizer one by one, and a
     piece never reaches over the border between a character that is no white
@@ -184,6 +185,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col="doc_id", text_col=
     """Write the ids of ``docs`` below ``path``.  One shuffle, by ranges of id;
     a part's segments are cut as its sorted rows stream by."""
     spark = docs.sparkSession
+    C.small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     rows.mapInArrow(_segments(tokenizer, end_id, segment_tokens), SEGMENTS).write.option("compression", "zstd").parquet(f"{path}/segments")
@@ -202,11 +204,13 @@ def _tables(spark: SparkSession, path: str):
 def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     """One row per document, read back from the files: ``doc_id, start,
     n_tokens, ids_crc32`` and, on request, ``ids``."""
+    C.small_batches(spark)
     segs, parts = _tables(spark, path)
 
     def run(batches):
         for b in batches:
-            for seg in b.to_pylist():
+            for i in range(b.num_rows):
+                seg = b.slice(i, 1).to_pylist()[0]
                 values = dac.decode(seg["codes"])
                 ends = np.cumsum(seg["doc_tokens"])
                 raw, at = memoryview(values.astype("<u4").tobytes()), [0, *ends[:-1].tolist()]
