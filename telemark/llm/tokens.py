@@ -25,6 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,11 +41,16 @@ SEGMENTS = "part int, seg int, at long, n_tokens long, doc_ids array<long>, doc_
 #: seldom; as many again of the generation before stay at hand.  A word takes
 #: some 150 bytes, and the words of all workers of an executor must fit beside its heap.
 KNOWN_WORDS = 200_000
+#: Words handed to the library as one text: its time a word grows with the text's length.
+TOGETHER = 100
 
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
-_CORE = re.compile(r"\S(?:.*\S)?", re.S).fullmatch
+#: A text whose white space is not single spaces and one or two line breaks between words.
+_ODD = r"[\t\v\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|^[ \n]|[ \n]$|  | \n|\n |\n\n\n"
 #: Words whose line breaks, one or two at a time, are ids of their own.
 _LINES = re.compile(r"\S+(?:\n\n?\S+)*").fullmatch
+#: A word with ASCII marks after a letter or digit of the Latin blocks.
+_MARKED = r"(?s)^(?P<stem>.*[0-9A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])(?P<marks>[[:punct:]]+)$"
 
 _ENCODERS: dict = {}
 
@@ -55,8 +61,9 @@ class WordEncoder:
 
     Such a tokenizer treats the pieces of its pre-tokenizer one by one, and a
     piece never reaches over the border between a character that is no white
-    space and a single space before another such character.  Texts are cut at
-    these borders into words, and only unknown words go through the library,
+    space and a single space before another such character, nor over a line
+    break between such characters, nor from a letter or digit to a mark.  Texts
+    are cut at these borders, and only unknown pieces go through the library,
     many at a time with a line break between, which is an id of its own.
     ``whole`` encodes without any of this, for tokenizers of another kind and
     for tests.
@@ -72,35 +79,49 @@ class WordEncoder:
         self.newline = self.whole("\n").tolist()
         self.by_word = (self.lib.normalizer is None and b'"ByteLevel"' in state and b'"add_prefix_space":false' in state
                         and b'"use_regex":true' in state and len(self.newline) == 1)
-        self.words: dict[str, bytes] = {}       # the word after a space
+        self.words: dict[str, bytes] = {}       # pieces after a space
         self.older: dict[str, bytes] = {}       # the generation before
-        self.firsts: dict[str, bytes] = {}      # the first word of a text
+        self.firsts: dict[str, bytes] = {}      # pieces without a space before
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn(self, new: list[str], into: dict[str, bytes], lead: str) -> None:
-        plain = [w for w in new if _LINES(w)]
-        for i in range(0, len(plain), 16000):
-            some = plain[i:i + 16000]
+        for i in range(0, len(new), TOGETHER):
+            some = new[i:i + TOGETHER]
             ids = np.array(self.lib.encode_batch_fast([lead + ("\n" + lead).join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             breaks = np.flatnonzero(ids == self.newline[0])
-            last = np.cumsum([w.count("\n") + 1 for w in some])[:-1] - 1
-            if len(breaks) != (last[-1] + 1 if len(last) else 0) + some[-1].count("\n"):
+            if len(breaks) != len(some) - 1:
                 into.update((w, self.whole(lead + w).tobytes()) for w in some)
                 continue
             raw, at = ids.tobytes(), 0
-            for w, end in zip(some, [*(4 * breaks[last]).tolist(), len(raw)]):
+            for w, end in zip(some, [*(4 * breaks).tolist(), len(raw)]):
                 into[w] = raw[at:end]
                 at = end + 4
-        if len(plain) < len(new):
-            into.update((w, self.whole(lead + w).tobytes()) for w in new if w not in into)
 
-    def _split(self, text: str, odd: bool) -> tuple:
-        w = _BREAK.split(text) if odd else text.split(" ")
-        head, w = w[0], w[1:]
-        v = list(map(self.words.get, w))
-        return head, w, v, [] if all(v) else [i for i, x in enumerate(v) if x is None]
+    def _spaced(self, asked: list[str]) -> list[bytes]:
+        """The ids of pieces after a space."""
+        words, older = self.words, self.older
+        found = list(map(words.get, asked))
+        gaps = [i for i, v in enumerate(found) if v is None]
+        new = []
+        for i in gaps:
+            w = asked[i]
+            v = older.get(w)
+            if v is None:
+                new.append(w)
+            else:
+                words[w] = v
+        self._learn(new, words, " ")
+        for i in gaps:
+            found[i] = words[asked[i]]
+        return found
+
+    def _bare(self, asked: list[str]) -> list[bytes]:
+        """The ids of pieces without a space before."""
+        firsts = self.firsts
+        self._learn(list({x for x in asked if x not in firsts}), firsts, "")
+        return [firsts[x] for x in asked]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -108,39 +129,69 @@ class WordEncoder:
             return [self.whole(t).tobytes() for t in texts]
         if len(self.words) > KNOWN_WORDS:
             self.older, self.words = self.words, {}
-        if len(self.firsts) > KNOWN_WORDS:
-            self.firsts = {}
-        cut, new = [], set()
-        for t in texts:
-            if any(x in t for x in self.added):
-                cut.append((t, None, None, None))
-                continue
-            cut.append(self._split(t, False))
-            _, w, _, gaps = cut[-1]
-            new.update([w[i] for i in gaps])
-        # a space with white space beside it leaves a word that is empty or has such an end
-        odd = {x for x in new if not _CORE(x)}
-        new -= odd
-        for k, (head, w, _, gaps) in enumerate(cut):
-            if w is not None and (not _CORE(head) or odd and not odd.isdisjoint([w[i] for i in gaps])):
-                cut[k] = self._split(texts[k], True)
-                new.update([cut[k][1][i] for i in cut[k][3]])
-        if self.older:
-            again = [x for x in new if x in self.older]
-            self.words.update((x, self.older[x]) for x in again)
-            new.difference_update(again)
-        self._learn(list(new), self.words, " ")
-        self._learn(list({c[0] for c in cut if c[1] is not None and c[0] not in self.firsts}), self.firsts, "")
-        out = []
-        for head, w, v, gaps in cut:
-            if w is None:
-                out.append(self.whole(head).tobytes())
-                continue
-            for i in gaps:
-                v[i] = self.words[w[i]]
-            out.append(self.firsts[head] + b"".join(v))
+        if not self.firsts or len(self.firsts) > KNOWN_WORDS // 2:
+            self.firsts = {"": b"", "\n": self.whole("\n").tobytes()}
+        column = pa.array(texts, pa.large_string())
+        added = np.zeros(len(texts), bool)
+        for x in self.added:
+            added |= pc.match_substring(column, x).to_numpy(zero_copy_only=False)
+        odd = ~added & pc.match_substring_regex(column, _ODD).to_numpy(zero_copy_only=False)
+        plain = ~added & ~odd
+        out = [b""] * len(texts)
+        for i in np.flatnonzero(added).tolist():
+            out[i] = self.whole(texts[i]).tobytes()
+        for mask, kind in ((odd, self._odd), (plain, self._plain)):
+            where = np.flatnonzero(mask)
+            if len(where):
+                for i, raw in zip(where.tolist(), kind(column.take(pa.array(where)))):
+                    out[i] = raw
         return out
 
+    def _odd(self, texts: pa.Array) -> list[bytes]:
+        """The ids of ``_ODD`` texts; their words may hold white space."""
+        cut = [_BREAK.split(t) for t in texts.to_pylist()]
+        new = list({x for w in cut for x in w[1:]} - self.words.keys())
+        lines = {x: x.split("\n") for x in new if _LINES(x)}
+        self._spaced(list({x[0] for x in lines.values()}))
+        self._bare([y for x in lines.values() for y in x[1:]])
+        nl = self.firsts["\n"]
+        for x in new:
+            if x not in lines:
+                self.words[x] = self.whole(" " + x).tobytes()
+            elif len(lines[x]) > 1:
+                self.words[x] = nl.join([self.words[lines[x][0]], *[self.firsts[y] for y in lines[x][1:]]])
+        return [self.whole(w[0]).tobytes() + b"".join([self.words[x] for x in w[1:]]) for w in cut]
+
+    def _plain(self, texts: pa.Array) -> list[bytes]:
+        """The ids of other texts.  Each piece of them all is looked up once,
+        and the ids are gathered by the pieces' numbers."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
+        bounds, flat = split.offsets.to_numpy(), split.flatten()
+        each = flat.dictionary_encode()
+        word, code = each.dictionary, each.indices.to_numpy()
+        # a line break, and what stands after one or begins a text, has no space before
+        bare = code == pc.index(word, "\n").as_py()
+        bare[1:] |= bare[:-1].copy()
+        bare[bounds[:-1]] = True
+        cut = pc.extract_regex(word, _MARKED)
+        stem = pc.coalesce(pc.struct_field(cut, "stem"), word).dictionary_encode()
+        marks = pc.struct_field(cut, "marks").dictionary_encode()
+        names, stem = stem.dictionary.to_numpy(zero_copy_only=False), stem.indices.to_numpy()[code]
+        spaced, first = np.zeros((2, len(names)), bool)
+        spaced[stem[~bare]] = first[stem[bare]] = True
+        some = [*self._spaced(names[spaced].tolist()), *self._bare(names[first].tolist()), b""]
+        which = np.empty((len(code), 2), np.int64)
+        which[:, 0] = np.where(bare, spaced.sum() + np.cumsum(first)[stem], np.cumsum(spaced)[stem]) - 1
+        which[:, 1] = len(some) + marks.indices.fill_null(-1).to_numpy()[code]
+        some += self._bare(marks.dictionary.to_pylist())
+        which = which.ravel()
+        size = np.fromiter(map(len, some), np.int64, len(some)) // 4
+        start, n = np.cumsum(size) - size, size[which]
+        end = np.cumsum(n)
+        ids = np.frombuffer(b"".join(some), "<u4")[np.repeat(start[which] - end + n, n) + np.arange(end[-1])].tobytes()
+        at = [0, *(4 * end[2 * bounds[1:] - 1]).tolist()]
+        return [ids[a:z] for a, z in zip(at, at[1:])]
+
 
 def encoder(path: str) -> WordEncoder:
     """One encoder a Python worker and file."""
@@ -163,8 +214,8 @@ def _segments(path: str, end_id: int, segment_tokens: int):
         enc, stop, held = encoder(path), np.array([end_id], "<u4").tobytes(), 0
         for b in batches:
             names, texts = b.column("id").to_pylist(), b.column("text")
-            for lo in range(0, len(names), 256):
-                for name, raw in zip(names[lo:lo + 256], enc.encode([t or "" for t in texts.slice(lo, 256).to_pylist()])):
+            for lo in range(0, len(names), 1024):
+                for name, raw in zip(names[lo:lo + 1024], enc.encode([t or "" for t in texts.slice(lo, 1024).to_pylist()])):
                     n = len(raw) // 4 + 1
                     if held and held + n > segment_tokens:
                         yield row()

@@ -61,6 +61,31 @@ def test_word_encoder_equals_library(docs):
             assert np.frombuffer(raw, "<u4").tolist() == _encode(t), t[:80]
 
 
+def test_words_are_cut_before_marks_and_lines():
+    words, marks = ["alpha", "é2", "straße", "ŵ", "x's", "(y", "東", "a.b", "٣", "ǅ", "ß-"], ["", ",", "...", "'", "'.", "?!", "###", '")', "—", "_", "’s", "'s", "²", "!é", "\u1c89,"]
+    enc = tokens.WordEncoder(TOKENIZER)
+    sent, lib = [], enc.lib
+
+    class Spy:
+        def encode_batch_fast(self, texts, **how):
+            sent.extend(texts)
+            return lib.encode_batch_fast(texts, **how)
+
+        def encode(self, text, **how):
+            return lib.encode(text, **how)
+
+    enc.lib = Spy()
+    texts = [t for w in words for m in marks for t in (f"{w}{m} {w}{m}\n{w}{m}\n\n{w}{m} z", f"\t{w}{m}\n{w}{m}  {w}{m}\tz {w}{m} ", f"{w}{m}")]
+    for t, raw in zip(texts * 2, enc.encode(texts) + [enc.encode([t])[0] for t in texts]):
+        assert np.frombuffer(raw, "<u4").tolist() == _encode(t), t
+    assert [enc.encode(x) for x in ([], [""], ["", "a"])] == [[], [b""], [b"", enc.whole("a").tobytes()]]
+    enc, sent[:] = tokens.WordEncoder(TOKENIZER), []
+    enc.lib = Spy()
+    plain = [f"the {w}{m}\n{w}{m} end" for w in ("alpha", "beta", "gamma", "delta") for m in (",", ".", "!", "?", ";", ":", "...", '"')]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(plain)] == [_encode(t) for t in plain]
+    assert sum(map(len, sent)) < 150        # each word and mark once, not each word with each mark
+
+
 def _check_tokens(rows, texts):
     at = 0
     for r, (i, t) in zip(sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.start)), texts):
