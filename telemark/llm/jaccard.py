@@ -8,7 +8,8 @@ Prefixes.  If two sets share ``o`` elements, their first ``size - o + l``
 elements in any common order share at least ``l``.  Each document first keeps
 such a prefix in hash order, long enough for ``l = 1 + SPARE % of its size``
 matches (its list).  The document frequency of every listed element is counted
-over all documents.  Lists are then put in order of frequency, and a prefix of
+over all documents; copies in several partitions are listed once, but for a
+few.  Lists are then put in order of frequency, and a prefix of
 a list is taken by the same rule: elements of one document need not be indexed
 at all, and passages that many documents share come last.  This second prefix
 is lengthened, and ``k`` shared elements required, for the ``k`` of least
@@ -18,11 +19,16 @@ Candidates.  All documents of a posting are first paired with one hub, the
 member whose elements are together the most frequent (edited copies have rare
 ones instead); verified pairs give components.
 Then only pairs of different components remain.  They are enumerated in blocks
-of a posting, and leave a task only where sizes and bucket counts allow a link.
+of a posting, and leave a task only where sizes and sketches allow a link.
 A pair leaves from one of its common postings if its documents' ``HEAD`` least
 elements show ``k`` common ones: from that of the ``k``-th; else from each, to
 be counted.  Pairs that share ``k`` elements are verified on their whole sets.
 
+Sketches.  A sketch has one bit a slot: whether an odd number of the set's
+elements fall there.  Two sets differ in at least as many elements as their
+sketches in bits, so no pair that links is left out by them.  They are a
+thirtieth of the sets that they spare; hubs' pairs pass them as well.
+
 No step brings a whole posting, component or table to one task; only bitmaps
 of fixed size are broadcast.
 
@@ -52,7 +58,7 @@ PERCENT = 80
 SPARE = 10          # percent of a set's size by which lists are longer than a plain prefix
 MAX_MATCHES = 4     # the most shared elements that a second prefix may require
 VERIFY_COST = 8     # cost of verifying a candidate, in postings
-BUCKETS = 128       # bucket counts that bound an intersection
+SKETCH = 128        # bytes of a sketch
 HEAD = 8            # least indexed elements that tell a pair's common postings
 BLOCK = 1024        # documents of a posting that meet in one task
 HUB_BLOCK = 256     # documents verified against one copy of a hub's set
@@ -124,22 +130,41 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(lo, SLICE)
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    odd = np.bincount((s >> np.uint64(7)).astype(np.int64) % (8 * SKETCH), minlength=8 * SKETCH) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def _may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` elements can link by their sketches, in rows of 64-bit words."""
+    apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    most = (n + m - apart) // 2
+    return 100 * most >= percent * (n + m - most)
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 8)
+
+
 def _profiles(k: int, sizes: Sizes):
-    schema = pa.schema([("row", pa.int64()), ("c", pa.int64()), ("dn", pa.int64()), ("list", pa.list_(pa.int64())), ("buckets", pa.binary())])
+    schema = pa.schema([("row", pa.int64()), ("c", pa.int64()), ("dn", pa.int64()), ("list", pa.list_(pa.int64())), ("sketch", pa.binary()), ("part", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
         seen: set = set()       # documents of this partition
         for b in _sliced(batches):
             out = {f.name: [] for f in schema}
             for i, w, c, d in _documents(b):
-                s, listed, buckets = None, None, None
+                s, listed, sketch = None, None, None
                 if (c, d) not in seen:
                     seen.add((c, d))
                     s = shingles(w, k)
                     listed = s[:sizes.listed(len(s))].view(np.int64)
-                    buckets = np.minimum(np.bincount((s >> np.uint64(7)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+                    sketch = _sketch(s)
                 n = len(s) if s is not None else len(shingles(w, k))
-                for name, value in zip(out, (i, c, (d << 32) | n, listed, buckets)):
+                for name, value in zip(out, (i, c, (d << 32) | n, listed, sketch, part)):
                     out[name].append(value)
             r = pa.RecordBatch.from_pydict(out, schema=schema)
             yield pa.RecordBatch.from_arrays([b.column("id"), *r.columns[1:]], names=["id", *schema.names[1:]])
@@ -154,18 +179,52 @@ def _node(c: str, dn: str) -> F.Column:
 _N = "cast({} & 2147483647 as int)"
 
 
+def _once(profile: DataFrame):
+    """``(rows, keep)``: the lists, and a filter of their batches that leaves out
+    copies of a document from partitions other than its first.  By the keys alone:
+    a first bitmap holds the copies, a second the other rows that hit it.  So one
+    row of each document stays for certain, and few copies do."""
+    slot = F.shiftrightunsigned(F.xxhash64("c", "dn", "part"), 64 - BITS).alias("slot")
+    rows = profile.filter("list is not null")
+    # not more entries than partitions
+    parts = rows.groupBy("c", "dn").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    parts = C.written(parts, "parts")
+    copies = C.bitmap(parts.select("c", "dn", F.explode(F.expr("slice(parts, 2, size(parts))")).alias("part")).select(slot), BITS)
+    sc = profile.sparkSession.sparkContext
+    gone = sc.broadcast(copies)
+
+    def hits(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            yield b.filter(pa.array(C.probe(gone.value, b.column("slot").to_numpy().astype(np.uint64))))
+
+    kept = sc.broadcast(C.bitmap(parts.select("c", "dn", F.expr("parts[0]").alias("part")).select(slot).mapInArrow(hits, "slot long"), BITS))
+    C.spent(parts)
+
+    def keep(b: pa.RecordBatch) -> pa.RecordBatch:
+        at = b.column("slot").to_numpy().astype(np.uint64)
+        return b.filter(pa.array(~C.probe(gone.value, at) | C.probe(kept.value, at)))
+
+    return rows.select("c", "dn", "list", slot), keep
+
+
 def _index(profile: DataFrame, sizes: Sizes) -> DataFrame:
     """``(e, c, dn, k, pop)``: the elements under which a document is found, the
     matches it requires, and how often others list its elements (logarithms of
     the frequencies, summed)."""
-    often = profile.filter("list is not null").select(F.explode("list").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    lists, keep = _once(profile)
+
+    def elements(batches: Iterator[pa.RecordBatch]):
+        for b in _sliced(batches):
+            yield pa.RecordBatch.from_arrays([keep(b).column("list").flatten()], names=["e"])
+
+    often = lists.mapInArrow(elements, "e long").groupBy("e").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     often = C.written(often, "often")
     # most elements are of one document: a bitmap of the others leaves them out before the lists are dealt by element
     shared = profile.sparkSession.sparkContext.broadcast(C.bitmap(often.select(F.shiftrightunsigned("e", 64 - OFTEN_BITS).alias("slot")), OFTEN_BITS))
 
     def listed(batches: Iterator[pa.RecordBatch]):
         bits = shared.value
-        for b in _sliced(batches):
+        for b in map(keep, _sliced(batches)):
             column = b.column("list")
             e = column.flatten().to_numpy()
             row = np.repeat(np.arange(b.num_rows), np.diff(column.offsets.to_numpy()))
@@ -173,7 +232,7 @@ def _index(profile: DataFrame, sizes: Sizes) -> DataFrame:
             at = pa.array(row[met])
             yield pa.RecordBatch.from_arrays([b.column("c").take(at), b.column("dn").take(at), pa.array(e[met])], names=["c", "dn", "e"])
 
-    rows = profile.filter("list is not null").select("c", "dn", "list").mapInArrow(listed, "c long, dn long, e long")
+    rows = lists.mapInArrow(listed, "c long, dn long, e long")
     rows = rows.join(often, "e").dropDuplicates(["e", "c", "dn"])
     doc = W.partitionBy("c", "dn")
     rows = (rows.withColumn("n", F.expr(_N.format("dn"))).withColumn("q", sizes.required("n"))
@@ -203,14 +262,36 @@ def _hub_pairs(index: DataFrame, percent: int) -> DataFrame:
             .select("ac", "adn", "bc", "bdn").distinct())
 
 
-def _cross_pairs(index: DataFrame, labels: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
+def _each(index: DataFrame, profile: DataFrame) -> DataFrame:
+    """``(c, dn, k, head, sketch)`` of each document of the index."""
+    head = F.slice(F.sort_array(F.collect_list("e")), 1, HEAD)      # of one document's elements
+    each = index.groupBy("c", "dn").agg(F.first("k").alias("k"), head.alias("head"))
+    sketches = profile.filter("sketch is not null").groupBy("c", "dn").agg(F.first("sketch").alias("sketch"))
+    return C.written(each.join(sketches, ["c", "dn"]), "each")
+
+
+def _possible(pairs: DataFrame, each: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches allow a link."""
+    for x in ("a", "b"):
+        mine = each.select(F.col("c").alias(f"{x}c"), F.col("dn").alias(f"{x}dn"), F.col("sketch").alias(f"{x}sketch"))
+        pairs = pairs.join(mine, [f"{x}c", f"{x}dn"])
+    names = ["ac", "adn", "bc", "bdn"]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            n, m = (b.column(x).to_numpy() & 0x7FFFFFFF for x in ("adn", "bdn"))
+            if b.num_rows:
+                yield b.select(names).filter(pa.array(_may_link(_sketches(b.column("asketch")), _sketches(b.column("bsketch")), n, m, percent)))
+
+    return pairs.select(*names, "asketch", "bsketch").mapInArrow(run, "ac long, adn long, bc long, bdn long")
+
+
+def _cross_pairs(index: DataFrame, labels: DataFrame, each: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share the required matches."""
     mark = labels.select(F.col("node").alias("node_"), "label")
-    head = F.slice(F.sort_array(F.collect_list("e")), 1, HEAD)      # of one document's elements
-    each = index.groupBy("c", "dn").agg(F.first("k").alias("k"), head.alias("head")).withColumn("node", _node("c", "dn"))
-    each = each.join(mark, each.node == mark.node_, "left").select("c", "dn", "k", "head", F.xxhash64(F.coalesce("label", "node")).alias("label"))
-    counts = profile.filter("buckets is not null").groupBy("c", "dn").agg(F.first("buckets").alias("buckets"))
-    each = C.written(each.join(counts, ["c", "dn"]), "each")
+    each = each.withColumn("node", _node("c", "dn"))
+    each = each.join(mark, each.node == mark.node_, "left").select("c", "dn", "k", "head", F.xxhash64(F.coalesce("label", "node")).alias("label"), "sketch")
+    each = C.written(each, "each")
     rows = index.select("e", "c", "dn").join(each.select("c", "dn", "label"), ["c", "dn"])
     mixed = rows.groupBy("e").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
     mixed = mixed.select("e", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
@@ -257,7 +338,7 @@ def _block_pairs(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     if t.num_rows < 2:
         return
     c, dn, k, label, own, i, j = (t.column(x).to_numpy() for x in ("c", "dn", "k", "label", "own", "i", "j"))
-    counts = np.frombuffer(b"".join(t.column("buckets").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+    sketch = _sketches(t.column("sketch"))
     heads, e = [set(h) for h in t.column("head").to_pylist()], t.column("e")[0].as_py()
     n = dn & 0x7FFFFFFF
     for lo in range(0, len(n), 64):
@@ -269,10 +350,7 @@ def _block_pairs(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
         x += lo
         for s in range(0, len(x), 1 << 16):
             p, r = x[s:s + (1 << 16)], y[s:s + (1 << 16)]
-            most = np.minimum(counts[p], counts[r]).sum(axis=1, dtype=np.int64)
-            # a bucket count of 255 stands for any number
-            most = np.where((counts[p] == 255).any(axis=1) | (counts[r] == 255).any(axis=1), np.minimum(n[p], n[r]), most)
-            keep = 100 * most >= percent * (n[p] + n[r] - most)
+            keep = _may_link(sketch[p], sketch[r], n[p], n[r], percent)
             p, r = p[keep], r[keep]
             need = np.minimum(k[p], k[r]).tolist()
             found = np.ones(len(p), np.int32)
@@ -350,12 +428,13 @@ def linked(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHI
     sizes = Sizes(percent, SPARE)
     rows = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    profile = C.written(rows.mapInArrow(_profiles(shingle, sizes), f"id {id_type}, c long, dn long, list array<long>, buckets binary"), "profiles")
+    profile = C.written(rows.mapInArrow(_profiles(shingle, sizes), f"id {id_type}, c long, dn long, list array<long>, sketch binary, part int"), "profiles")
     index = _index(profile, sizes)
-    links = _verified(docs, C.written(_hub_pairs(index, percent), "pairs"), shingle, percent, text_col)
+    each = _each(index, profile)
+    links = _verified(docs, C.written(_possible(_hub_pairs(index, percent), each, percent), "pairs"), shingle, percent, text_col)
     labels = components(links)
-    pairs = C.written(_cross_pairs(index, labels, profile, percent), "pairs")
-    C.spent(index)
+    pairs = C.written(_cross_pairs(index, labels, each, percent), "pairs")
+    C.spent(index, each)
     more = _verified(docs, pairs, shingle, percent, text_col)
     if more.head(1):
         labels = components(links.union(more))

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,41 @@ def test_op9_edges(spark):
     assert jaccard.deduplicate(nulls).count() == 9
 
 
+def test_op9_copies_and_near_misses_are_left_out_early(spark, monkeypatch):
+    rnd, seen, written = random.Random(5), defaultdict(list), jaccard.C.written
+
+    def counted(df, name, codec=None):
+        out = written(df, name, codec)
+        seen[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard.C, "written", counted)
+    texts = [[f"w{rnd.random()}" for _ in range(200)] for _ in range(30)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts * 4)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")     # each copy in a partition of its own
+    got = {r.id: r.component for r in jaccard.linked(docs, shingle=4, percent=85).collect()}
+    assert got == {i: i % 30 for i in range(120)}
+    assert seen["often"] == [0]         # no element of different documents
+    seen.clear()
+    near = [[f"x{rnd.random()}" if i % 30 == 7 else w for i, w in enumerate(t)] for t in texts]     # 169 shingles of 225 in common
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts + near)], "doc_id long, text string")
+    got = {r.id: r.component for r in jaccard.linked(docs, shingle=4, percent=85).collect()}
+    assert got == {i: i for i in range(60)}
+    assert seen["often"][0] > 0 and seen["pairs"] == [0, 0]
+
+
+def test_sketches_keep_all_links():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 40, 450, 3000, 20_000):
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for share in (1, 0.97, 0.93, 0.92, 0.9, 0.8, 0.5, 0):
+            b = np.concatenate([a[:int(n * share)], rng.integers(0, 2**63, int(n * rng.uniform(0, 0.1)) + n - int(n * share), dtype=np.uint64)])
+            both = len(np.intersect1d(a, b))
+            sketch = [np.frombuffer(jaccard._sketch(x), np.uint64)[None] for x in (a, b)]
+            may = jaccard._may_link(*sketch, np.array([len(a)]), np.array([len(b)]), 85)
+            assert may[0] or 100 * both < 85 * (len(a) + len(b) - both)
+
+
 def test_components_of_chains(spark):
     rnd = random.Random(3)
     edges = [(f"n{i:04}", f"n{i + 1:04}") for i in range(150) if i % 50 != 49] + [("m1", "m2"), ("m2", "m1"), ("z", "z")]
