@@ -26,8 +26,9 @@ be counted.  Pairs that share ``k`` elements are verified on their whole sets.
 
 Sketches.  A sketch has one bit a slot: whether an odd number of the set's
 elements fall there.  Two sets differ in at least as many elements as their
-sketches in bits, so no pair that links is left out by them.  They are a
-thirtieth of the sets that they spare; hubs' pairs pass them as well.
+sketches in bits, so no pair that links is left out by them.  Larger sets, which
+fill a short sketch, have a second of four bits an element for pairs already
+made; it folds to any shorter one.  Hubs' pairs pass these sketches as well.
 
 No step brings a whole posting, component or table to one task; only bitmaps
 of fixed size are broadcast.
@@ -59,6 +60,7 @@ SPARE = 10          # percent of a set's size by which lists are longer than a p
 MAX_MATCHES = 4     # the most shared elements that a second prefix may require
 VERIFY_COST = 8     # cost of verifying a candidate, in postings
 SKETCH = 128        # bytes of a sketch
+FINE = 2048         # bytes of the longest sketch of a larger set
 HEAD = 8            # least indexed elements that tell a pair's common postings
 BLOCK = 1024        # documents of a posting that meet in one task
 HUB_BLOCK = 256     # documents verified against one copy of a hub's set
@@ -130,24 +132,23 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(lo, SLICE)
 
 
-def _sketch(s: np.ndarray) -> bytes:
-    odd = np.bincount((s >> np.uint64(7)).astype(np.int64) % (8 * SKETCH), minlength=8 * SKETCH) & 1
+def _sketch(s: np.ndarray, size: int = SKETCH) -> bytes:
+    odd = np.bincount((s >> np.uint64(7)).astype(np.int64) % (8 * size), minlength=8 * size) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
 
 def _may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of ``n`` and ``m`` elements can link by their sketches, in rows of 64-bit words."""
+    while a.shape[1] != b.shape[1]:     # the longer folds
+        a, b = (a, b) if a.shape[1] > b.shape[1] else (b, a)
+        a = a[:, :a.shape[1] // 2] ^ a[:, a.shape[1] // 2:]
     apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
     most = (n + m - apart) // 2
     return 100 * most >= percent * (n + m - most)
 
 
-def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 8)
-
-
 def _profiles(k: int, sizes: Sizes):
-    schema = pa.schema([("row", pa.int64()), ("c", pa.int64()), ("dn", pa.int64()), ("list", pa.list_(pa.int64())), ("sketch", pa.binary()), ("part", pa.int32())])
+    schema = pa.schema([("row", pa.int64()), ("c", pa.int64()), ("dn", pa.int64()), ("list", pa.list_(pa.int64())), ("sketch", pa.binary()), ("fine", pa.binary()), ("part", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
@@ -157,14 +158,16 @@ def _profiles(k: int, sizes: Sizes):
         for b in _sliced(batches):
             out = {f.name: [] for f in schema}
             for i, w, c, d in _documents(b):
-                s, listed, sketch = None, None, None
+                s, listed, sketch, fine = None, None, None, None
                 if (c, d) not in seen:
                     seen.add((c, d))
                     s = shingles(w, k)
                     listed = s[:sizes.listed(len(s))].view(np.int64)
                     sketch = _sketch(s)
+                    if len(s) > 4 * SKETCH:
+                        fine = _sketch(s, min(FINE, 1 << (len(s) // 2 - 1).bit_length()))
                 n = len(s) if s is not None else len(shingles(w, k))
-                for name, value in zip(out, (i, c, (d << 32) | n, listed, sketch, part)):
+                for name, value in zip(out, (i, c, (d << 32) | n, listed, sketch, fine, part)):
                     out[name].append(value)
             r = pa.RecordBatch.from_pydict(out, schema=schema)
             yield pa.RecordBatch.from_arrays([b.column("id"), *r.columns[1:]], names=["id", *schema.names[1:]])
@@ -263,25 +266,26 @@ def _hub_pairs(index: DataFrame, percent: int) -> DataFrame:
 
 
 def _each(index: DataFrame, profile: DataFrame) -> DataFrame:
-    """``(c, dn, k, head, sketch)`` of each document of the index."""
+    """``(c, dn, k, head, sketch, fine)`` of each document of the index."""
     head = F.slice(F.sort_array(F.collect_list("e")), 1, HEAD)      # of one document's elements
     each = index.groupBy("c", "dn").agg(F.first("k").alias("k"), head.alias("head"))
-    sketches = profile.filter("sketch is not null").groupBy("c", "dn").agg(F.first("sketch").alias("sketch"))
+    sketches = profile.filter("sketch is not null").groupBy("c", "dn").agg(F.first("sketch").alias("sketch"), F.first("fine").alias("fine"))
     return C.written(each.join(sketches, ["c", "dn"]), "each")
 
 
 def _possible(pairs: DataFrame, each: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sketches allow a link."""
     for x in ("a", "b"):
-        mine = each.select(F.col("c").alias(f"{x}c"), F.col("dn").alias(f"{x}dn"), F.col("sketch").alias(f"{x}sketch"))
+        mine = each.select(F.col("c").alias(f"{x}c"), F.col("dn").alias(f"{x}dn"), F.coalesce("fine", "sketch").alias(f"{x}sketch"))
         pairs = pairs.join(mine, [f"{x}c", f"{x}dn"])
     names = ["ac", "adn", "bc", "bdn"]
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             n, m = (b.column(x).to_numpy() & 0x7FFFFFFF for x in ("adn", "bdn"))
-            if b.num_rows:
-                yield b.select(names).filter(pa.array(_may_link(_sketches(b.column("asketch")), _sketches(b.column("bsketch")), n, m, percent)))
+            u, v = (b.column(x).to_pylist() for x in ("asketch", "bsketch"))
+            may = [bool(_may_link(np.frombuffer(u[i], np.uint64)[None], np.frombuffer(v[i], np.uint64)[None], n[i:i + 1], m[i:i + 1], percent)[0]) for i in range(len(u))]
+            yield b.select(names).filter(pa.array(may, pa.bool_()))
 
     return pairs.select(*names, "asketch", "bsketch").mapInArrow(run, "ac long, adn long, bc long, bdn long")
 
@@ -338,7 +342,7 @@ def _block_pairs(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     if t.num_rows < 2:
         return
     c, dn, k, label, own, i, j = (t.column(x).to_numpy() for x in ("c", "dn", "k", "label", "own", "i", "j"))
-    sketch = _sketches(t.column("sketch"))
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH // 8)
     heads, e = [set(h) for h in t.column("head").to_pylist()], t.column("e")[0].as_py()
     n = dn & 0x7FFFFFFF
     for lo in range(0, len(n), 64):
@@ -428,12 +432,12 @@ def linked(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHI
     sizes = Sizes(percent, SPARE)
     rows = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    profile = C.written(rows.mapInArrow(_profiles(shingle, sizes), f"id {id_type}, c long, dn long, list array<long>, sketch binary, part int"), "profiles")
+    profile = C.written(rows.mapInArrow(_profiles(shingle, sizes), f"id {id_type}, c long, dn long, list array<long>, sketch binary, fine binary, part int"), "profiles")
     index = _index(profile, sizes)
     each = _each(index, profile)
     links = _verified(docs, C.written(_possible(_hub_pairs(index, percent), each, percent), "pairs"), shingle, percent, text_col)
     labels = components(links)
-    pairs = C.written(_cross_pairs(index, labels, each, percent), "pairs")
+    pairs = C.written(_possible(_cross_pairs(index, labels, each, percent), each, percent), "pairs")
     C.spent(index, each)
     more = _verified(docs, pairs, shingle, percent, text_col)
     if more.head(1):

@@ -128,9 +128,13 @@ def test_sketches_keep_all_links():
         for share in (1, 0.97, 0.93, 0.92, 0.9, 0.8, 0.5, 0):
             b = np.concatenate([a[:int(n * share)], rng.integers(0, 2**63, int(n * rng.uniform(0, 0.1)) + n - int(n * share), dtype=np.uint64)])
             both = len(np.intersect1d(a, b))
-            sketch = [np.frombuffer(jaccard._sketch(x), np.uint64)[None] for x in (a, b)]
-            may = jaccard._may_link(*sketch, np.array([len(a)]), np.array([len(b)]), 85)
-            assert may[0] or 100 * both < 85 * (len(a) + len(b) - both)
+            for size in ((128, 128), (512, 512), (1024, 512), (128, 2048)):
+                sketch = [np.frombuffer(jaccard._sketch(x, z), np.uint64)[None] for x, z in zip((a, b), size)]
+                may = jaccard._may_link(*sketch, np.array([len(a)]), np.array([len(b)]), 85)
+                assert may[0] or 100 * both < 85 * (len(a) + len(b) - both)
+            if n == 3000 and share <= 0.8:
+                fine = [np.frombuffer(jaccard._sketch(x, 2048), np.uint64)[None] for x in (a, b)]
+                assert not jaccard._may_link(*fine, np.array([len(a)]), np.array([len(b)]), 85)[0]
 
 
 def test_components_of_chains(spark):
