@@ -41,7 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_rows(docs)
+    # few texts at once: its workers stand beside a heap that the stages before have filled
+    return token_rows(docs, at_once=256)
 
 
 STAGES = [("quality", quality_filter), ("dedup", near_duplicates), ("decontaminate", decontaminate), ("mix", mix_sources), ("tokens", token_output)]

@@ -127,9 +127,7 @@ SLICE = 256         # documents of a batch that a task holds in more than one fo
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo in range(0, b.num_rows, SLICE):
-            yield b.slice(lo, SLICE)
+    return C.sliced(batches, SLICE)
 
 
 def _sketch(s: np.ndarray, size: int = SKETCH) -> bytes:

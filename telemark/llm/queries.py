@@ -26,10 +26,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def token_rows(docs: DataFrame) -> DataFrame:
+def token_rows(docs: DataFrame, at_once: int = tokens.TEXTS) -> DataFrame:
     spark = docs.sparkSession
     path = C.shared_dir(spark, "tokens")
-    tokens.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    tokens.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"), at_once=at_once)
     return tokens.read(spark, path, ids=False)
 
 

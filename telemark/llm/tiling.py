@@ -119,9 +119,7 @@ def greedy_tiles(pattern: list[int], text: list[int], least: int) -> list[tuple[
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in slices of few texts, so that a task's arrays over all their words stay small."""
-    for b in batches:
-        for lo in range(0, b.num_rows, SLICE):
-            yield b.slice(lo, SLICE)
+    return C.sliced(batches, SLICE)
 
 
 def _bitmap(items: DataFrame, min_match: int, bits: int) -> np.ndarray:

@@ -3,6 +3,7 @@
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from corpus_pipeline import STAGES
@@ -46,3 +47,48 @@ def test_known_words_are_bounded():
         got = enc.encode(texts)
     assert len(enc.words) + len(enc.older) < 450_000
     assert got[-1] == enc.whole(texts[-1]).tobytes()
+
+
+def _batch(n, words=20):
+    return pa.RecordBatch.from_pydict({"id": list(range(n)), "text": [" ".join(f"w{i}x{k}" for k in range(words)) for i in range(n)]})
+
+
+def test_the_pipeline_encodes_few_texts_at_once(monkeypatch):
+    asked = []
+
+    def token_rows(docs, **how):
+        asked.append(how)
+
+    monkeypatch.setattr("corpus_pipeline.token_rows", token_rows)
+    dict(STAGES)["tokens"](None, None, SF001)
+    assert asked[0]["at_once"] <= 256
+
+    class Counting(tokens.WordEncoder):
+        def encode(self, texts):
+            seen.append(len(texts))
+            return super().encode(texts)
+
+    rows = {}
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    for at_once in (256, 1024):
+        seen = []
+        monkeypatch.setattr(tokens, "_ENCODERS", {TOKENIZER: Counting(TOKENIZER)})
+        got = list(tokens._segments(TOKENIZER, 2, 1 << 12, at_once)(iter([_batch(600), _batch(0), _batch(1100)])))
+        assert max(seen) <= at_once and sum(seen) == 1700
+        rows[at_once] = [b.to_pylist() for b in got]
+    assert rows[256] == rows[1024]
+
+
+def test_words_go_when_tokens_are_read_back(monkeypatch):
+    monkeypatch.setattr(tokens, "_ENCODERS", {})
+    tokens.encoder(TOKENIZER).encode(["some words", "of a text"])
+    # as in a worker: what a task runs comes pickled, and copies of the module's variables with it
+    task = cloudpickle.loads(cloudpickle.dumps(tokens._documents(False)))
+    assert list(task(iter([]))) == [] and not tokens._ENCODERS
+
+
+def test_arrow_gives_back_what_a_task_leaves(monkeypatch):
+    calls = []
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: calls.append(1)})())
+    got = list(C.sliced(iter([_batch(5), _batch(0), _batch(3)]), 2))
+    assert [b.num_rows for b in got] == [2, 2, 1, 2, 1] and calls == [1]
